@@ -1,6 +1,8 @@
 """The training-data queries of ``__spark_entry__``: one for each operator."""
 
-from glyphgrid.llm import bpe
+from pyspark.sql import functions as F
+
+from glyphgrid.llm import bpe, chat, mixing, oracle, packed, shards
 from glyphgrid.llm.common import table
 
 
@@ -11,13 +13,33 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_packed_ids(spark, sf_dir):
+    return packed.packed_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=("doc_id",))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark, sf_dir):
+    return shards.shard_by_key(table(spark, sf_dir, "documents"))
+
+
+def op10_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) as conv_id", "cast(turn as long) as turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = turns.unionByName(planted).withColumn("parts", chat.as_parts(F.col("text")))
+    return chat.digests(chat.format_conversations(rows))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {}
+    return dict(oracle.SQL)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import bpe, chat, mixing, oracle, packed, shards
+from glyphgrid.llm import bpe, chat, extract, mixing, oracle, outliers, packed, shards
 from glyphgrid.llm.common import table
 
 
@@ -13,10 +13,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_outliers(spark, sf_dir):
+    return outliers.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op3_packed_ids(spark, sf_dir):
     return packed.packed_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_html(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=("doc_id",))
 

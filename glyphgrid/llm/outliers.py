@@ -69,8 +69,9 @@ def cell(text: str, got: tuple) -> int:
         return 0
     other = len(OTHER.findall(text)) - (len(text) - chars)
     upper = sum(1 for c in text if c.isupper())
-    shares = (symbols / chars, other / chars, upper / chars, max(repeated / n, dup / (1 + text.count("\n"))))
-    levels = [6 * math.log2(max(chars / n, 1.0))] + [(LEVELS - 1) * math.sqrt(min(max(s, 0.0), 1.0)) for s in shares]
+    shares = (symbols / chars, other / chars, upper / chars)
+    again = max(repeated / n, dup / (1 + text.count("\n")))
+    levels = [6 * math.log2(max(chars / n, 1.0))] + [(LEVELS - 1) * math.sqrt(min(max(s, 0.0), 1.0)) for s in shares] + [(LEVELS - 1) * again]
     out = 0
     for level in levels:
         out = out * LEVELS + min(int(level), LEVELS - 1)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import bpe, chat, extract, jaccard, mixing, oracle, outliers, packed, shards
+from glyphgrid.llm import bpe, chat, extract, jaccard, minhash, mixing, oracle, outliers, packed, shards
 from glyphgrid.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_jaccard(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark, sf_dir):
+    return minhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=("doc_id",))
 

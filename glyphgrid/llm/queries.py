@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import bpe, chat, extract, jaccard, minhash, mixing, oracle, outliers, packed, shards
+from glyphgrid.llm import bpe, chat, extract, jaccard, lines, minhash, mixing, oracle, outliers, packed, shards
 from glyphgrid.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_outliers(spark, sf_dir):
     return outliers.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark, sf_dir):
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_packed_ids(spark, sf_dir):
     return packed.packed_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 

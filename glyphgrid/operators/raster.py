@@ -1,0 +1,85 @@
+"""Queries on rasters, colours, metrics, histograms, neighbours and frames: name, views, SQL.
+
+Names begin with the number of the operator in the survey.
+"""
+
+from glyphgrid.plans.views import OVER_255
+
+CHANNELS = "argb"
+
+
+def psnr(sse: str, n: str) -> str:
+    """Identical is 99, anything else at most 98.9; 4.3429448 is a fixed value."""
+    return f"round(CASE WHEN {sse} = 0 THEN 99.0E0 ELSE least(-4.3429448E0 * ln(CAST({sse} AS DOUBLE) / (CAST({n} AS DOUBLE) * 255.0E0 * 255.0E0)), 98.9E0) END, 6)"
+
+
+def _each(template: str, names=CHANNELS) -> str:
+    return ", ".join(template.format(c) for c in names)
+
+
+_UNMULT = "CASE WHEN a = 0 THEN 0 ELSE least(255, CAST((({0} * ((255 * 65536 + a - 1) {{DIV}} a)) + 32768) >> 16 AS INT)) END AS {0}"
+_ABOVE = "sum(cnt) OVER (PARTITION BY image_id ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_TWO = "(SELECT image_id, y, x, CAST(sum(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s, CAST(sum(v * v) OVER (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS q FROM px_gray)"
+_TAPS = "SELECT p.image_id, p.y, p.x, min((p.v - q.v) * (p.v - q.v)) AS best FROM (SELECT image_id, y, x, v, y + dy.k - 2 AS y2, x + dx.k - 2 AS x2 FROM px_gray, ({grid5}) dy, ({grid5}) dx) p JOIN px_gray q ON q.image_id = p.image_id + 1 AND q.y = p.y2 AND q.x = p.x2 GROUP BY p.image_id, p.y, p.x"
+_FIVE = "SELECT explode(array(0, 1, 2, 3, 4)) AS k"
+
+QUERIES = {
+    # Geometry
+    "o4_1_rect_area": (("rects",), "SELECT id, CAST(w AS BIGINT) * h AS area FROM rects"),
+    "o4_2_point_in_rect": (("rects",), "SELECT id, 6 >= x AND 6 < x + w AND 4 >= y AND 4 < y + h AS inside FROM rects"),
+    "o4_3_rect_contains": (("rect_pairs",), "SELECT id, CASE WHEN w2 * h2 = 0 THEN x2 >= x AND x2 < x + w AND y2 >= y AND y2 < y + h ELSE x2 >= x AND y2 >= y AND x2 + w2 <= x + w AND y2 + h2 <= y + h END AS holds FROM rect_pairs"),
+    "o4_4_rect_intersects": (("rect_pairs",), "SELECT id, x < x2 + w2 AND x2 < x + w AND y < y2 + h2 AND y2 < y + h AS meets FROM rect_pairs"),
+    "o4_6_rect_merge": (("rect_pairs",), "SELECT id, least(x, x2) AS x, least(y, y2) AS y, greatest(x + w, x2 + w2) - least(x, x2) AS w, greatest(y + h, y2 + h2) - least(y, y2) AS h FROM rect_pairs"),
+    "o4_7_crop": (("px",), "SELECT image_id, y - 2 AS y, x - 1 AS x, a, r, g, b FROM px WHERE y >= 2 AND y < 6 AND x >= 1 AND x < 6"),
+    "o4_8_fill": (("px",), "SELECT image_id, y, x, " + _each("CASE WHEN y >= 2 AND y < 5 AND x >= 3 AND x < 7 THEN 128 ELSE {0} END AS {0}") + " FROM px"),
+    "o4_9_border": (("px",), "SELECT image_id, y, x, " + _each("CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 5 AND (y IN (1, 6) OR x IN (2, 5)) THEN 255 ELSE {0} END AS {0}") + " FROM px"),
+    "o4_10_transparency": (("px",), "SELECT image_id, max(CASE WHEN a <> 255 THEN 1 ELSE 0 END) = 1 AS has_transparency FROM px GROUP BY image_id"),
+    "o4_14_premultiply": (("px", "px_raw"), "SELECT image_id, y, x, a, r, g, b FROM px"),
+    "o4_16_depths": (("px",), "SELECT image_id, y, x, (r << 2) AS r10, (g << 2) AS g10, (b << 2) AS b10, (a >> 4) AS a4, (r >> 4) AS r4, (g >> 4) AS g4, (b >> 4) AS b4 FROM px"),
+    "o4_21_rotate_180": (("px",), "SELECT image_id, 7 - y AS y, 7 - x AS x, a, r, g, b FROM px"),
+    "o4_23_rescale": (("px_gray",), "SELECT image_id, y {DIV} 2 AS y, x {DIV} 2 AS x, v FROM px_gray WHERE y % 2 = 0 AND x % 2 = 0"),
+    "o4_24_half": (("px",), "SELECT image_id, y {DIV} 2 AS y, x {DIV} 2 AS x, " + _each("CAST((sum({0}) + 2) >> 2 AS BIGINT) AS {0}") + " FROM px GROUP BY image_id, y {DIV} 2, x {DIV} 2"),
+    "o4_31_difference": (("pair",), "SELECT image_id, " + _each("max(abs({0} - {0}2)) AS {0}") + " FROM pair GROUP BY image_id"),
+    # Colour
+    "o5_7_yuv_to_rgb": (("px_raw",), "SELECT image_id, y, x, " + ", ".join(f"greatest(0, least(255, ((({m[0]}) * r + ({m[1]}) * (g - 128) + ({m[2]}) * (b - 128) + 2048) >> 12) + 128)) AS {c}" for c, m in zip("rgb", ((1188, 0, 1638), (1188, -399, -829), (1188, 2058, 0)))) + " FROM px_raw"),
+    "o6_3_over_gray": (("px",), "SELECT image_id, y, x, " + ", ".join(f"{c} + {OVER_255.format('(255 - a) * ' + v)} AS {c}" for c, v in zip(CHANNELS, ("255", "128", "128", "128"))) + " FROM px"),
+    # Metrics
+    "o7_1_psnr": (("pair",), "SELECT image_id, " + _each("{0}_db") + ", " + psnr("(sr + sg + sb)", "192") + " AS all_db FROM (SELECT image_id, sr, sg, sb, " + ", ".join(psnr(f"s{c}", "64") + f" AS {c}_db" for c in CHANNELS) + " FROM (SELECT image_id, " + _each("CAST(sum(({0} - {0}2) * ({0} - {0}2)) AS BIGINT) AS s{0}") + " FROM pair GROUP BY image_id) s) d"),
+    "o7_4_sse": (("pair",), "SELECT image_id, " + _each("CAST(sum(({0} - {0}2) * ({0} - {0}2)) AS BIGINT) AS sse_{0}") + " FROM pair GROUP BY image_id"),
+    "o7_6_sse_blocks": (("pair",), "SELECT image_id, y {DIV} 4 AS by, x {DIV} 4 AS bx, CAST(sum((g - g2) * (g - g2)) AS BIGINT) AS sse FROM pair GROUP BY image_id, y {DIV} 4, x {DIV} 4"),
+    "o7_12_lsim": (("px_gray",), "SELECT image_id, CAST(sum(best) AS BIGINT) AS lsim_sse FROM (" + _TAPS.replace("{grid5}", _FIVE) + ") t GROUP BY image_id"),
+    "o7_16_window_sse": (("pair",), "SELECT image_id, CAST(sum((r - r2) * (r - r2)) AS BIGINT) AS sse FROM pair WHERE y >= 2 AND y < 6 AND x >= 2 AND x < 6 GROUP BY image_id"),
+    # Histograms and entropy
+    "o8_1_histogram": (("px_gray",), "SELECT p.image_id, CAST(((v - lo) * (k - 1) + d {DIV} 2) {DIV} d AS INT) AS bucket, count(*) AS cnt FROM px_gray p JOIN (SELECT image_id, lo, d, least(d, 16) AS k FROM (SELECT image_id, min(v) AS lo, greatest(1, max(v) - min(v)) AS d FROM px_gray GROUP BY image_id) m) b ON b.image_id = p.image_id GROUP BY p.image_id, CAST(((v - lo) * (k - 1) + d {DIV} 2) {DIV} d AS INT)"),
+    "o8_2_colors": (("px",), "SELECT image_id, CASE WHEN n > 60 THEN 0 ELSE n END AS colors FROM (SELECT image_id, count(DISTINCT ((a * 256 + r) * CAST(65536 AS BIGINT) + g * 256 + b)) AS n FROM px GROUP BY image_id) c"),
+    "o8_3_palette": (("px",), "SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY a, r, g, b) - 1 AS INT) AS idx, a, r, g, b FROM (SELECT DISTINCT image_id, a, r, g, b FROM px) c"),
+    "o8_4_gray_palette": (("px",), "SELECT image_id, min(CASE WHEN r = g AND g = b THEN 1 ELSE 0 END) = 1 AS is_gray FROM px GROUP BY image_id"),
+    "o8_5_flat_blocks": (("px_gray",), "SELECT image_id, y {DIV} 2 AS by, x {DIV} 2 AS bx, min(v) = max(v) AS flat FROM px_gray GROUP BY image_id, y {DIV} 2, x {DIV} 2"),
+    "o8_8_symbols": (("symbols",), "SELECT sym, count(*) AS cnt FROM symbols GROUP BY sym"),
+    "o8_9_symbol_cost": (("hist",), "SELECT image_id, sym, round(log2(CAST(sum(cnt) OVER (PARTITION BY image_id) AS DOUBLE)) - log2(CAST(cnt AS DOUBLE)), 6) AS cost FROM hist"),
+    "o8_10_entropy": (("hist",), "SELECT image_id, round(sum(cnt * (6.0E0 - log2(CAST(cnt AS DOUBLE)))), 6) AS bits FROM hist GROUP BY image_id"),
+    "o8_12_l1": (("hist",), "SELECT image_id, CAST(sum(abs(c1 - c2)) AS BIGINT) AS l1 FROM (SELECT coalesce(p.image_id, q.image_id - 1) AS image_id, coalesce(p.cnt, 0) AS c1, coalesce(q.cnt, 0) AS c2 FROM hist p FULL JOIN (SELECT image_id, image_id - 1 AS before, sym, cnt FROM hist) q ON q.before = p.image_id AND q.sym = p.sym) d GROUP BY image_id"),
+    "o8_14_offsets": (("hist",), f"SELECT image_id, sym, CAST(coalesce({_ABOVE}, 0) AS BIGINT) AS start, cnt AS freq FROM hist"),
+    "o8_16_spread": (("hist",), f"SELECT h.image_id, h.start + k.k AS slot, h.sym FROM (SELECT image_id, sym, cnt, CAST(coalesce({_ABOVE}, 0) AS BIGINT) AS start FROM hist) h JOIN ({{grid64}}) k ON k.k < h.cnt"),
+    # Moments
+    "o9_2_integral": (("px_gray",), "SELECT image_id, y, x, CAST(sum(s) OVER (PARTITION BY image_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s, CAST(sum(q) OVER (PARTITION BY image_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) AS BIGINT) AS q FROM " + _TWO + " t"),
+    "o9_3_std_dev": (("px_gray",), "SELECT image_id, y {DIV} 4 AS by, x {DIV} 4 AS bx, round(sqrt(CAST(16 * sum(v * v) - sum(v) * sum(v) AS DOUBLE)) / 16.0E0, 6) AS std_dev FROM px_gray GROUP BY image_id, y {DIV} 4, x {DIV} 4"),
+    "o9_17_block_min_max": (("px_gray",), "SELECT image_id, y {DIV} 4 AS by, x {DIV} 4 AS bx, min(v) AS lo, max(v) AS hi FROM px_gray GROUP BY image_id, y {DIV} 4, x {DIV} 4"),
+    # Neighbours
+    "o10_2_left": (("near",), "SELECT image_id, y, x, v - l AS residue FROM near WHERE x > 0"),
+    "o10_3_top": (("near",), "SELECT image_id, y, x, v - t AS residue FROM near WHERE y > 0"),
+    "o10_4_top_right": (("around",), "SELECT image_id, y, x, v - tr AS residue FROM around"),
+    "o10_5_top_left": (("around",), "SELECT image_id, y, x, v - tl AS residue FROM around"),
+    "o10_6_average_3": (("around",), "SELECT image_id, y, x, v - ((((l + tr) >> 1) + t) >> 1) AS residue FROM around"),
+    "o10_7_left_top_left": (("around",), "SELECT image_id, y, x, v - ((l + tl) >> 1) AS residue FROM around"),
+    "o10_8_left_top": (("around",), "SELECT image_id, y, x, v - ((l + t) >> 1) AS residue FROM around"),
+    "o10_9_top_left_top": (("around",), "SELECT image_id, y, x, v - ((tl + t) >> 1) AS residue FROM around"),
+    "o10_10_top_top_right": (("around",), "SELECT image_id, y, x, v - ((t + tr) >> 1) AS residue FROM around"),
+    "o10_11_average_4": (("around",), "SELECT image_id, y, x, v - ((((l + tl) >> 1) + ((t + tr) >> 1)) >> 1) AS residue FROM around"),
+    # Frames
+    "o15_7_final_frames": (("frames",), "SELECT anim_id, frame_idx, duration_ms, CAST(coalesce(sum(CASE WHEN duration_ms > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY anim_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS final_idx FROM frames"),
+    "o15_8_positions": (("frames",), "SELECT anim_id, frame_idx, CAST(coalesce(sum(num_bytes) OVER (PARTITION BY anim_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position, max(CASE WHEN frame_idx = 0 OR clears THEN frame_idx END) OVER (PARTITION BY anim_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS disposed_at FROM frames"),
+}
+#: The survey's distance from uniform over the symbols seen.
+QUERIES["o8_13_entropy"] = (("hist",), "SELECT image_id, round(sqrt(sum((CAST(cnt AS DOUBLE) / 64.0E0 - 1.0E0 / n) * (CAST(cnt AS DOUBLE) / 64.0E0 - 1.0E0 / n))), 6) AS distance FROM (SELECT image_id, cnt, count(*) OVER (PARTITION BY image_id) AS n FROM hist) h GROUP BY image_id")
+QUERIES["o4_15_unmultiply"] = (("px",), "SELECT image_id, y, x, a, " + _each(_UNMULT, "rgb") + " FROM px")

@@ -1,0 +1,68 @@
+"""Rasters, histograms and frames derived from the driver's tables, as SQL of Spark and of DuckDB.
+
+A view is a common table expression; a query names the ones it needs. All arithmetic is on
+integers, so that both engines agree bit for bit.
+"""
+
+#: What differs between the two dialects.
+SPARK = {
+    "gray": "SELECT vec_id AS image_id, CAST(pos DIV 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 128) AS INT) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, e",
+    "chars": "SELECT doc_id AS stream_id, CAST(pos + 1 AS INT) AS pos, sym FROM {documents} LATERAL VIEW posexplode(split(substring(text, 1, 256), '')) t AS pos, sym WHERE length(text) > 0",
+    "DIV": "DIV",
+    "grid": "SELECT CAST(id AS INT) AS k FROM range(0, {n})",
+}
+DUCK = {
+    "gray": "SELECT vec_id AS image_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 128) AS INT) AS v FROM {embeddings}, range(1, 65) t(i)",
+    "chars": "SELECT doc_id AS stream_id, CAST(i AS INT) AS pos, substring(text, i, 1) AS sym FROM {documents}, LATERAL (SELECT unnest(range(1, least(length(text), 256) + 1)) AS i) t WHERE length(text) > 0",
+    "DIV": "//",
+    "grid": "SELECT CAST(range AS INT) AS k FROM range(0, {n})",
+}
+OVER_255 = "((({0}) + (({0}) >> 8) + 128) >> 8)"
+VIEWS = {
+    "px_gray": "{gray}",
+    "px_raw": "SELECT image_id, y, x, CASE WHEN image_id % 2 = 0 THEN 255 ELSE (3 * v) % 256 END AS a, v AS r, (7 * v + 13 * x) % 256 AS g, (11 * v + 29 * y) % 256 AS b FROM px_gray",
+    "px": "SELECT image_id, y, x, a, " + ", ".join(f"CASE WHEN a = 255 THEN {c} ELSE {OVER_255.format(f'{c} * a')} END AS {c}" for c in "rgb") + " FROM px_raw",
+    "pair": "SELECT p.image_id, p.y, p.x, p.a, p.r, p.g, p.b, q.a AS a2, q.r AS r2, q.g AS g2, q.b AS b2 FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x",
+    "hist": "SELECT image_id, v AS sym, count(*) AS cnt FROM px_gray GROUP BY image_id, v",
+    "near": """SELECT *, lag(v) OVER (PARTITION BY image_id, y ORDER BY x) AS l, lag(v) OVER (PARTITION BY image_id, x ORDER BY y) AS t,
+        lag(v, 9) OVER (PARTITION BY image_id ORDER BY y, x) AS tl0, lag(v, 7) OVER (PARTITION BY image_id ORDER BY y, x) AS tr0 FROM px_gray""",
+    "around": "SELECT image_id, y, x, v, l, t, tl0 AS tl, tr0 AS tr FROM near WHERE y > 0 AND x > 0 AND x < 7",
+    "symbols": "{chars}",
+    "frames": """SELECT user_id AS anim_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame_idx,
+        CAST(CASE WHEN event_type = 'view' THEN 0 ELSE floor(value) + 1 END AS BIGINT) AS duration_ms, event_type = 'signup' AS clears, length(props) AS num_bytes FROM {events}""",
+    "rects": "SELECT event_id AS id, CAST(event_id % 13 AS INT) AS x, CAST(event_id % 7 AS INT) AS y, CAST(event_id % 5 AS INT) AS w, CAST(event_id % 6 AS INT) AS h FROM {events}",
+    "rect_pairs": "SELECT p.id, p.x, p.y, p.w, p.h, q.x AS x2, q.y AS y2, q.w AS w2, q.h AS h2 FROM rects p JOIN rects q ON q.id = p.id + 1",
+}
+NEEDS = {"px_raw": ["px_gray"], "px": ["px_raw"], "pair": ["px"], "hist": ["px_gray"], "near": ["px_gray"], "around": ["near"], "rect_pairs": ["rects"]}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def sql(body: str, views: tuple, dialect: dict, tables: dict) -> str:
+    """The query with the views that it needs, in one dialect."""
+    order: list = []
+
+    def add(name: str) -> None:
+        for below in NEEDS.get(name, []):
+            add(below)
+        if name not in order:
+            order.append(name)
+
+    for name in views:
+        add(name)
+
+    def fill(text: str) -> str:
+        for _ in range(2):
+            for key, value in (dialect | tables).items():
+                text = text.replace("{" + key + "}", value)
+        return text
+
+    heads = ", ".join(f"{name} AS ({fill(VIEWS[name])})" for name in order)
+    return (f"WITH {heads} " if heads else "") + fill(body)
+
+
+def spark_sql(body: str, views: tuple, sf_dir: str) -> str:
+    return sql(body, views, SPARK, {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
+
+
+def duck_sql(body: str, views: tuple) -> str:
+    return sql(body, views, DUCK, {t: t for t in TABLES})

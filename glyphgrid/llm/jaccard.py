@@ -7,9 +7,9 @@
    order of shingles. The order is by load of the shingle's bucket, so that shingles of
    frequent passages come last. The nodes of one such shingle are a block. Blocks of one
    node and, later, of one component are dropped: they can add nothing.
-4. In rounds, neighbours in a block are tried first, which joins most of a family of copies
-   without all its pairs. Then every block is searched by an R-tree for pairs of different
-   components that the bound lets through. A block over ``CHUNK`` nodes is split into
+4. Neighbours in a block are tried first, then in rounds each node's nearest by the bound, which
+   joins most of a family of copies without all its pairs. Then every block is searched by an
+   R-tree for all pairs of different components that the bound lets through. A block over ``CHUNK`` nodes is split into
    chunks, and each pair of chunks is searched in a task of its own.
 5. Surviving pairs are verified on the shingle sets; components come by alternating stars.
 
@@ -28,7 +28,7 @@ from glyphgrid.llm.common import written
 from glyphgrid.llm.shingles import shingle_set
 
 WORDS, PERCENT = 4, 85
-GROUPS, BUCKETS, CHUNK, LEAF, ROUNDS = 16, 1 << 16, 4096, 16, 2
+GROUPS, BUCKETS, CHUNK, LEAF, ROUNDS, NEAREST = 128, 1 << 16, 4096, 16, 1, 3
 _EDGES = "a binary, b binary"
 
 
@@ -36,8 +36,14 @@ def node_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+def point(shingles: np.ndarray) -> bytes:
+    """Group counts in one byte each, or in four where one is over 255."""
+    counts = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def coordinates(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if len(packed) == GROUPS else np.uint32).astype(np.int32)
 
 
 def needed(n: int, m, percent: int):
@@ -77,7 +83,7 @@ def members(docs: DataFrame, key: str, text: str, words: int, percent: int) -> D
                 order = np.lexsort((s, load[(s >> np.uint64(48)).astype(np.int64)]))
                 out[0].append(n)
                 out[1].append(node_of(s) if n else None)
-                out[2].append(point(s).tobytes())
+                out[2].append(point(s))
                 out[3].append(s[order[: n - -(-percent * n // 100) + 1]].view(np.int64) if n else [])
             kinds = pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names=["id", "n", "node", "point", "prefix"])
@@ -90,8 +96,11 @@ def _pairs(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
-def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (token, n, node, point, comp): pairs that stand side by side in a block, if the bound lets them through."""
+def neighbours(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """rows (token, n, node, point, comp): pairs of different components side by side in a block, if the bound lets them through.
+
+    A turn stands the nodes of a block in an order of its own.
+    """
 
     def run(batches):
         last = None
@@ -99,19 +108,22 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
             found = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if last is not None and last[0] == row[0] and last[4] != row[4]:
-                    both = np.minimum(np.frombuffer(last[3], np.int32), np.frombuffer(row[3], np.int32)).sum()
+                    both = np.minimum(coordinates(last[3]), coordinates(row[3])).sum()
                     if both >= needed(last[1], row[1], percent):
                         found.append((last[2], row[2]))
                 last = row
             yield _pairs(found)
 
-    return rows.select("token", "n", "node", "point", "comp").repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node").mapInArrow(run, _EDGES)
+    order = "token", "size", "place", "node"
+    rows = rows.select("token", "n", "node", "point", "comp", F.floor(F.log2("n") * 4).alias("size"), F.xxhash64("node", F.lit(turn)).alias("place"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGES)
 
 
-def tree_pairs(n, points, comps, sides, percent: int):
+def tree_pairs(n, points, comps, sides, percent: int, nearest: bool = False):
     """Pairs (i, j) of different components that the bound lets through, of different sides if there are two.
 
     The points stand by size, LEAF to a leaf; a leaf's largest coordinates bound all its points.
+    nearest: for each i only the j whose bound exceeds the need by most.
     """
     size = len(n)
     tops = np.stack([points[k : k + LEAF].max(0) for k in range(0, size, LEAF)])
@@ -122,15 +134,26 @@ def tree_pairs(n, points, comps, sides, percent: int):
         first = (i + 1) // LEAF
         leaves = np.minimum(tops[first : (end - 1) // LEAF + 1], points[i]).sum(1)
         # The need is least for the smallest partner, which has n[i] shingles.
+        best, most = -1, -1
         for leaf in np.flatnonzero(leaves >= needed(n[i], n[i], percent)) + first:
             j = np.arange(max(leaf * LEAF, i + 1), min((leaf + 1) * LEAF, end))
-            ok = (np.minimum(points[j], points[i]).sum(1) >= needed(n[i], n[j], percent)) & (comps[j] != comps[i])
-            for k in j[ok if sides is None else ok & (sides[j] != sides[i])]:
-                yield i, k
-
-
-def searched(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (token, size of the block, n, node, point, comp): all pairs of different components that survive the bound."""
+            over = np.minimum(points[j], points[i]).sum(1) - needed(n[i], n[j], percent)
+            ok = (over >= 0) & (comps[j] != comps[i])
+            if sides is not None:
+                ok &= sides[j] != sides[i]
+            if not nearest:
+                for k in j[ok]:
+                    yield i, k
+            elif ok.any():
+                k = int(np.argmax(np.where(ok, over, -1)))
+                if over[k] > most:
+                    best, most = j[k], over[k]
+        if best >= 0:
+            yield i, best
+
+
+def searched(rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """rows (token, size of the block, n, node, point, comp): all pairs of different components that survive the bound, or each node's nearest."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -141,9 +164,9 @@ def searched(rows: DataFrame, percent: int) -> DataFrame:
         comps = np.unique(np.array([r[6].hex() for r in block]), return_inverse=True)[1]
         if comps.max() == 0:
             return
-        points = np.stack([np.frombuffer(r[5], np.int32) for r in block])
+        points = np.stack([coordinates(r[5]) for r in block])
         sides = np.array([r[7] for r in block]) if block[0][1] != block[0][2] else None
-        for i, j in tree_pairs(n, points, comps, sides, percent):
+        for i, j in tree_pairs(n, points, comps, sides, percent, nearest):
             yield block[i][4], block[j][4]
 
     def run(batches):
@@ -200,13 +223,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     small = nodes.select("node", "n", "point")
     stars = None
     for rank in range(ROUNDS):
-        tried = _with_components(blocks.filter(F.col("rank") == rank).select("node", "token").join(small, "node"), stars)
-        edges = verified(neighbours(tried, percent))
+        tried = _with_components(blocks.filter(F.col("rank") <= 1).select("node", "token").join(small, "node"), stars)
+        edges = verified(neighbours(tried, percent, rank))
         stars = graph.components(edges if stars is None else edges.unionByName(stars))
-    named, _ = written(_with_components(blocks.select("node", "token"), stars), "named")
-    mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token", "size")
-    left = named.join(mixed, "token").join(small, "node")
-    stars = graph.components(verified(searched(left, percent)).unionByName(stars))
+    for turn in range(NEAREST + 1):
+        named, _ = written(_with_components(blocks.select("node", "token"), stars), "named")
+        mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token", "size")
+        left = named.join(mixed, "token").join(small, "node")
+        stars = graph.components(verified(searched(left, percent, turn < NEAREST)).unionByName(stars))
     owned = _with_components(rows.select("id", "n", "node"), stars)
     first = owned.filter("node is not null").groupBy("comp").agg(F.min("id").alias("least"))
     return owned.join(first, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

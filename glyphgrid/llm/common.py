@@ -34,6 +34,15 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> tuple[DataFrame, str]:
+    """As written, in buckets of key: joins on it move the other side only. Gives the name of the table, to be dropped."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"glyphgrid_{tag}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name, path=scratch_path(spark, tag))
+    return spark.table(name), name
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no plan reads any more."""
     for path in paths:

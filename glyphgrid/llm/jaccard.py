@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glyphgrid.llm import graph
-from glyphgrid.llm.common import written
+from glyphgrid.llm.common import bucketed, drop, written
 from glyphgrid.llm.shingles import shingle_set
 
 WORDS, PERCENT = 4, 85
@@ -197,6 +197,7 @@ def _with_components(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id of each row."""
+    spark = docs.sparkSession
     rows, _ = written(members(docs, key, text, words, percent), "members")
     nodes, _ = written(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"), F.min("id").alias("id")), "nodes")
     tokens = nodes.select("node", F.posexplode("prefix").alias("rank", "token"))
@@ -212,7 +213,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     ids = wanted.select(F.col("id").alias("_id")).distinct()
     texts = docs.join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_semi").select(F.col(text).cast("string")).mapInArrow(run, "node binary, shingles array<long>")
-    sets, _ = written(texts.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    # Bucketed by node: the verifications move their pairs only, not all sets again each time.
+    sets, sets_table = bucketed(texts.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "node", "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -226,11 +228,18 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         tried = _with_components(blocks.filter(F.col("rank") <= 1).select("node", "token").join(small, "node"), stars)
         edges = verified(neighbours(tried, percent, rank))
         stars = graph.components(edges if stars is None else edges.unionByName(stars))
+    left = blocks.select("node", "token")
     for turn in range(NEAREST + 1):
-        named, _ = written(_with_components(blocks.select("node", "token"), stars), "named")
+        named, named_path = written(_with_components(left, stars), "named")
         mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token", "size")
-        left = named.join(mixed, "token").join(small, "node")
-        stars = graph.components(verified(searched(left, percent, turn < NEAREST)).unionByName(stars))
+        # Components only grow, so a block of one component is done with for all later turns.
+        narrow, _ = written(named.join(mixed, "token"), "mixed")
+        drop(spark, named_path)
+        if narrow.isEmpty():
+            break
+        stars = graph.components(verified(searched(narrow.join(small, "node"), percent, turn < NEAREST)).unionByName(stars))
+        left = narrow.select("node", "token")
+    spark.sql(f"DROP TABLE {sets_table}")
     owned = _with_components(rows.select("id", "n", "node"), stars)
     first = owned.filter("node is not null").groupBy("comp").agg(F.min("id").alias("least"))
     return owned.join(first, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

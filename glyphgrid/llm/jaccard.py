@@ -29,6 +29,8 @@ from glyphgrid.llm.shingles import shingle_set
 
 WORDS, PERCENT = 4, 85
 GROUPS, BUCKETS, CHUNK, LEAF, ROUNDS, NEAREST = 128, 1 << 16, 4096, 16, 1, 3
+#: Turns by nearest go on while each leaves less than this share of the rows before it.
+SHRINK = 0.95
 _EDGES = "a binary, b binary"
 
 
@@ -228,17 +230,22 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         tried = _with_components(blocks.filter(F.col("rank") <= 1).select("node", "token").join(small, "node"), stars)
         edges = verified(neighbours(tried, percent, rank))
         stars = graph.components(edges if stars is None else edges.unionByName(stars))
-    left = blocks.select("node", "token")
+    left, before = blocks.select("node", "token"), None
     for turn in range(NEAREST + 1):
         named, named_path = written(_with_components(left, stars), "named")
         mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token", "size")
         # Components only grow, so a block of one component is done with for all later turns.
         narrow, _ = written(named.join(mixed, "token"), "mixed")
         drop(spark, named_path)
-        if narrow.isEmpty():
+        size = narrow.count()
+        if not size:
             break
-        stars = graph.components(verified(searched(narrow.join(small, "node"), percent, turn < NEAREST)).unionByName(stars))
-        left = narrow.select("node", "token")
+        # A turn that finished hardly any block would be followed by others like it: all that is left is searched at once.
+        nearest = turn < NEAREST and (before is None or size < SHRINK * before)
+        stars = graph.components(verified(searched(narrow.join(small, "node"), percent, nearest)).unionByName(stars))
+        if not nearest:
+            break
+        left, before = narrow.select("node", "token"), size
     spark.sql(f"DROP TABLE {sets_table}")
     owned = _with_components(rows.select("id", "n", "node"), stars)
     first = owned.filter("node is not null").groupBy("comp").agg(F.min("id").alias("least"))

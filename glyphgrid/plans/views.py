@@ -7,7 +7,7 @@ integers, so that both engines agree bit for bit.
 #: What differs between the two dialects.
 SPARK = {
     "gray": "SELECT vec_id AS image_id, CAST(pos DIV 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 128) AS INT) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, e",
-    "chars": "SELECT doc_id AS stream_id, CAST(pos + 1 AS INT) AS pos, sym FROM {documents} LATERAL VIEW posexplode(split(substring(text, 1, 256), '')) t AS pos, sym WHERE length(text) > 0",
+    "chars": "SELECT doc_id AS stream_id, CAST(pos + 1 AS INT) AS pos, sym FROM {documents} LATERAL VIEW posexplode(split(text, '')) t AS pos, sym WHERE length(text) > 0",
     "DIV": "DIV",
     "grid": "SELECT CAST(id AS INT) AS k FROM range(0, {n})",
 }

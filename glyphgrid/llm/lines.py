@@ -1,19 +1,22 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-1. Lines are hashed; lines without a word don't count. From each line on, the shortest run
-   of lines with ``BLOCK_WORDS`` words is a seed. Every block that may be deleted contains a
-   shared seed, and seeds are rare where single lines (greetings, notices) are not.
-2. A document is paired with the first holder of each of its seeds, not with all
-   holders: pairs grow with the documents, however often a passage occurs.
-3. A pair is aligned by patience diff: seeds that are unique in both are anchors, the
+1. The unit is a word, so that a block may begin and end within lines. A block that may be
+   deleted is a run of ``BLOCK_WORDS`` equal words or more; the white space between them doesn't count.
+2. Each window of ``BLOCK_WORDS`` words gives the least hash of its runs of ``SEED_WORDS`` words
+   (winnowing). Documents that share a window share that hash, so the few hashes that two
+   documents hold show where all shared windows can be.
+3. Of the windows that contain such a run, a document is paired with the first holder of
+   each, not with all holders: pairs grow with the documents, however often a passage occurs.
+4. A pair is aligned by patience diff: windows that are unique in both are anchors, the
    longest increasing chain of them holds, and each anchor grows into a block of equal
-   lines. The lines left are aligned again until no block remains, so that passages
+   words. The words left are aligned again until no block remains, so that passages
    in another order are found as well.
-4. Blocks of ``BLOCK_WORDS`` words or more are deleted from the later document.
+5. The blocks are deleted from the later document, and lines that lose all their words with them.
 
 Documents are ordered by key (null first); rows of equal key by their place in the input.
 Null and empty texts stay as they are. A document may lose all its lines; its row stays, with
-an empty text. An empty table gives no rows. Added columns begin with an underscore.
+an empty text. Lines that lose only some words stay and don't count as deleted. An empty table
+gives no rows. Added columns begin with an underscore.
 """
 
 import re
@@ -26,21 +29,42 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from glyphgrid.llm.common import written
+from glyphgrid.llm.shingles import MULTIPLY, _word, mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BLOCK_WORDS = 30
+BLOCK_WORDS, SEED_WORDS = 30, 20
 
 
-def hashed_lines(text: str) -> tuple:
-    """Place, hash and words of each line that has a word."""
-    places, hashes, words = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        n = len(WORD.findall(line))
-        if n:
-            places.append(i)
-            hashes.append(xxhash.xxh64_intdigest(line.strip()) - 2**63)
-            words.append(n)
-    return places, hashes, words
+def hashed_words(text: str) -> np.ndarray:
+    found = WORD.findall(text)
+    return np.fromiter(map(_word, found), np.uint64, len(found))
+
+
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of so many words."""
+    n = len(hashes) - size + 1
+    out = np.full(max(n, 0), size, np.uint64)
+    for i in range(size if n > 0 else 0):
+        out = mixed(out * MULTIPLY + hashes[i : n + i])
+    return out.view(np.int64)
+
+
+def winnowed(hashes: np.ndarray, least: int) -> np.ndarray:
+    """The distinct least hashes of runs, one of each window of least words."""
+    size = min(SEED_WORDS, least)
+    runs = windows(hashes, size)
+    if len(hashes) < least:
+        return runs[:0]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(runs, least - size + 1).min(1))
+
+
+def windows_near(hashes: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """The distinct hashes of the windows of least words that contain a shared run."""
+    size = min(SEED_WORDS, least)
+    if len(hashes) < least:
+        return np.zeros(0, np.int64)
+    hit = np.isin(windows(hashes, size), shared)
+    return np.unique(windows(hashes, least)[np.lib.stride_tricks.sliding_window_view(hit, least - size + 1).any(1)])
 
 
 def seeds(hashes, words, least: int) -> list:
@@ -76,13 +100,20 @@ def increasing(pairs: list) -> list:
     return out[::-1]
 
 
-def common_blocks(early: list, late: list, words: list, least: int) -> set:
-    """Lines of late in blocks that it shares with early; words are those of late."""
-    early_words = dict(zip(late, words))
+def common_blocks(early, late, words: list | None, least: int) -> set:
+    """Units of late in blocks that it shares with early; words are those of late's units, None where a unit is a word."""
     early_seeds: dict = {}
-    for i, _, h in seeds(early, [early_words.get(x, least) for x in early], least):
-        early_seeds.setdefault(h, []).append(i)
-    late_seeds = [(i, h) for i, _, h in seeds(late, words, least) if h in early_seeds]
+    if words is None:
+        all_early, all_late = windows(early, least), windows(late, least)
+        for j in np.flatnonzero(np.isin(all_early, all_late)).tolist():
+            early_seeds.setdefault(int(all_early[j]), []).append(j)
+        late_seeds = [(i, int(all_late[i])) for i in np.flatnonzero(np.isin(all_late, all_early)).tolist()]
+        early, late = early.tolist(), late.tolist()
+    else:
+        early_words = dict(zip(late, words))
+        for i, _, h in seeds(early, [early_words.get(x, least) for x in early], least):
+            early_seeds.setdefault(h, []).append(i)
+        late_seeds = [(i, h) for i, _, h in seeds(late, words, least) if h in early_seeds]
     gone: set = set()
     while True:
         left = [(i, h) for i, h in late_seeds if i not in gone]
@@ -102,49 +133,103 @@ def common_blocks(early: list, late: list, words: list, least: int) -> set:
             gone.update(range(i - low, i + high))
 
 
+def ranges(units: set) -> list:
+    """Ascending starts and ends of the runs of units, one after the other."""
+    out: list = []
+    for i in sorted(units):
+        if out and out[-1] == i:
+            out[-1] = i + 1
+        else:
+            out += [i, i + 1]
+    return out
+
+
+def cut(text: str, gone: list) -> tuple:
+    """The text less the words in the ranges, and the number of lines that lost all their words."""
+    dead: set = set()
+    for k in range(0, len(gone), 2):
+        dead.update(range(gone[k], gone[k + 1]))
+    out, at, deleted = [], 0, 0
+    for line in text.split("\n"):
+        found = [(m.start(), m.end()) for m in WORD.finditer(line)]
+        left = [k for k in range(len(found)) if at + k not in dead]
+        at += len(found)
+        if found and not left:
+            deleted += 1
+            continue
+        if len(left) < len(found):
+            # A kept word takes the space after it along, except where the rest of the line goes.
+            parts = [line[: found[0][0]]]
+            for k in left:
+                parts.append(line[found[k][0] : found[k + 1][0] if k + 1 < len(found) and k != left[-1] else found[k][1]])
+            if left[-1] == len(found) - 1:
+                parts.append(line[found[-1][1] :])
+            line = "".join(parts)
+        out.append(line)
+    return "\n".join(out), deleted
+
+
+def _lists(rows: list, kind) -> pa.Array:
+    return pa.array(rows, pa.list_(kind))
+
+
 def hashed(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """All columns of docs and _row, _places, _hashes, _words and _seeds."""
+    """All columns of docs and _row, _n_lines and _seeds."""
 
     def run(batches):
         for batch in batches:
-            rows = []
+            n_lines, found = [], []
             for value in batch.column(at):
-                places, hashes, words = hashed_lines(value.as_py() or "")
-                rows.append((places, hashes, words, sorted({h for _, _, h in seeds(hashes, words, least)})))
-            kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[i] for r in rows], kinds[i]) for i in range(4)]], names=[*names, "_places", "_hashes", "_words", "_seeds"])
+                value = value.as_py() or ""
+                n_lines.append(sum(WORD.search(line) is not None for line in value.split("\n")))
+                found.append(winnowed(hashed_words(value), least))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_lines, pa.int32()), _lists(found, pa.int64())], names=[*names, "_n_lines", "_seeds"])
 
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     names = rows.columns
     at = names.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, schema + ", _places array<int>, _hashes array<long>, _words array<int>, _seeds array<long>")
+    return rows.mapInArrow(run, schema + ", _n_lines int, _seeds array<long>")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
     """The rows and columns of docs, common blocks deleted, and _n_lines and _n_deleted."""
     rows, _ = written(hashed(docs, text, least), "lines")
-    holders = rows.select(F.explode("_seeds").alias("seed"), F.struct(F.col(key).alias("id"), F.col("_row").alias("row")).alias("doc"))
+    texts = rows.select("_row", F.col(key).alias("id"), F.col(text).alias("text"))
+    runs = rows.select("_row", F.explode("_seeds").alias("seed"))
+    shared = runs.join(runs.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seed")
+    near = texts.join(shared.groupBy("_row").agg(F.collect_list("seed").alias("shared")), "_row").select("_row", "id", "text", "shared")
+
+    def held(batches):
+        for batch in batches:
+            found = [windows_near(hashed_words(t or ""), np.asarray(s, np.int64), least) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(found, pa.int64())], names=["row", "id", "windows"])
+
+    held_by = near.mapInArrow(held, f"row long, id {docs.schema[key].dataType.simpleString()}, windows array<long>")
+    holders = written(held_by, "line-windows")[0].select(F.explode("windows").alias("seed"), F.struct("id", "row").alias("doc"))
     first = holders.groupBy("seed").agg(F.min("doc").alias("early"), F.count("*").alias("n")).filter("n > 1").select("seed", F.col("early.row").alias("early"))
     pairs = holders.select("seed", F.col("doc.row").alias("late")).join(first, "seed").filter("late <> early").select("late", "early").distinct()
     pairs, _ = written(pairs, "line-pairs")
-    late = rows.select(F.col("_row").alias("late"), F.col("_places").alias("places"), F.col("_hashes").alias("late_lines"), F.col("_words").alias("words"))
-    early = rows.select(F.col("_row").alias("early"), F.col("_hashes").alias("early_lines"))
-    both = pairs.join(late, "late").join(early, "early").select("late", "places", "late_lines", "words", "early_lines")
+    late, early = [texts.select(F.col("_row").alias(x), F.col("text").alias(f"{x}_text")) for x in ("late", "early")]
+    both = pairs.join(late, "late").join(early, "early").select("late", "late_text", "early_text")
 
     def run(batches):
         for batch in batches:
-            ids, gone = [], []
-            for row, places, lines, words, others in zip(*[c.to_pylist() for c in batch.columns]):
-                ids.append(row)
-                gone.append([places[i] for i in sorted(common_blocks(others, lines, words, least))])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["_row", "gone"])
-
-    gone = both.mapInArrow(run, "_row long, gone array<int>").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
-    out = rows.join(gone, "_row", "left").withColumn("_n_lines", F.size("_places")).withColumn("_n_deleted", F.coalesce(F.size("_gone"), F.lit(0)))
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
-    return out.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_n_deleted")
+            gone = [ranges(common_blocks(hashed_words(y), hashed_words(x), None, least)) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(gone, pa.int32())], names=["_row", "gone"])
+
+    gone = both.mapInArrow(run, "_row long, gone array<int>").groupBy("_row").agg(F.flatten(F.collect_list("gone")).alias("_gone"))
+
+    def cleaned(batches):
+        for batch in batches:
+            got = [cut(t, g) if g else (t, 0) for t, g in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            columns = [*batch.columns[:at], pa.array([t for t, _ in got], batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in got], pa.int32())], names=names)
+
+    out = rows.join(gone, "_row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_gone")
+    at, names = docs.columns.index(text), [*docs.columns, "_n_lines", "_n_deleted"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return out.mapInArrow(cleaned, schema + ", _n_lines int, _n_deleted int")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -54,3 +54,32 @@ def test_documents(spark):
 def test_order_of_passages_does_not_matter():
     a, b, x = [1, 2, 3], [4, 5, 6], [7]
     assert lines.common_blocks(a + x + b, b + [8] + a, [10] * 7, 30) == {0, 1, 2, 4, 5, 6}
+
+
+def test_blocks_within_lines(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+    exact, passage, split, short = words(30), words(53), words(54), words(29)
+    halves = split.split(" ", 22)
+    halves = " ".join(halves[:22]), halves[22]
+    first = [words(20) + " " + exact + " " + words(9), words(4) + " " + passage, words(8) + " " + split + " " + words(5), short + " " + words(7)]
+    texts = ["\n".join(first)]
+    kept = [words(6) for _ in range(9)]
+    texts += [f"{kept[0]} {exact} {kept[1]}\nx y"]
+    texts += [f"{kept[2]}\t{passage}\n{kept[3]}\n{passage}  {kept[4]} "]
+    texts += [f"{kept[5]} {halves[0]}\n{halves[1]} {kept[6]}"]
+    texts += [f"{kept[7]} {short} {kept[8]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._n_lines, r._n_deleted) for r in lines.dedup(docs).collect()}
+    assert got[0] == (texts[0], 4, 0)
+    assert got[1] == (f"{kept[0]} {kept[1]}\nx y", 2, 0)
+    assert got[2] == (f"{kept[2]}\n{kept[3]}\n{kept[4]} ", 3, 0)
+    assert got[3] == (f"{kept[5]}\n{kept[6]}", 2, 0)
+    assert got[4] == (texts[4], 1, 0)
+
+
+def test_first_holder_of_a_longer_block(spark):
+    """The first document shares less than a block with the others, in the middle of the block that they share."""
+    w = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(0, " ".join(["a", *w[6:34], "b"])), (1, " ".join(["c", *w, "d"])), (2, " ".join(["e", *w, "f"]))], "doc_id long, text string")
+    assert [r.text for r in lines.dedup(docs).orderBy("doc_id").collect()][2] == "e f"

@@ -28,11 +28,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words: again and again as often as it takes them whole, at least once."""
-    rows = mixing.mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")) + (F.col("source").alias("_source"),))
-    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    rows = rows.filter("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    return rows.withColumnRenamed("_source", "source").select(*docs.columns)
+    """The words that the mix takes, as texts: whole documents for full rounds, the taken blocks for what is beyond. n_chars is counted anew."""
+    rows = mixing.texts_taken(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphgrid.llm.common import written
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -73,6 +73,28 @@ def quotas(goals: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
 
 def mix(docs: DataFrame, key: str = "doc_id", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, keep: tuple = ()) -> DataFrame:
     """key, size, source_size, target and taken of each row (and the kept columns)."""
+    rows = placed(docs, key, seed, weights, share, most, block_words, shards, keep)
+    return rows.select(key, *docs.limit(0).select(*keep).columns, "size", "source_size", "target", taken(block_words).alias("taken"))
+
+
+def texts_taken(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
+    """The rows that the mix takes, with the columns of docs: a source's words are as many as ``taken`` of its rows.
+
+    Each row comes whole once for each full round through its source's blocks; the words of its
+    blocks that are taken once more, with the white space after them, come as a row of their own.
+    """
+    kept = tuple(F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns)
+    rows = placed(docs, key, seed, weights, share, most, block_words, shards, kept).filter("size > 0")
+    block = lambda i: F.floor((F.col("p0") + i) / block_words)
+    words = F.filter(F.regexp_extract_all(f"_{text}", F.lit(f"{WORD}{SPACE}"), F.lit(0)), lambda w, i: once_more(block(i)))
+    rest = F.when(F.size(words) == F.col("size"), F.col(f"_{text}")).when(F.size(words) > 0, F.array_join(words, ""))
+    texts = F.concat(F.array_repeat(F.col(f"_{text}"), F.col("rounds").cast("int")), F.array_compact(F.array(rest)))
+    rows = rows.withColumn("_taken_text", F.explode(texts))
+    return rows.select(*[F.col("_taken_text" if c == text else f"_{c}").alias(c) for c in docs.columns])
+
+
+def placed(docs: DataFrame, key: str, seed: int, weights: tuple, share: float, most: int, block_words: int, shards: int, keep: tuple) -> DataFrame:
+    """key, the kept columns, size and p0, the words before it in its source, of each row, and its source's plan."""
     sizes = docs.select(key, F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size"), *keep)
     sizes, _ = written(sizes, "mix-sizes")
     plan = plan_sources(sizes, seed, weights, share, most, block_words, shards)
@@ -84,8 +106,7 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: int = 7, weights: tuple = WE
     before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select("name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     own = F.sum("size").over(Window.partitionBy("name", "part").orderBy("h", key, "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = rows.withColumn("own", own).join(shifts, ["name", "part"]).withColumn("p0", F.col("shift") + F.col("own"))
-    return placed.join(plan, "name").select(key, *keep, "size", "source_size", "target", taken(block_words).alias("taken"))
+    return rows.withColumn("own", own).join(shifts, ["name", "part"]).withColumn("p0", F.col("shift") + F.col("own")).join(plan, "name")
 
 
 def plan_sources(sizes: DataFrame, seed: int, weights: tuple, share: float, most: int, block_words: int, shards: int) -> DataFrame:
@@ -107,12 +128,17 @@ def plan_sources(sizes: DataFrame, seed: int, weights: tuple, share: float, most
     return written(plan, "mix-plan")[0]
 
 
+def once_more(j: Column) -> Column:
+    """Whether block j of a source is taken once more than the full rounds take it."""
+    return (F.col("stride") * j + F.col("offset")) % F.col("n_blocks") < F.col("rest")
+
+
 def taken(block_words: int) -> Column:
     """Words of a document, standing at p0 in its source, in the blocks that the seats take."""
     p0, p1 = F.col("p0"), F.col("p0") + F.col("size")
 
     def add(total: Column, j: Column) -> Column:
-        times = F.col("rounds") + F.when((F.col("stride") * j + F.col("offset")) % F.col("n_blocks") < F.col("rest"), 1).otherwise(0)
+        times = F.col("rounds") + F.when(once_more(j), 1).otherwise(0)
         return total + times * (F.least(p1, (j + 1) * block_words) - F.greatest(p0, j * block_words))
 
     first, last = F.floor(p0 / block_words), F.floor((p1 - 1) / block_words)

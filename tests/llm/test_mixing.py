@@ -63,3 +63,25 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     nothing = mixing.mix(docs.selectExpr("doc_id", "'' as text", "source", "size as extra")).collect()
     assert len(nothing) == len(rows) and {r.taken for r in nothing} == {0}
+
+
+def test_texts_taken(spark):
+    """The words that are emitted are those that the mix takes, for each document, so that a source comes near its target."""
+    rng = [(7919 * i) % 401 for i in range(300)]
+    rows = [(i, " ".join(f"d{i}w{k}" + "\t\n"[k % 2 : k % 9] for k in range(rng[i])), ["a", "b", "c", None][min(i % 5, 3)], i) for i in range(300)] + [(900, None, "a", 0), (901, " \n", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    takes = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    texts = {i: (t or "").split() for i, t, _, _ in rows}
+    out = mixing.texts_taken(docs).collect()
+    assert out[0].asDict().keys() == {"doc_id", "text", "source", "size"} and {r.size for r in out} <= {r[3] for r in rows}
+    emitted, by_source = defaultdict(int), defaultdict(int)
+    for r in out:
+        words = r.text.split()
+        emitted[r.doc_id] += len(words)
+        by_source[r.source] += len(words)
+        places = iter(texts[r.doc_id])
+        assert words and all(w in places for w in words)
+    assert {i: r.taken for i, r in takes.items() if r.taken} == dict(emitted)
+    source = {i: s for i, _, s, _ in rows}
+    goals = {source[i]: r.target for i, r in takes.items()}
+    assert all(abs(by_source[s] - goals[s]) <= 3 * mixing.BLOCK_WORDS for s in goals)

@@ -17,3 +17,12 @@ def test_stages(spark):
         docs = after
     assert 0 < seen[3] <= seen[2] == seen[1] < seen[0]
     assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_mixed_words_come_near_the_targets(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 301), "en", "ab"[i % 3 > 0], 0) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.mixed(spark, docs, D).collect()
+    goals = {r._source: r.target for r in corpus_pipeline.mixing.mix(docs, keep=(docs.source.alias("_source"),)).collect()}
+    for source, goal in goals.items():
+        assert abs(sum(len(r.text.split()) for r in rows if r.source == source) - goal) <= 96
+    assert all(r.n_chars == len(r.text) for r in rows)

@@ -21,10 +21,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one of least doc_id. Texts without words are linked with nothing."""
-    groups = jaccard.link(docs).select("doc_id", "component_id")
-    ids = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(*docs.columns)
+    """One row of each group of linked ones: that of least doc_id (null first), of equal ones the first in the input. Texts without words are linked with nothing."""
+    rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.link(rows.withColumn("_key", F.struct("doc_id", "_row")), key="_key")
+    first = groups.filter(F.col("_key") == F.col("component_id")).select("_key._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,13 @@ def test_mixed_words_come_near_the_targets(spark):
     for source, goal in goals.items():
         assert abs(sum(len(r.text.split()) for r in rows if r.source == source) - goal) <= 96
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_one_row_of_each_group(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(4, a), (4, a), (2, b), (4, b), (1, c), (2, c), (None, c), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").coalesce(1)
+    got = corpus_pipeline.near_copies(spark, docs, D)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(4, a), (2, b), (None, c), (7, ""), (7, ""), (8, None)], key=str)

@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant (MCD) estimates.
 
 1. Counts of each whole text give a failed base rule or a vector of five transformed
-   statistics, each on a grid of ``LEVELS`` levels.
+   statistics. Four are shares, on ``LEVELS`` levels each; the mean word length stands on six
+   levels for each doubling, without an upper end.
 2. The documents of each language and source are counted by grid cell. A group has at most
-   ``LEVELS ** 5`` cells however many documents it has, so one task fits it: C-steps keep
-   the ``SUPPORT`` share of documents nearest to the centre until nothing changes; of two
+   ``LEVELS ** 4`` cells for each level of the word length however many documents it has, so one
+   task fits it: C-steps keep the ``SUPPORT`` share of documents nearest to the centre until a
+   choice returns; of two
    deterministic starts the estimate of smaller determinant counts. A group of fewer
    than ``LEAST`` documents takes the estimate of its language, a language of so few that of all.
 3. A document is rejected where its squared Mahalanobis distance exceeds the chi-square
@@ -15,6 +17,7 @@ Null and empty texts have no words and fail the base rule. Null languages and so
 groups of their own. Repeated rows count as often as they occur. An empty table gives no rows.
 """
 
+import hashlib
 import math
 import re
 
@@ -72,8 +75,8 @@ def cell(text: str, got: tuple) -> int:
     shares = (symbols / chars, other / chars, upper / chars)
     again = max(repeated / n, dup / (1 + text.count("\n")))
     levels = [6 * math.log2(max(chars / n, 1.0))] + [(LEVELS - 1) * math.sqrt(min(max(s, 0.0), 1.0)) for s in shares] + [(LEVELS - 1) * again]
-    out = 0
-    for level in levels:
+    out = int(levels[0])
+    for level in levels[1:]:
         out = out * LEVELS + min(int(level), LEVELS - 1)
     return out
 
@@ -124,7 +127,7 @@ def chi_square_quantile(q: float, dof: int) -> float:
 
 def points(cells) -> np.ndarray:
     cells = np.asarray(cells, np.int64)
-    return np.stack([cells // LEVELS**k % LEVELS for k in range(DIMS - 1, -1, -1)], 1).astype(float)
+    return np.stack([cells // LEVELS ** (DIMS - 1)] + [cells // LEVELS**k % LEVELS for k in range(DIMS - 2, -1, -1)], 1).astype(float)
 
 
 def mcd(x: np.ndarray, weight: np.ndarray, support: float = SUPPORT) -> tuple:
@@ -147,8 +150,8 @@ def mcd(x: np.ndarray, weight: np.ndarray, support: float = SUPPORT) -> tuple:
     spread = np.array([median(np.abs(column - m)) for column, m in zip(x.T, middle)]) * 1.4826
     best = None
     for centre, cov in ((middle, np.diag(spread**2)), moments(weight.astype(float))):
-        before = None
-        for _ in range(50):
+        seen: set = set()
+        while True:
             off = x - centre
             distance = np.einsum("ij,ij->i", off @ np.linalg.inv(cov + ridge), off)
             order = np.lexsort((*x.T, np.round(distance, 9)))
@@ -156,9 +159,10 @@ def mcd(x: np.ndarray, weight: np.ndarray, support: float = SUPPORT) -> tuple:
             used = np.zeros(len(x))
             used[order] = np.clip(need - (sums - weight[order]), 0, weight[order])
             centre, cov = moments(used)
-            if before is not None and np.array_equal(before, used):
+            mark = hashlib.blake2b(used.tobytes(), digest_size=16).digest()
+            if mark in seen:
                 break
-            before = used
+            seen.add(mark)
         size = np.linalg.slogdet(cov + ridge)[1]
         if best is None or size < best[0] - 1e-9:
             best = size, centre, cov
@@ -191,7 +195,8 @@ def judge(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", least:
     rows, _ = written(statistics(docs, keep, text).withColumn("_base_failed", failed), "quality")
     cells = rows.filter("not _base_failed").groupBy("_lang", "_source", "_cell").agg(F.count("*").alias("n"))
     fits, _ = written(estimates(written(cells, "cells")[0], least), "fits")
-    level = [F.floor(F.col("_cell") / LEVELS**k) % LEVELS - F.col("centre")[DIMS - 1 - k] for k in range(DIMS - 1, -1, -1)]
+    digit = [F.floor(F.col("_cell") / LEVELS**k) for k in range(DIMS - 1, -1, -1)]
+    level = [(d % LEVELS if i else d) - F.col("centre")[i] for i, d in enumerate(digit)]
     distance = sum((level[i] * level[j] * F.col("inverse")[i * DIMS + j] for i in range(DIMS) for j in range(DIMS)), F.lit(0.0))
     judged = rows.join(fits, ["_lang", "_source"], "left").withColumn("_distance", F.when(~F.col("_base_failed"), distance))
     kept = ~F.col("_base_failed") & F.coalesce(F.round("_distance", 6) <= chi_square_quantile(1 - tail, DIMS), F.lit(False))

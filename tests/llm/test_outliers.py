@@ -47,3 +47,13 @@ def test_documents(spark):
     for i, text, *_ in rows:
         assert tuple(got[i][c] for c in outliers.COUNTS) == brute_counts(text or "")
     assert outliers.verdicts(docs.limit(0)).count() == 0
+
+
+def test_long_words_are_told_apart(spark):
+    """Mean word lengths over 14 characters, as of scripts without spaces, are levels of their own."""
+    text = lambda i, size: " ".join(f"{chr(0x4E00 + (37 * i + k) % 5000)}{i}x{k}".ljust(size + (i + k) % 5, chr(0x4E00 + i)) for k in range(60))
+    rows = [(i, text(i, 28), "zh", "s") for i in range(120)] + [(120, text(120, 900), "zh", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.verdicts(docs).collect()}
+    assert not got[120].base_failed and not got[120].kept and all(got[i].kept for i in range(120))
+    assert outliers.points([outliers.cell(text(120, 900), outliers.counts(text(120, 900)))])[0][0] == 58

@@ -1,9 +1,14 @@
-"""What the training-data operators share: scratch tables and table access."""
+"""What the training-data operators share: scratch tables, bounded filters and table access."""
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of the filter that ``maybe_in`` broadcasts: 262,144 rows of two longs at most, however large the input.
+FILTER_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -11,15 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
+    """The shared folder that the cluster names; one of our own only in local mode, where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             root = current.get()
-        else:
+        elif spark.sparkContext.master.startswith("local["):
             root = "file://" + tempfile.mkdtemp(prefix="glyphgrid-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/glyphgrid"
 
 
@@ -27,20 +34,24 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write the rows to the shared folder, and read them back."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """Spark deletes the shuffle files of each query within as soon as the query is done."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> tuple[DataFrame, str]:
-    """As written, in buckets of key: joins on it move the other side only. Gives the name of the table, to be dropped."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Cut the lineage: write the rows to the shared folder, and read them back."""
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"glyphgrid_{tag}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name, path=scratch_path(spark, tag))
-    return spark.table(name), name
+    path = scratch_path(spark, tag)
+    with shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -48,3 +59,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def maybe_in(df: DataFrame, keys: list[Column], ids: DataFrame, id_keys: list[Column], inside: bool = True) -> DataFrame:
+    """Rows of df whose keys may be among the ids: all that are, and few others while the ids are few.
+
+    Not inside: the other rows, which surely aren't. The filter is a bitmap of ``FILTER_BITS`` bits, so what is
+    broadcast is bounded. It spares shuffles only: joins with the ids still decide.
+    """
+    spot = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    marks = ids.select(spot(id_keys).alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits"))
+    seen = df.withColumn("_spot", spot(keys)).withColumn("_word", F.shiftright("_spot", 6)).join(F.broadcast(marks), "_word", "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_spot & 63 as int)) & 1L"), F.lit(0)) == (1 if inside else 0)
+    return seen.filter(hit).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -5,33 +5,38 @@
    sum of coordinate minima of two points bounds the intersection of the sets from above.
 3. Two linked sets share a shingle among the first ``n - ceil(t n) + 1`` of each in any fixed
    order of shingles. The order is by load of the shingle's bucket, so that shingles of
-   frequent passages come last. The nodes of one such shingle are a block. Blocks of one
-   node and, later, of one component are dropped: they can add nothing.
-4. Neighbours in a block are tried first, then in rounds each node's nearest by the bound, which
-   joins most of a family of copies without all its pairs. Then every block is searched by an
-   R-tree for all pairs of different components that the bound lets through. A block over ``CHUNK`` nodes is split into
-   chunks, and each pair of chunks is searched in a task of its own.
-5. Surviving pairs are verified on the shingle sets; components come by alternating stars.
-
-Null texts and texts without words have no shingles and link with nothing, equal ones included.
-Repeated rows are members of one node. An empty table gives no rows.
+   frequent passages come last. The nodes of one such shingle are a block; of blocks
+   with the same nodes one is kept.
+4. The points of a block stand in an R-tree: leaves of ``LEAF`` points, split by the coordinate
+   that varies most, under boxes of largest coordinates, level by level. A search goes down
+   only where the sum of minima with the box reaches the least intersection that links.
+5. Turns. First each node proposes one partner: a block's most central node, or else its nearest
+   by the bound. Then nodes outside a block's largest component propose their nearest in
+   another one. Last, all pairs of different components that the bound lets through are taken. After each
+   turn the pairs are verified on the shingle sets, and components come by alternating stars;
+   blocks of one component are done with, as they can add nothing.
+
+A block over ``CHUNK`` nodes is split into chunks, and each pair of chunks is searched in a task
+of its own: no task holds more than two chunks, and no pair is lost. Null texts and texts
+without words have no shingles and link with nothing, equal ones included.
+Repeated rows are members of one node; rows of equal key keep a row each. Very long texts are
+sets like others. Other columns of the input aren't read. An empty table gives no rows.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from glyphgrid.llm import graph
-from glyphgrid.llm.common import bucketed, drop, written
+from glyphgrid.llm.common import drop, maybe_in, written
 from glyphgrid.llm.shingles import shingle_set
 
 WORDS, PERCENT = 4, 85
-GROUPS, BUCKETS, CHUNK, LEAF, ROUNDS, NEAREST = 128, 1 << 16, 4096, 16, 1, 3
-#: Turns by nearest go on while each leaves less than this share of the rows before it.
-SHRINK = 0.95
-_EDGES = "a binary, b binary"
+GROUPS, BUCKETS, CHUNK, LEAF = 256, 1 << 16, 4096, 16
+TURNS = ("central", "nearest", "all")
+_EDGES = "a long, b long, margin double"
 
 
 def node_of(shingles: np.ndarray) -> bytes:
@@ -48,205 +53,292 @@ def coordinates(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint8 if len(packed) == GROUPS else np.uint32).astype(np.int32)
 
 
-def needed(n: int, m, percent: int):
+def needed(n, m, percent: int):
     """The least intersection at which sets of n and m shingles link."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def bucket_loads(texts: DataFrame, words: int) -> np.ndarray:
-    """How many shingles fall into each of a fixed number of buckets."""
+def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(id, n, node) of each row, and beside them rows (bucket, load): how many shingles fall into each bucket."""
 
     def run(batches):
         loads = np.zeros(BUCKETS, np.int64)
+        kind = None
         for batch in batches:
-            for text in batch.column(0):
-                loads += np.bincount((shingle_set(text.as_py() or "", words) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if text.as_py() else 0
-        used = np.flatnonzero(loads)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(loads[used])], names=["bucket", "n"])
-
-    rows = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.int64)
-    for row in rows:
-        out[row.bucket] = row.n
-    return out
-
-
-def members(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(id, n, node, point, prefix) of each row; prefix holds the shingles that stand first in the order."""
-    loads = docs.sparkSession.sparkContext.broadcast(bucket_loads(docs.select(F.col(text).cast("string")), words))
-
-    def run(batches):
-        load = loads.value
-        for batch in batches:
-            out = [], [], [], []
+            kind = batch.column(0).type
+            sizes, nodes = [], []
             for value in batch.column(1):
-                s = shingle_set(value.as_py() or "", words)
-                n = len(s)
-                order = np.lexsort((s, load[(s >> np.uint64(48)).astype(np.int64)]))
-                out[0].append(n)
-                out[1].append(node_of(s) if n else None)
-                out[2].append(point(s))
-                out[3].append(s[order[: n - -(-percent * n // 100) + 1]].view(np.int64) if n else [])
-            kinds = pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names=["id", "n", "node", "point", "prefix"])
-
+                s = shingle_set(value.as_py() or b"", words)
+                sizes.append(len(s))
+                nodes.append(node_of(s) if len(s) else None)
+                loads += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none, none], names=names)
+        if kind is not None:
+            used = np.flatnonzero(loads)
+            none = len(used)
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(used), pa.array(loads[used])], names=names)
+
+    names = ["id", "n", "node", "bucket", "load"]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, n long, node binary, point binary, prefix array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").cast("binary")).mapInArrow(run, f"id {kind}, n long, node binary, bucket long, load long")
 
 
-def _pairs(found) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+def bucket_ranks(rows: DataFrame) -> np.ndarray:
+    """The place of each bucket by its load in the whole input."""
+    loads = np.zeros(BUCKETS, np.int64)
+    for row in rows.filter("bucket is not null").groupBy("bucket").agg(F.sum("load").alias("load")).collect():  # BUCKETS rows at most
+        loads[row.bucket] = row.load
+    ranks = np.zeros(BUCKETS, np.uint64)
+    ranks[np.lexsort((np.arange(BUCKETS), loads))] = np.arange(BUCKETS, dtype=np.uint64)
+    return ranks
 
 
-def neighbours(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """rows (token, n, node, point, comp): pairs of different components side by side in a block, if the bound lets them through.
-
-    A turn stands the nodes of a block in an order of its own.
-    """
+def distinct_sets(docs: DataFrame, text: str, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
+    """(nid, node, n, point, prefix) of each distinct set; prefix holds the shingles that stand first in the order."""
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    low = np.uint64((1 << 48) - 1)
 
     def run(batches):
-        last = None
+        ranks = held.value
         for batch in batches:
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if last is not None and last[0] == row[0] and last[4] != row[4]:
-                    both = np.minimum(coordinates(last[3]), coordinates(row[3])).sum()
-                    if both >= needed(last[1], row[1], percent):
-                        found.append((last[2], row[2]))
-                last = row
-            yield _pairs(found)
-
-    order = "token", "size", "place", "node"
-    rows = rows.select("token", "n", "node", "point", "comp", F.floor(F.log2("n") * 4).alias("size"), F.xxhash64("node", F.lit(turn)).alias("place"))
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGES)
-
-
-def tree_pairs(n, points, comps, sides, percent: int, nearest: bool = False):
-    """Pairs (i, j) of different components that the bound lets through, of different sides if there are two.
-
-    The points stand by size, LEAF to a leaf; a leaf's largest coordinates bound all its points.
-    nearest: for each i only the j whose bound exceeds the need by most.
-    """
+            out = [], [], [], []
+            for value in batch.column(0):
+                s = shingle_set(value.as_py() or b"", words)
+                n = len(s)
+                if n:
+                    # The bucket's place instead of its number in the leading bits: another name of the same shingle.
+                    order = (ranks[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (s & low)
+                    k = n - -(-percent * n // 100) + 1
+                    out[0].append(node_of(s))
+                    out[1].append(n)
+                    out[2].append(point(s))
+                    out[3].append(np.partition(order, k - 1)[:k].view(np.int64))
+            kinds = pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out, kinds)], names=["node", "n", "point", "prefix"])
+
+    every = docs.select(F.col(text).cast("string").cast("binary")).mapInArrow(run, "node binary, n long, point binary, prefix array<long>")
+    first = every.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "point", "prefix")])
+    return first.select(F.monotonically_increasing_id().alias("nid"), "node", "n", "point", "prefix")
+
+
+def shared_blocks(nodes: DataFrame) -> tuple[DataFrame, str]:
+    """(token, nid, size): the nodes of each prefix shingle that two or more hold; of equal blocks the one of least token."""
+    spark = nodes.sparkSession
+    by = Window.partitionBy("token")
+    rows = nodes.select("nid", F.explode("prefix").alias("token"))
+    sums = [F.bit_xor(F.xxhash64("nid", F.lit(k))).over(by).alias(f"x{k}") for k in (0, 1)]
+    rows, path = written(rows.select("token", "nid", F.count("*").over(by).alias("size"), *sums).filter("size > 1"), "shared")
+    kept = rows.groupBy("size", "x0", "x1").agg(F.min("token").alias("token")).select("token")
+    blocks, end = written(rows.select("token", "nid", "size").join(kept, "token", "left_semi"), "blocks")
+    drop(spark, path)
+    return blocks, end
+
+
+class Tree:
+    """An R-tree of points: boxes hold their largest coordinates and least size."""
+
+    def __init__(self, points: np.ndarray, n: np.ndarray):
+        self.order = np.concatenate(list(self._split(points, np.arange(len(n)))))
+        self.points, self.n = points[self.order], n[self.order]
+        self.levels = []
+        tops, least = self.points, self.n
+        while len(least) > LEAF:
+            cuts = np.arange(0, len(least), LEAF)
+            tops, least = np.maximum.reduceat(tops, cuts), np.minimum.reduceat(least, cuts)
+            self.levels.append((tops, least))
+
+    def _split(self, points: np.ndarray, part: np.ndarray):
+        if len(part) <= LEAF:
+            yield part
+            return
+        own = points[part]
+        axis = int(np.argmax(own.max(0) - own.min(0)))
+        half = -(-len(part) // (2 * LEAF)) * LEAF
+        part = part[np.argsort(own[:, axis], kind="stable")]
+        yield from self._split(points, part[:half])
+        yield from self._split(points, part[half:])
+
+    def search(self, p: np.ndarray, n: int, percent: int):
+        """(places, by how much the bound exceeds the need) of the points that may link with p."""
+        least, most = -(-percent * n // 100), n * 100 // percent
+        at = None
+        for tops, sizes in [*self.levels[::-1], (self.points, self.n)]:
+            at = np.arange(len(sizes)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+            at = at[at < len(sizes)]
+            bound = np.minimum(tops[at], p).sum(1)
+            over = bound - needed(n, np.maximum(sizes[at], least), percent)
+            ok = (over >= 0) & (sizes[at] <= most)
+            at, over = at[ok], over[ok]
+        ok = self.n[at] >= least
+        return self.order[at[ok]], over[ok]
+
+
+def block_pairs(n: np.ndarray, points: np.ndarray, comps, percent: int, turn: str):
+    """(i, j, margin): pairs of a block that the bound lets through, as the turn asks; i proposes."""
     size = len(n)
-    tops = np.stack([points[k : k + LEAF].max(0) for k in range(0, size, LEAF)])
-    for i in range(size - 1):
-        end = np.searchsorted(n, n[i] * 100 // percent, side="right")
-        if end <= i + 1:
+    if turn == "central":
+        hub = int(np.argmin(np.abs(points - points.mean(0)).sum(1))) if size > 2 else 0
+        over = np.minimum(points, points[hub]).sum(1) - needed(n, n[hub], percent)
+        over[hub] = -1
+        for i in np.flatnonzero(over >= 0).tolist():
+            yield i, hub, over[i] / n[i]
+        asking = np.flatnonzero(over < 0) if size > 2 else []
+    else:
+        names, which, counts = np.unique(comps, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        # Of two different components one isn't the largest: its nodes ask.
+        asking = np.flatnonzero(which != np.argmax(counts))
+    if not len(asking):
+        return
+    tree = Tree(points, n)
+    for i in asking:
+        j, over = tree.search(points[i], n[i], percent)
+        ok = j != i if turn == "central" else comps[j] != comps[i]
+        j, over = j[ok], over[ok]
+        if not len(j):
             continue
-        first = (i + 1) // LEAF
-        leaves = np.minimum(tops[first : (end - 1) // LEAF + 1], points[i]).sum(1)
-        # The need is least for the smallest partner, which has n[i] shingles.
-        best, most = -1, -1
-        for leaf in np.flatnonzero(leaves >= needed(n[i], n[i], percent)) + first:
-            j = np.arange(max(leaf * LEAF, i + 1), min((leaf + 1) * LEAF, end))
-            over = np.minimum(points[j], points[i]).sum(1) - needed(n[i], n[j], percent)
-            ok = (over >= 0) & (comps[j] != comps[i])
-            if sides is not None:
-                ok &= sides[j] != sides[i]
-            if not nearest:
-                for k in j[ok]:
-                    yield i, k
-            elif ok.any():
-                k = int(np.argmax(np.where(ok, over, -1)))
-                if over[k] > most:
-                    best, most = j[k], over[k]
-        if best >= 0:
-            yield i, best
-
-
-def searched(rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """rows (token, size of the block, n, node, point, comp): all pairs of different components that survive the bound, or each node's nearest."""
+        if turn == "all":
+            for k in j.tolist():
+                yield k, i, 0.0
+        else:
+            k = int(np.argmax(over))
+            yield i, j[k], over[k] / n[i]
+
+
+def searched(rows: DataFrame, percent: int, turn: str) -> DataFrame:
+    """rows (token, size of the block, nid, n, point, comp) to pairs (a, b, margin) of their blocks."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "n", "node", "point", "comp", "chunk")
-
-    def work(block):
-        n = np.array([r[3] for r in block], np.int64)
-        comps = np.unique(np.array([r[6].hex() for r in block]), return_inverse=True)[1]
-        if comps.max() == 0:
-            return
-        points = np.stack([coordinates(r[5]) for r in block])
-        sides = np.array([r[7] for r in block]) if block[0][1] != block[0][2] else None
-        for i, j in tree_pairs(n, points, comps, sides, percent, nearest):
-            yield block[i][4], block[j][4]
+    rows = rows.select("token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "nid", "n", "point", "comp")
 
     def run(batches):
-        block: list = []
+        held: list = []
+
+        def found(part):
+            start = 0
+            key = np.stack([part.column(c).to_numpy() for c in ("token", "low", "high")])
+            ends = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), part.num_rows]
+            nid, n, comp = [part.column(c).to_numpy() for c in ("nid", "n", "comp")]
+            packed = part.column("point").to_pylist()
+            out: list = []
+            for end in ends:
+                if end - start > 1:
+                    points = np.stack([coordinates(p) for p in packed[start:end]])
+                    out.extend((nid[start + i], nid[start + j], m) for i, j, m in block_pairs(n[start:end], points, comp[start:end], percent, turn))
+                start = end
+                if len(out) > 50_000:
+                    yield out
+                    out = []
+            yield out
+
+        def pairs(out):
+            a, b, m = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.float64())], names=["a", "b", "margin"])
+
         for batch in batches:
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if block and block[0][:3] != row[:3]:
-                    if len(block) > 1:
-                        found.extend(work(block))
-                        if len(found) > 50_000:
-                            yield _pairs(found)
-                            found = []
-                    block = []
-                block.append(row)
-            yield _pairs(found)
-        if len(block) > 1:
-            yield _pairs(list(work(block)))
-
-    return rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(run, _EDGES)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key = [whole.column(c).to_numpy() for c in ("token", "low", "high")]
+            # The last block of a batch may go on in the next one.
+            cut = int(np.searchsorted(~np.logical_and.reduce([k == k[-1] for k in key])[::-1], True))
+            rest = whole.num_rows - cut
+            if rest:
+                for out in found(whole.slice(0, rest)):
+                    yield pairs(out)
+            held = whole.slice(rest).to_batches()
+        if held:
+            for out in found(pa.Table.from_batches(held).combine_chunks()):
+                yield pairs(out)
+
+    return rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(run, _EDGES)
 
 
 def _with_components(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
     if stars is None:
-        return rows.withColumn("comp", F.col("node"))
-    return rows.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return rows.withColumn("comp", F.col("nid"))
+    return rows.join(stars.select(F.col("a").alias("nid"), F.col("b").alias("root")), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles and component_id of each row."""
-    spark = docs.sparkSession
-    rows, _ = written(members(docs, key, text, words, percent), "members")
-    nodes, _ = written(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"), F.min("id").alias("id")), "nodes")
-    tokens = nodes.select("node", F.posexplode("prefix").alias("rank", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    blocks, _ = written(tokens.join(shared, "token"), "blocks")
-    # Shingle sets of the nodes that have a partner at all, from the text of one member.
-    wanted = nodes.join(blocks.select("node").distinct(), "node", "left_semi")
+def wanted_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+    """(nid, shingles) of the wanted nodes (id, nid, node), from the text of one member."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x.as_py() or "", words) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    ids = wanted.select(F.col("id").alias("_id")).distinct()
-    texts = docs.join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_semi").select(F.col(text).cast("string")).mapInArrow(run, "node binary, shingles array<long>")
-    # Bucketed by node: the verifications move their pairs only, not all sets again each time.
-    sets, sets_table = bucketed(texts.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "node", "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
-        return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
-
-    small = nodes.select("node", "n", "point")
-    stars = None
-    for rank in range(ROUNDS):
-        tried = _with_components(blocks.filter(F.col("rank") <= 1).select("node", "token").join(small, "node"), stars)
-        edges = verified(neighbours(tried, percent, rank))
-        stars = graph.components(edges if stars is None else edges.unionByName(stars))
-    left, before = blocks.select("node", "token"), None
-    for turn in range(NEAREST + 1):
-        named, named_path = written(_with_components(left, stars), "named")
-        mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token", "size")
-        # Components only grow, so a block of one component is done with for all later turns.
-        narrow, _ = written(named.join(mixed, "token"), "mixed")
-        drop(spark, named_path)
-        size = narrow.count()
-        if not size:
-            break
-        # A turn that finished hardly any block would be followed by others like it: all that is left is searched at once.
-        nearest = turn < NEAREST and (before is None or size < SHRINK * before)
-        stars = graph.components(verified(searched(narrow.join(small, "node"), percent, nearest)).unionByName(stars))
-        if not nearest:
-            break
-        left, before = narrow.select("node", "token"), size
-    spark.sql(f"DROP TABLE {sets_table}")
-    owned = _with_components(rows.select("id", "n", "node"), stars)
-    first = owned.filter("node is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    return owned.join(first, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+            nids, sets = [], []
+            for nid, node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = shingle_set(value.as_py() or b"", words)
+                if len(s) and node_of(s) == node:  # another row may have the key of the member
+                    nids.append(nid)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "shingles"])
+
+    texts = maybe_in(docs.select(F.col(key).alias("id"), F.col(text).cast("string").cast("binary").alias("text")), [F.col("id")], wanted, [F.col("id")])
+    both = wanted.alias("w").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("nid", "node", "text")
+    return both.mapInArrow(run, "nid long, shingles array<long>")
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """key, n_shingles and component_id of each row."""
+    spark = docs.sparkSession
+    rows, rows_path = written(counted(docs, key, text, words), "rows")
+    rows = rows.filter("bucket is null").select("id", "n", "node")
+    ranks = bucket_ranks(spark.read.parquet(rows_path))
+    nodes, nodes_path = written(distinct_sets(docs, text, words, percent, ranks), "nodes")
+    blocks, blocks_path = shared_blocks(nodes)
+    small = nodes.select("nid", "n", "point")
+    stars, sets, paths = None, None, [nodes_path, blocks_path]
+    tried = []
+    for turn in TURNS:
+        if stars is not None:
+            # Components only grow, so a block of one component is done with for all later turns.
+            named, named_path = written(_with_components(blocks, stars), "named")
+            mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+            blocks, path = written(named.join(mixed, "token", "left_semi"), "mixed")
+            drop(spark, named_path, paths.pop())
+            paths.append(path)
+            pairs = searched(blocks.join(maybe_in(small, [F.col("nid")], blocks, [F.col("nid")]), "nid"), percent, turn)
+            blocks = blocks.drop("comp")
+        else:
+            pairs = searched(_with_components(blocks.join(small, "nid"), None), percent, turn)
+        if turn == "all":
+            # Of what two blocks or two nodes propose alike, and what was tried before, nothing is verified again.
+            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            before = tried[0].unionByName(tried[1]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            pairs, path = written(pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+        else:
+            every, every_path = written(pairs, "proposed")
+            if sets is None:
+                # Whoever the bound lets link with anyone stands in these rows, so no later turn needs another set.
+                ends = every.select(F.col("a").alias("nid")).unionByName(every.select(F.col("b").alias("nid"))).distinct()
+                ids = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
+                wanted, wanted_path = written(nodes.select("nid", "node").join(ends, "nid", "left_semi").join(ids, "node").select("id", "nid", "node"), "wanted")
+                sets, sets_path = written(wanted_sets(docs, key, text, words, wanted).dropDuplicates(["nid"]), "sets")
+                paths.insert(0, sets_path)
+                drop(spark, wanted_path)
+            pairs, path = written(every.groupBy("a").agg(F.max_by("b", F.struct("margin", "b")).alias("b")), "pairs")
+            drop(spark, every_path)
+        tried.append(pairs)
+        paths.insert(0, path)
+        edges = verified(pairs, sets, percent)
+        old = stars
+        stars, stars_path = graph.components(edges if old is None else edges.unionByName(old))
+        paths.insert(0, stars_path)
+    owned = _with_components(rows.join(nodes.select("node", "nid"), "node", "left"), stars)
+    first = owned.filter("nid is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    result, _ = written(owned.join(first, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "linked")
+    drop(spark, rows_path, *paths)
+    return result
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Both joins are of shuffled sides, so that Spark splits a node of many pairs."""
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid")))
+    sets = maybe_in(sets, [F.col("nid")], ends, [F.col("nid")])
+    left, right = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
+    return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")

@@ -29,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from glyphgrid.llm.common import written
-from glyphgrid.llm.shingles import MULTIPLY, _word, mixed
+from glyphgrid.llm import shingles
+from glyphgrid.llm.shingles import MULTIPLY, mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS, SEED_WORDS = 30, 20
 
 
 def hashed_words(text: str) -> np.ndarray:
-    found = WORD.findall(text)
-    return np.fromiter(map(_word, found), np.uint64, len(found))
+    return shingles.hashed_words(text.encode())
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

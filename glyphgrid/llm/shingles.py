@@ -1,27 +1,35 @@
-"""Hashed word shingles of a text, with numpy."""
+"""Hashed words and word shingles of texts, with numpy.
 
-import re
+Texts come as UTF-8 bytes: ``bytes.split`` cuts at just the six ASCII white-space characters, and
+``bytes.lower`` changes A-Z alone.
+"""
 
 import numpy as np
 import xxhash
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Odd multipliers of the mixing steps.
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xBF58476D1CE4E5B9)
-LOWER = {c: c + 32 for c in range(65, 91)}
-_CACHE: dict = {}
 
 
-def _word(word: str) -> int:
-    got = _CACHE.get(word)
-    if got is None:
+class _Words(dict):
+    """Hashes of words, looked up without a Python call; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh64_intdigest(word)
-        if len(_CACHE) >= 300_000:
-            _CACHE.clear()
         if len(word) <= 64:
-            _CACHE[word] = got
-    return got
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = got
+        return got
+
+
+_WORDS = _Words()
+
+
+def hashed_words(text: bytes) -> np.ndarray:
+    found = text.split()
+    return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,15 +37,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; a shorter text is one shingle, a text without words none."""
-    found = WORD.findall(text.translate(LOWER))
-    n = len(found)
+    h = hashed_words(text.lower())
+    n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word, found), np.uint64, n)
     k = min(words, n)
     out = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
         out = mixed(out * MULTIPLY + h[i : n - k + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]

@@ -1,43 +1,40 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-1. The unit is a word, so that a block may begin and end within lines. A block that may be
-   deleted is a run of ``BLOCK_WORDS`` equal words or more; the white space between them doesn't count.
-2. Each window of ``BLOCK_WORDS`` words gives the least hash of its runs of ``SEED_WORDS`` words
-   (winnowing). Documents that share a window share that hash, so the few hashes that two
-   documents hold show where all shared windows can be.
-3. Of the windows that contain such a run, a document is paired with the first holder of
-   each, not with all holders: pairs grow with the documents, however often a passage occurs.
-4. A pair is aligned by patience diff: windows that are unique in both are anchors, the
-   longest increasing chain of them holds, and each anchor grows into a block of equal
-   words. The words left are aligned again until no block remains, so that passages
-   in another order are found as well.
-5. The blocks are deleted from the later document, and lines that lose all their words with them.
-
-Documents are ordered by key (null first); rows of equal key by their place in the input.
-Null and empty texts stay as they are. A document may lose all its lines; its row stays, with
-an empty text. Lines that lose only some words stay and don't count as deleted. An empty table
-gives no rows. Added columns begin with an underscore.
+1. A line here is a run of ``SEED_WORDS`` words that the text itself chooses, so that it doesn't
+   matter where line breaks fall: each window of ``BLOCK_WORDS`` words gives the least hash of its
+   runs (winnowing), so documents that share a window share the hash of a line in it.
+2. Of equal texts the first stands for all; the others lose every word, if they have
+   ``BLOCK_WORDS`` at all. What follows is about distinct texts.
+3. A line with ``RARE`` holders at most pairs each of them with every earlier one. The lines of
+   frequent passages would make pairs without end: there each window of ``BLOCK_WORDS``
+   words around such a line pairs its holders with the window's first holder, which finds the same windows.
+4. A pair is aligned by patience diff over windows: those that are unique in both are anchors, and
+   the longest increasing chain of them is the alignment. Common windows that it leaves out
+   are passages that stand in another order or are repeated; they are aligned with their place in the earlier text.
+5. The aligned blocks, ``BLOCK_WORDS`` words or more, are deleted from the later document, and lines
+   (here those of the text) that lose all their words with them. White space between words doesn't count.
+
+Documents are ordered by key (null first), those of equal key by a hash of the text. Rows equal in
+both are one document: they keep or lose the same. Null and empty texts stay as they are. A document may lose
+all its lines; its row stays, with an empty text. Lines that lose only some words stay and
+don't count as deleted. Work on a pair grows with its words, however long or repetitive they are.
+Other columns, whatever their names, are carried along. An empty table gives no rows.
 """
 
 import re
 from bisect import bisect_left
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from glyphgrid.llm.common import written
-from glyphgrid.llm import shingles
-from glyphgrid.llm.shingles import MULTIPLY, mixed
+from glyphgrid.llm.common import drop, maybe_in, written
+from glyphgrid.llm.shingles import MULTIPLY, hashed_words, mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS, SEED_WORDS = 30, 20
-
-
-def hashed_words(text: str) -> np.ndarray:
-    return shingles.hashed_words(text.encode())
+#: Holders of a line up to which all of them are paired; partners of an earlier document in one task.
+RARE, TEAM = 4, 64
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -45,8 +42,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     out = np.full(max(n, 0), size, np.uint64)
     for i in range(size if n > 0 else 0):
-        out = mixed(out * MULTIPLY + hashes[i : n + i])
-    return out.view(np.int64)
+        out = out * MULTIPLY + hashes[i : n + i]
+    return mixed(mixed(out)).view(np.int64)
 
 
 def winnowed(hashes: np.ndarray, least: int) -> np.ndarray:
@@ -67,21 +64,6 @@ def windows_near(hashes: np.ndarray, shared: np.ndarray, least: int) -> np.ndarr
     return np.unique(windows(hashes, least)[np.lib.stride_tricks.sliding_window_view(hit, least - size + 1).any(1)])
 
 
-def seeds(hashes, words, least: int) -> list:
-    """(first line, line after the last, hash) of the shortest run of enough words from each line on."""
-    out, end, total = [], 0, 0
-    sums = np.concatenate([[0], np.cumsum(np.asarray(words, np.int64))])
-    raw = np.asarray(hashes, np.int64)
-    for i in range(len(hashes)):
-        while end < len(hashes) and sums[end] - sums[i] < least:
-            end += 1
-        total = sums[end] - sums[i]
-        if total < least:
-            break
-        out.append((i, end, xxhash.xxh64_intdigest(raw[i:end].tobytes()) - 2**63))
-    return out
-
-
 def increasing(pairs: list) -> list:
     """The longest chain that rises in both places; pairs stand by the first."""
     tails, at, before = [], [], [-1] * len(pairs)
@@ -100,48 +82,43 @@ def increasing(pairs: list) -> list:
     return out[::-1]
 
 
-def common_blocks(early, late, words: list | None, least: int) -> set:
-    """Units of late in blocks that it shares with early; words are those of late's units, None where a unit is a word."""
-    early_seeds: dict = {}
-    if words is None:
-        all_early, all_late = windows(early, least), windows(late, least)
-        for j in np.flatnonzero(np.isin(all_early, all_late)).tolist():
-            early_seeds.setdefault(int(all_early[j]), []).append(j)
-        late_seeds = [(i, int(all_late[i])) for i in np.flatnonzero(np.isin(all_late, all_early)).tolist()]
-        early, late = early.tolist(), late.tolist()
-    else:
-        early_words = dict(zip(late, words))
-        for i, _, h in seeds(early, [early_words.get(x, least) for x in early], least):
-            early_seeds.setdefault(h, []).append(i)
-        late_seeds = [(i, h) for i, _, h in seeds(late, words, least) if h in early_seeds]
-    gone: set = set()
-    while True:
-        left = [(i, h) for i, h in late_seeds if i not in gone]
-        if not left:
-            return gone
-        times = Counter(h for _, h in left)
-        anchors = [(i, early_seeds[h][0]) for i, h in left if times[h] == 1 and len(early_seeds[h]) == 1]
-        chain = increasing(anchors) or [(left[0][0], early_seeds[left[0][1]][0])]
-        for i, j in chain:
-            if i in gone:
-                continue
-            low, high = 0, 0
-            while i - low > 0 and j - low > 0 and late[i - low - 1] == early[j - low - 1]:
-                low += 1
-            while i + high < len(late) and j + high < len(early) and late[i + high] == early[j + high]:
-                high += 1
-            gone.update(range(i - low, i + high))
-
-
-def ranges(units: set) -> list:
-    """Ascending starts and ends of the runs of units, one after the other."""
-    out: list = []
-    for i in sorted(units):
-        if out and out[-1] == i:
-            out[-1] = i + 1
-        else:
-            out += [i, i + 1]
-    return out
+class Early:
+    """The windows of an earlier document: sorted hashes, whether each is unique, and its first place."""
+
+    def __init__(self, hashes: np.ndarray, least: int):
+        self.hashes, places, counts = np.unique(windows(hashes, least), return_index=True, return_counts=True)
+        self.places, self.alone = places, counts == 1
+
+
+def common_blocks(early: Early, late: np.ndarray, least: int) -> list:
+    """Ascending starts and ends, one after the other, of the words of late in blocks that it shares with early."""
+    own = windows(late, least)
+    if not len(own) or not len(early.hashes):
+        return []
+    spot = np.minimum(np.searchsorted(early.hashes, own), len(early.hashes) - 1)
+    hits = np.flatnonzero(early.hashes[spot] == own)
+    if not len(hits):
+        return []
+    places, alone = early.places[spot[hits]], early.alone[spot[hits]]
+    counts = np.unique(own[hits], return_inverse=True, return_counts=True)
+    anchor = alone & (counts[2][counts[1]] == 1)
+    a, b = hits[anchor], places[anchor]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 1) | (np.diff(b) != 1)])[: len(a)])
+    ends = [*starts[1:].tolist(), len(a)]
+    runs = {int(a[s]): int(a[e - 1]) + least for s, e in zip(starts.tolist(), ends)}
+    chain = increasing([(int(a[s]), int(b[s])) for s in starts.tolist()])
+    steps = np.zeros(len(late) + 1, np.int64)
+    for i, _ in chain:
+        steps[i] += 1
+        steps[runs[i]] -= 1
+    aligned = np.cumsum(steps[:-1]) > 0
+    # What the chain leaves out is moved or repeated: window by window it stands at its place in early.
+    inside = np.concatenate([[0], np.cumsum(aligned)])
+    moved = hits[inside[hits + least] - inside[hits] < least]
+    np.add.at(steps, moved, 1)
+    np.add.at(steps, moved + least, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(steps[:-1]) > 0).view(np.int8), [0]])))
+    return edges.tolist()
 
 
 def cut(text: str, gone: list) -> tuple:
@@ -173,63 +150,131 @@ def _lists(rows: list, kind) -> pa.Array:
     return pa.array(rows, pa.list_(kind))
 
 
-def hashed(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """All columns of docs and _row, _n_lines and _seeds."""
+def seeded(texts: DataFrame, least: int) -> DataFrame:
+    """texts (id, th, th2, text) to (id, th, th2, n, seeds): words and line hashes of those with least words."""
 
     def run(batches):
         for batch in batches:
-            n_lines, found = [], []
-            for value in batch.column(at):
-                value = value.as_py() or ""
-                n_lines.append(sum(WORD.search(line) is not None for line in value.split("\n")))
-                found.append(winnowed(hashed_words(value), least))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_lines, pa.int32()), _lists(found, pa.int64())], names=[*names, "_n_lines", "_seeds"])
-
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    names = rows.columns
-    at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, schema + ", _n_lines int, _seeds array<long>")
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
-    """The rows and columns of docs, common blocks deleted, and _n_lines and _n_deleted."""
-    rows, _ = written(hashed(docs, text, least), "lines")
-    texts = rows.select("_row", F.col(key).alias("id"), F.col(text).alias("text"))
-    runs = rows.select("_row", F.explode("_seeds").alias("seed"))
-    shared = runs.join(runs.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seed")
-    near = texts.join(shared.groupBy("_row").agg(F.collect_list("seed").alias("shared")), "_row").select("_row", "id", "text", "shared")
-
-    def held(batches):
+            n, found = [], []
+            for value in batch.column(3):
+                hashes = hashed_words(value.as_py() or b"")
+                n.append(len(hashes))
+                found.append(winnowed(hashes, least))
+            keep = pa.array([k >= least for k in n])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), _lists(found, pa.int64())], names=["id", "th", "th2", "n", "seeds"]).filter(keep)
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, th long, th2 long, n int, seeds array<long>")
+
+
+def overlapping(texts: DataFrame, held: DataFrame, ids: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """held (rid, seeds) of the distinct texts ids (rid, id, th) to the pairs (late, early) to align."""
+    spark = texts.sparkSession
+    lines = held.select("rid", F.explode("seeds").alias("seed"))
+    counts, counts_path = written(lines.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
+    shared, shared_path = written(maybe_in(lines, [F.col("seed")], counts, [F.col("seed")]).join(counts, "seed"), "shared-lines")
+    rare = shared.filter(F.col("n") <= RARE).groupBy("seed").agg(F.array_sort(F.collect_set("rid")).alias("r"))
+    later = F.flatten(F.transform("r", lambda y, k: F.transform(F.slice("r", F.lit(1), k), lambda x: F.struct(y.alias("late"), x.alias("early")))))
+    pairs = rare.filter(F.size("r") > 1).select(F.explode(later).alias("p")).select("p.*")
+    often = shared.filter(F.col("n") > RARE).groupBy("rid").agg(F.collect_list("seed").alias("seeds"))
+
+    def around(batches):
         for batch in batches:
-            found = [windows_near(hashed_words(t or ""), np.asarray(s, np.int64), least) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(found, pa.int64())], names=["row", "id", "windows"])
+            found = [windows_near(hashed_words(t.as_py() or b""), np.asarray(s, np.int64), least) for t, s in zip(batch.column(2), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, pa.int64())], names=["rid", "windows"])
 
-    held_by = near.mapInArrow(held, f"row long, id {docs.schema[key].dataType.simpleString()}, windows array<long>")
-    holders = written(held_by, "line-windows")[0].select(F.explode("windows").alias("seed"), F.struct("id", "row").alias("doc"))
-    first = holders.groupBy("seed").agg(F.min("doc").alias("early"), F.count("*").alias("n")).filter("n > 1").select("seed", F.col("early.row").alias("early"))
-    pairs = holders.select("seed", F.col("doc.row").alias("late")).join(first, "seed").filter("late <> early").select("late", "early").distinct()
-    pairs, _ = written(pairs, "line-pairs")
-    late, early = [texts.select(F.col("_row").alias(x), F.col("text").alias(f"{x}_text")) for x in ("late", "early")]
-    both = pairs.join(late, "late").join(early, "early").select("late", "late_text", "early_text")
+    often, often_path = written(often.join(ids, "rid"), "often")
+    near, near_path = written(with_texts(texts, often, "rid", "seeds").mapInArrow(around, "rid long, windows array<long>"), "windows")
+    rows = near.select("rid", F.explode("windows").alias("window"))
+    first, first_path = written(rows.groupBy("window").agg(F.min("rid").alias("early"), F.count("*").alias("n")).filter("n > 1").select("window", "early"), "first-holders")
+    more = maybe_in(rows, [F.col("window")], first, [F.col("window")]).join(first, "window").filter("rid <> early").select(F.col("rid").alias("late"), "early")
+    out, path = written(pairs.unionByName(more).distinct(), "line-pairs")
+    drop(spark, counts_path, shared_path, often_path, near_path, first_path)
+    return out, path
+
+
+def with_texts(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns of rows (which have id and th) and the text."""
+    some = maybe_in(texts.select("id", "th", "text"), [F.col("id"), F.col("th")], rows, [F.col("id"), F.col("th")])
+    return rows.alias("r").join(some.alias("t"), F.col("r.id").eqNullSafe(F.col("t.id")) & (F.col("r.th") == F.col("t.th"))).select(*columns, "text")
+
+
+def aligned(texts: DataFrame, pairs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+    """(rid, gone) of each pair: the ranges of words that the later text loses. An earlier document of many
+    partners works in teams, each with a copy of its text."""
+    teams = F.ceil(F.count("*") / TEAM).cast("int")
+    pairs = pairs.join(pairs.groupBy("early").agg(teams.alias("teams")), "early").withColumn("team", F.pmod(F.xxhash64("late"), F.col("teams")).cast("int"))
+    parts = pairs.select(F.col("late").alias("rid"), "early", "team").unionByName(pairs.select(F.col("early").alias("rid"), "early", "team").distinct())
+    parts, _ = written(parts.join(ids, "rid"), "line-parts")
 
     def run(batches):
+        key, early, last = None, None, None
         for batch in batches:
-            gone = [ranges(common_blocks(hashed_words(y), hashed_words(x), None, least)) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(gone, pa.int32())], names=["_row", "gone"])
-
-    gone = both.mapInArrow(run, "_row long, gone array<int>").groupBy("_row").agg(F.flatten(F.collect_list("gone")).alias("_gone"))
+            rids, gone = [], []
+            for e, team, rid, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+                if (e, team) != key:
+                    key, early, last = (e, team), None, None
+                if rid == last:  # a row equal in key and text
+                    continue
+                last = rid
+                hashes = hashed_words(text.as_py() or b"")
+                if rid == e:
+                    early = Early(hashes, least)
+                    continue
+                got = common_blocks(early, hashes, least)
+                if got:
+                    rids.append(rid)
+                    gone.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), _lists(gone, pa.int32())], names=["rid", "gone"])
+
+    # The earlier document has the least number of its team, so it comes first.
+    rows = with_texts(texts, parts, "early", "team", "rid").repartition("early", "team").sortWithinPartitions("early", "team", "rid")
+    return rows.mapInArrow(run, "rid long, gone array<int>")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS, counts: bool = True) -> DataFrame:
+    """The rows and columns of docs, common blocks deleted, and _n_lines and _n_deleted if counts."""
+    spark = docs.sparkSession
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"), F.struct(*columns).alias("row"))
+    whole = whole.withColumn("th", F.xxhash64("t"))
+    texts = whole.select("id", "th", F.xxhash64(F.lit(1), "t").alias("th2"), F.col("t").cast("binary").alias("text"))
+    all_lines, all_path = written(seeded(texts, least), "lines")
+    heads = all_lines.select("id", "th", "th2", "n")
+    # Equal texts: the first by key stands for all.
+    firsts = heads.groupBy("th", "th2").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("f"), F.first("n").alias("n")).select("th", "th2", F.col("f.id").alias("id"))
+    ids, ids_path = written(firsts.repartitionByRange("id", "th").sortWithinPartitions("id", "th").withColumn("rid", F.monotonically_increasing_id()), "line-docs")
+    copies = heads.alias("h").join(firsts.alias("f"), ["th", "th2"]).filter(~F.col("h.id").eqNullSafe(F.col("f.id")))
+    copies = copies.select("h.id", "th", F.array(F.lit(0), F.col("h.n")).alias("gone")).distinct()
+    same = F.col("l.id").eqNullSafe(F.col("i.id")) & (F.col("l.th") == F.col("i.th")) & (F.col("l.th2") == F.col("i.th2"))
+    held, held_path = written(all_lines.alias("l").join(ids.alias("i"), same).select("rid", "seeds"), "held-lines")
+    ids = ids.select("rid", "id", "th")
+    pairs, pairs_path = overlapping(texts, held, ids, least)
+    drop(spark, held_path)
+    found = aligned(texts, pairs, ids, least).groupBy("rid").agg(F.flatten(F.collect_list("gone")).alias("gone")).join(ids, "rid").select("id", "th", "gone")
+    gone, gone_path = written(found.unionByName(copies), "gone")
+    drop(spark, pairs_path, all_path, ids_path)
 
     def cleaned(batches):
         for batch in batches:
-            got = [cut(t, g) if g else (t, 0) for t, g in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            columns = [*batch.columns[:at], pa.array([t for t, _ in got], batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in got], pa.int32())], names=names)
-
-    out = rows.join(gone, "_row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_gone")
-    at, names = docs.columns.index(text), [*docs.columns, "_n_lines", "_n_deleted"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return out.mapInArrow(cleaned, schema + ", _n_lines int, _n_deleted int")
+            got, n_lines = [], []
+            for value, ranges in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                got.append(cut(value, ranges) if ranges else (value, 0))
+                n_lines.append(sum(WORD.search(line) is not None for line in (value or "").split("\n")))
+            out = pa.array([t for t, _ in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], out, *batch.columns[at + 1 : -1], pa.array(n_lines, pa.int32()), pa.array([n for _, n in got], pa.int32())], names=names)
+
+    at = docs.columns.index(text)
+    names = [*(f"c{i}" for i in range(len(docs.columns))), "n_lines", "n_deleted"]
+    both = [F.col("id"), F.col("th")]
+    # Only rows that may lose something are shuffled.
+    touched = maybe_in(whole, both, gone, both).alias("w").join(gone.alias("g"), F.col("w.id").eqNullSafe(F.col("g.id")) & (F.col("w.th") == F.col("g.th")), "left").select("t", "row", "gone")
+    rest = maybe_in(whole, both, gone, both, inside=False).select("t", "row", F.lit(None).cast("array<int>").alias("gone"))
+    rows = touched.unionByName(rest)
+    rows = rows.select(*[(F.col("t") if c == text else F.col("row").getField(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)], "gone")
+    schema = ", ".join(f"c{i} {'string' if f.name == text else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    out = rows.mapInArrow(cleaned, schema + ", n_lines int, n_deleted int")
+    added = [F.col("n_lines").alias("_n_lines"), F.col("n_deleted").alias("_n_deleted")] if counts else []
+    return out.select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)], *added)
 
 
 def digests(docs: DataFrame) -> DataFrame:

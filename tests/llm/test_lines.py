@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from glyphgrid.llm import lines
 
@@ -52,8 +55,50 @@ def test_documents(spark):
 
 
 def test_order_of_passages_does_not_matter():
-    a, b, x = [1, 2, 3], [4, 5, 6], [7]
-    assert lines.common_blocks(a + x + b, b + [8] + a, [10] * 7, 30) == {0, 1, 2, 4, 5, 6}
+    a, b, x = [np.arange(k, k + 30, dtype=np.uint64) for k in (0, 100, 200)]
+    early = lines.Early(np.concatenate([a, x, b]), 30)
+    assert lines.common_blocks(early, np.concatenate([b, x[:1], a]), 30) == [0, 30, 31, 61]
+
+
+def test_repetitive_texts_take_linear_time():
+    """100,000 equal lines in both documents, and blocks in reverse order."""
+    rng = np.random.default_rng(0)
+    line = rng.integers(1, 2**62, 8).astype(np.uint64)
+    for early, late in ((np.tile(line, 100_000), np.tile(line, 100_000)), (np.arange(3 * 10**5, dtype=np.uint64), np.arange(3 * 10**5, dtype=np.uint64).reshape(-1, 30)[::-1].ravel())):
+        began = time.process_time()
+        assert lines.common_blocks(lines.Early(early, 30), late, 30) == [0, len(late)]
+        assert time.process_time() - began < 5
+
+
+def test_equals_brute_force(spark):
+    """A word goes if a window of 30 words around it stands in an earlier document; frequent passages and ties included."""
+    rng = random.Random(9)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [words(rng.choice([20, 29, 30, 31, 45, 90])) for _ in range(9)]
+    often = words(70)
+    texts = []
+    for i in range(70):
+        parts = [words(rng.randint(1, 25)) for _ in range(3)] + [rng.choice(passages) for _ in range(rng.choice([0, 1, 2]))]
+        if i % 3 == 0:
+            at = rng.randint(0, 35)
+            parts.append(often[at : at + rng.choice([32, 40, 70])])
+        rng.shuffle(parts)
+        texts.append([w for p in parts for w in p])
+    rows = [(None if i < 2 else i // 2, " ".join(t)) for i, t in enumerate(texts)] + [(40, " ".join(texts[7])), (41, " ".join(texts[0][:29]))]
+    rows = [(i, k, t) for i, (k, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "gone int, doc_id long, text string")
+    order = {r.gone: (r.doc_id is not None, r.doc_id or 0, r.h) for r in docs.selectExpr("gone", "doc_id", "xxhash64(text) AS h").collect()}
+    seen: set = set()
+    expected = {}
+    for i, _, text in sorted(rows, key=lambda r: order[r[0]]):
+        w = text.split()
+        own = [tuple(w[k : k + 30]) for k in range(len(w) - 29)]
+        dead = {k + j for k, x in enumerate(own) if x in seen for j in range(30)}
+        expected[i] = " ".join(x for k, x in enumerate(w) if k not in dead)
+        seen.update(own)
+    for part in (docs, docs.repartition(3)):
+        got = {r.gone: r.text for r in lines.dedup(part).collect()}
+        assert got == expected
 
 
 def test_blocks_within_lines(spark):

@@ -18,19 +18,25 @@ interchangeable. An empty table makes no file and no row.
 
 import itertools
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from glyphgrid.llm.bpe import byte_alphabet
 from glyphgrid.llm.common import scratch_path
 
 MAGIC = b"FWP1"
 BLOCK_IDS = 65_536
 FILE_IDS = 4_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+#: Fixed value: the pre-tokenizer's pattern, as it stands for lower-case letters below U+0180, which NFC leaves alone.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿĀ-ſ0-9²³¹¼½¾]+")
+PLAIN = re.compile("[!-~¡-¬®-įı-ſ]*")
 CHUNK_DOCS = 256
 
 
@@ -116,12 +122,31 @@ class PackedFile:
             yield self.keys[i], a, held[a - low : b - low]
 
 
+class _Pieces(dict):
+    """The ids of the pieces that the pre-tokenizer cuts words into; bounded."""
+
+    def __init__(self, tokenize, most: int):
+        super().__init__()
+        self._tokenize, self._most = tokenize, most
+        self._stand_ins = {b: c for b, c in byte_alphabet().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._stand_ins)
+        got = array("I", [t.id for t in self._tokenize(symbols)]).tobytes()
+        if len(self) >= self._most:
+            self.clear()
+        self[piece] = got
+        return got
+
+
 class WordEncoder:
-    """The library's ids of whole texts, through a bounded cache of words.
+    """The library's ids of whole texts, through a bounded cache of words in two generations.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, so a
-    text's ids are those of its words in order. Words of ASCII letters are lower-cased,
-    as the normalizer does, and handed to the library's model; others to its encoder.
+    text's ids are those of its words in order. Words of printable characters below U+0180 are lower-cased, as the
+    normalizer does, cut by the pre-tokenizer's pattern, and handed to the library's model; others, and those that
+    hold an added token, to its encoder, all new ones of a batch at once. When the young generation is full it becomes the old one; words of the
+    old one are taken over as they occur again.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -131,30 +156,34 @@ class WordEncoder:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        self._model = self._library.model
+        self._pieces = _Pieces(self._library.model.tokenize, cache_words)
         self.vocab_size = self._library.get_vocab_size(with_added_tokens=True)
+        added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._cache_words = cache_words
 
     def _learn(self, words: list[str]) -> None:
-        cache, tokenize, others = self._cache, self._model.tokenize, []
+        cache, old, others, ids = self._cache, self._old, [], self._pieces.__getitem__
         for w in words:
-            if w.isascii() and w.isalpha():
-                cache[w] = np.array([t.id for t in tokenize(w.lower())], "<u4").tobytes()
+            got = old.get(w)
+            if got is not None:
+                cache[w] = got
+            elif PLAIN.fullmatch(w) and not self._added(w):
+                cache[w] = b"".join(map(ids, PIECE.findall(w.lower())))
             else:
                 others.append(w)
         for w, e in zip(others, self._library.encode_batch_fast(others, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+            cache[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set(itertools.chain.from_iterable(split))
-        new = [w for w in words if w not in self._cache]
-        if len(self._cache) + len(new) > self._cache_words:
-            self._cache.clear()
-            new = list(words)
-        self._learn(new)
+        if len(self._cache) >= self._cache_words:
+            self._old, self._cache = self._cache, {}
+        new = set(itertools.chain.from_iterable(split)).difference(self._cache)
+        self._learn(list(new))
         get = self._cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 

@@ -2,7 +2,7 @@
 
 1. The page is parsed into elements, with the usual omitted end tags. What can't be
    article is cut off: scripts, styles, forms, menus, page headers and footers, asides, hidden
-   elements, and those whose class, id or role names such a part.
+   elements, and those whose class, id or role names such a part, unless they hold the article or nearly all text.
 2. Every block of text passes points to its ancestors, one for being there, one for
    each comma and one for each 100 characters up to three: all to its parent, half to its
    grandparent, a third of that and less above. A container's points are discounted by
@@ -13,7 +13,8 @@
 
 White space within a block becomes one space, and blocks are joined by one space in page
 order. A null or empty page, and one without text, gives the empty text. Pages are
-independent: copies, ties, extra columns and empty tables need no care.
+independent, so copies and ties get what each would get alone, and an empty table gives no rows. Only the kept columns
+are read beside the page. Time grows with the page, however long, deep or broken it is.
 """
 
 import html as entities
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TAG = re.compile(r"<(?:(!--)|([!?])|/([a-zA-Z][^\s/>]*)|([a-zA-Z][^\s/>]*))")
-REST = re.compile(r"""((?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["']|<)*?)(/?)>""")
+#: To the end of a tag; quotes count after an equals sign only. Nothing is matched in two ways, so time is linear.
+REST = re.compile(r"""((?>[^>"'=]+|=\s*+(?>"[^"]*"|'[^']*')?|["'])*+)>""")
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +45,7 @@ CUT_WORDS = frozenset(
     related recommended recommendations trending toolbar search searchbox skip legal copyright disclaimer paywall hidden""".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-KEEP_WORDS = frozenset("article articles content main body post entry story text page wrapper container layout column".split())
+OTHER_WORDS = frozenset("no not non has have with without of hide overflow scroll clear main article content".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -65,7 +67,12 @@ class _Page:
 
 
 def judged(tag: str, attrs: str) -> int:
-    """2: not article; 1: not article unless it holds most of the text; 0: may be."""
+    """2: not article; 1 (forms): not article unless it holds half of the text; 3 (named so): not article unless it
+    holds an article or main element or four fifths of the text that isn't cut off by its tag; 0: may be.
+
+    A class or id names a part by one of its tokens. Tokens that deny, measure or describe (``has-sidebar``,
+    ``overflow-hidden``, ``notice-of-facts``) name none.
+    """
     if tag in KEEP_TAGS:
         return 0
     level = (1 if tag == "form" else 2) if tag in CUT_TAGS else 0
@@ -78,15 +85,18 @@ def judged(tag: str, attrs: str) -> int:
         if name == "role" and value.strip().lower() in CUT_ROLES:
             return 2
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            if words & CUT_WORDS:
-                level = max(level, 1 if words & KEEP_WORDS else 2)
+            for token in value.split():
+                words = {w.lower() for w in WORDS.findall(token)}
+                if words & CUT_WORDS and not words & OTHER_WORDS:
+                    level = 3
     return level
 
 
 def parse(page: str) -> _Page:
     out = _Page()
     stack, at, n = [0], 0, len(page)
+    opened: dict = {}
+    unended: set = set()
     tag_of, add = out.tag, out.texts.append
 
     def say(text: str) -> None:
@@ -94,9 +104,17 @@ def parse(page: str) -> _Page:
             top = stack[-1]
             add((top, out.block[top], out.link[top], text))
 
+    def push(name: str, node: int) -> None:
+        stack.append(node)
+        opened[name] = opened.get(name, 0) + 1
+
     def close_to(names, stop=()) -> None:
+        if not any(opened.get(x) for x in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if tag_of[stack[depth]] in names:
+                for node in stack[depth:]:
+                    opened[tag_of[node]] -= 1
                 del stack[depth:]
                 return
             if tag_of[stack[depth]] in stop:
@@ -121,6 +139,7 @@ def parse(page: str) -> _Page:
         if r is None:  # the page ends within a tag
             break
         at = r.end()
+        alone = r[1].endswith("/")
         if m[3]:
             name = m[3].lower()
             if name == "br":
@@ -132,9 +151,12 @@ def parse(page: str) -> _Page:
             continue
         name = m[4].lower()
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if not r[2]:
-                at = n if end is None and name in ("script", "style") else at if end is None else end.end()
+            if alone:
+                continue
+            end = None if name in unended else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if end is None:
+                unended.add(name)
+            at = n if end is None and name in ("script", "style") else at if end is None else end.end()
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -145,12 +167,12 @@ def parse(page: str) -> _Page:
         if name in CLOSES_P:
             close_to(("p",), ("table", "button", "article", "section", "div", "li", "td"))
         if name in HEADINGS and tag_of[stack[-1]] in HEADINGS:
-            stack.pop()
+            opened[tag_of[stack.pop()]] -= 1
         if name in ENDS:
             close_to(ENDS[name], SCOPE.get(name, ("table",)))
         node = out.open(name, stack[-1], r[1])
-        if not r[2] or name not in INLINE:
-            stack.append(node)
+        if not alone or name not in INLINE:
+            push(name, node)
     return out
 
 
@@ -166,8 +188,16 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, 0, -1):
         size[parent[i]] += size[i]
     gone = [False] * n
+    holds = [t in ("article", "main") for t in tag]
+    rest = whole
+    for i in range(n - 1, 0, -1):
+        holds[parent[i]] |= holds[i]
     for i in range(1, n):
         gone[i] = gone[parent[i]] or tree.cut[i] == 2 or (tree.cut[i] == 1 and 2 * size[i] < whole)
+        if gone[i] and not gone[parent[i]]:
+            rest -= size[i]
+    for i in range(1, n):
+        gone[i] = gone[i] or gone[parent[i]] or (tree.cut[i] == 3 and not holds[i] and 5 * size[i] < 4 * rest)
     blocks: dict[int, list] = {}
     plain, linked = [0] * n, [0] * n
     for node, block, link, text in tree.texts:
@@ -189,7 +219,7 @@ def main_text(page: str | None) -> str:
         # Text that stands in a container itself counts for the container.
         up = block if tag[block] not in ("p", "pre", "td", "blockquote", "li") and tag[block] not in HEADINGS else parent[block]
         share = 1.0
-        while up >= 0:
+        while up >= 0 and share > 1e-6:  # what a deeper ancestor would get changes nothing
             points[up] += worth * share
             share = share / 2 if share == 1.0 else share / 3
             up = parent[up]

@@ -10,16 +10,18 @@
 
 A shorter text is one shingle. Null texts and texts without words have the empty fingerprint,
 which is like itself (1) and unlike others (0). Rows are independent in ``fingerprint``; in
-``edited_pairs`` rows of equal key stand in the order of their texts. An empty table gives no rows.
+``edited_pairs`` null keys come first and rows of equal key stand in the order of a hash of their texts, the same for the
+edited text and the next document. Very long texts are arrays of hashes like others. Other columns aren't
+read. An empty table gives no rows.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphgrid.llm.common import written
+from glyphgrid.llm.common import maybe_in, written
 
 WORDS, BINS, BITS = 5, 128, 8
-#: Consecutive keys that are put next to each other in one task.
-RUN = 1024
+#: Rows of a run on average, put in order in one task; runs of a stretch.
+RUN, STRETCH = 1024, 4096
 
 
 def let(value: Column, body) -> Column:
@@ -62,7 +64,7 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS, bits: int =
 
         return let(F.transform(kept, bin_of), filled)
 
-    kept = let(F.array_sort(shingle_hashes(text, words)), minima)
+    kept = let(F.sort_array(shingle_hashes(text, words)), minima)
     return let(kept, lambda k: F.when(F.size(k) > 0, dense(k)).otherwise(F.lit("")))
 
 
@@ -74,35 +76,42 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """rows (id, text), with the next row's id and text by ascending id; the first after the last.
+    """rows (id, order, body), with the next row's body as ``follow``; by ascending id and order, the first after the last.
 
-    Runs of consecutive ids are put in order in parallel; only the last row of a run needs the
-    first text of the next run.
+    The ids' range is cut into runs of so many rows on average, put in order in parallel. Only the last row of a run
+    needs another run's first row; which run that is, is found among the runs of one stretch, and among
+    the first runs of all stretches.
     """
-    rows = rows.withColumn("run", F.floor(F.coalesce(F.col("id"), F.lit(-(2**62))) / RUN))
-    order = Window.partitionBy("run").orderBy("id", "text")
-    side = rows.withColumn("place", F.row_number().over(order)).withColumn("follow", F.lead("text").over(order))
-    side, _ = written(side, "runs")
-    heads = side.filter("place = 1").select("run", F.col("text").alias("head"))
-    runs = heads.select("run").withColumn("to", F.lead("run").over(Window.orderBy("run")))
-    least = heads.agg(F.min("run").alias("least"))
-    runs = runs.join(F.broadcast(least)).select("run", F.coalesce("to", "least").alias("to"))  # one row
-    firsts = runs.join(heads.withColumnRenamed("run", "to"), "to").select("run", "head")
-    ends = side.filter("follow is null").drop("follow").join(firsts, "run").withColumnRenamed("head", "follow")
-    return side.filter("follow is not null").select("id", "text", "follow").unionByName(ends.select("id", "text", "follow"))
+    bounds = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
+    low, high = (0, 0) if bounds.low is None else (bounds.low, bounds.high)
+    width = max(1.0, (high - low + 1) * RUN / max(bounds.n, 1))
+    rows = rows.withColumn("run", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(-1)))
+    firsts = rows.groupBy("run").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "order")).alias("f")).select("run", "f.id", "f.order")
+    firsts, _ = written(firsts, "firsts")
+    both = [F.col("id"), F.col("order")]
+    heads = maybe_in(rows.select("id", "order", "body"), both, firsts, both).alias("r").join(firsts.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.order") == F.col("f.order"))).groupBy("run").agg(F.first("body").alias("head"))
+    heads, _ = written(heads, "heads")
+    runs = heads.select("run", F.floor(F.col("run") / STRETCH).alias("stretch"))
+    ends = runs.groupBy("stretch").agg(F.min("run").alias("run"))
+    # A row for each STRETCH runs of some RUN rows: all that meets in one task.
+    ends = ends.select("stretch", F.lead("run").over(Window.orderBy("stretch")).alias("after"), F.first("run").over(Window.orderBy("stretch")).alias("least"))
+    runs = runs.withColumn("to", F.lead("run").over(Window.partitionBy("stretch").orderBy("run"))).join(ends, "stretch")
+    heads = runs.select("run", F.coalesce("to", "after", "least").alias("to")).join(heads.withColumnRenamed("run", "to"), "to").select("run", "head")
+    side = rows.withColumn("follow", F.lead("body").over(Window.partitionBy("run").orderBy("id", "order")))
+    return side.join(heads, "run").select("id", "order", "body", F.when(F.col("follow").isNull(), F.col("head")).otherwise(F.col("follow")).alias("follow"))
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = with_next(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
-    size = F.char_length("text")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = with_next(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(body).alias("order"), body.alias("body")))
+    size = F.char_length("body")
     cut = F.floor(size / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), size - cut), F.substring("follow", F.lit(1), cut))
-    prints = rows.select("id", size.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), F.col("text"))
-    prints, _ = written(prints.withColumn("order", F.sha2(F.col("text").cast("binary"), 256)).drop("text"), "prints")
-    rest = with_next(prints.select("id", F.struct("order", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint").alias("text")))
-    own = F.col("text.fingerprint")
-    return rest.select(
-        F.col("id").alias(key), "text.n_chars", "text.edited_sha256", own.alias("fingerprint"), "text.edited_fingerprint",
-        likeness(own, F.col("text.edited_fingerprint")).alias("near_edited"),
+    edited = F.concat(F.substring("body", F.lit(1), size - cut), F.substring("follow", F.lit(1), cut))
+    made = F.struct(size.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("body")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"))
+    prints, _ = written(rows.select("id", "order", made.alias("body")), "prints")
+    own = F.col("body.fingerprint")
+    return with_next(prints).select(
+        F.col("id").alias(key), "body.n_chars", "body.edited_sha256", own.alias("fingerprint"), "body.edited_fingerprint",
+        likeness(own, F.col("body.edited_fingerprint")).alias("near_edited"),
         likeness(own, F.col("follow.fingerprint")).alias("near_next"),
     )

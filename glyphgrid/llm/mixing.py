@@ -12,7 +12,8 @@
 
 Sizes are words between the six ASCII white-space characters. Null texts have size 0. A null
 source is a source like others and sorts last. Rows of equal key and size are interchangeable.
-An empty table gives no rows; a table of empty texts takes none.
+An empty table gives no rows; a table of empty texts takes none. Other columns, whatever their names, are carried
+along by ``texts_taken``. A very long text is words like others.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,8 +26,8 @@ SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 32
 SHARDS = 16
-#: A prime over any number of blocks of a source, hence coprime with it.
-STRIDE = 2147483647
+#: Primes over any number of blocks of a source, hence coprime with it: the second from the first one's size on.
+STRIDE, LONG_STRIDE = 2147483647, 2305843009213693951
 
 
 def count_words(text: Column) -> Column:
@@ -83,19 +84,20 @@ def texts_taken(docs: DataFrame, key: str = "doc_id", text: str = "text", seed:
     Each row comes whole once for each full round through its source's blocks; the words of its
     blocks that are taken once more, with the white space after them, come as a row of their own.
     """
-    kept = tuple(F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns)
-    rows = placed(docs, key, seed, weights, share, most, block_words, shards, kept).filter("size > 0")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = placed(docs, key, seed, weights, share, most, block_words, shards, (whole,), text).filter("size > 0")
     block = lambda i: F.floor((F.col("p0") + i) / block_words)
-    words = F.filter(F.regexp_extract_all(f"_{text}", F.lit(f"{WORD}{SPACE}"), F.lit(0)), lambda w, i: once_more(block(i)))
-    rest = F.when(F.size(words) == F.col("size"), F.col(f"_{text}")).when(F.size(words) > 0, F.array_join(words, ""))
-    texts = F.concat(F.array_repeat(F.col(f"_{text}"), F.col("rounds").cast("int")), F.array_compact(F.array(rest)))
-    rows = rows.withColumn("_taken_text", F.explode(texts))
-    return rows.select(*[F.col("_taken_text" if c == text else f"_{c}").alias(c) for c in docs.columns])
+    body = F.col("_row").getField(text)
+    words = F.filter(F.regexp_extract_all(body, F.lit(f"{WORD}{SPACE}"), F.lit(0)), lambda w, i: once_more(block(i)))
+    rest = F.when(F.size(words) == F.col("size"), body).when(F.size(words) > 0, F.array_join(words, ""))
+    texts = F.concat(F.array_repeat(body, F.col("rounds").cast("int")), F.array_compact(F.array(rest)))
+    rows = rows.select("_row", F.explode(texts).alias("_taken"))
+    return rows.select(*[(F.col("_taken") if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
-def placed(docs: DataFrame, key: str, seed: int, weights: tuple, share: float, most: int, block_words: int, shards: int, keep: tuple) -> DataFrame:
+def placed(docs: DataFrame, key: str, seed: int, weights: tuple, share: float, most: int, block_words: int, shards: int, keep: tuple, text: str = "text") -> DataFrame:
     """key, the kept columns, size and p0, the words before it in its source, of each row, and its source's plan."""
-    sizes = docs.select(key, F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size"), *keep)
+    sizes = docs.select(key, F.col("source").cast("string").alias("source"), count_words(F.col(f"`{text}`").cast("string")).alias("size"), *keep)
     sizes, _ = written(sizes, "mix-sizes")
     plan = plan_sources(sizes, seed, weights, share, most, block_words, shards)
     # Stand the documents of a source in seeded order, and find the words before each: groups
@@ -116,21 +118,22 @@ def plan_sources(sizes: DataFrame, seed: int, weights: tuple, share: float, most
     seats = quotas(goals, block_words, shards).groupBy("place").agg(F.sum("seats").alias("seats"))
     plan = goals.join(seats, "place", "left").withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     plan = plan.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
-    plan = plan.withColumn("n_blocks", F.when(F.col("n_blocks") < STRIDE, F.col("n_blocks")).otherwise(F.raise_error(F.lit("too many blocks in a source: raise block_words"))))
     plan = plan.withColumn("seats", F.least(F.coalesce(F.col("seats"), F.lit(0)), F.col("n_blocks") * most))
     some = F.greatest(F.col("n_blocks"), F.lit(1))
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("blocks"), F.lit(str(seed)), "name")), 1, 7), 16, 10).cast("long")
     plan = plan.select(
         "name", "source_size", "target",
         some.alias("n_blocks"), F.floor(F.col("seats") / some).alias("rounds"), (F.col("seats") % some).alias("rest"),
-        (F.lit(STRIDE).cast("long") % some).alias("stride"), (offset % some).alias("offset"),
+        (F.when(some < STRIDE, F.lit(STRIDE).cast("long")).otherwise(F.lit(LONG_STRIDE)) % some).alias("stride"), (offset % some).alias("offset"),
     )
     return written(plan, "mix-plan")[0]
 
 
 def once_more(j: Column) -> Column:
     """Whether block j of a source is taken once more than the full rounds take it."""
-    return (F.col("stride") * j + F.col("offset")) % F.col("n_blocks") < F.col("rest")
+    wide = F.col("stride").cast("decimal(19,0)") * j.cast("decimal(19,0)") % F.col("n_blocks").cast("decimal(19,0)")
+    step = F.when(F.col("n_blocks") < STRIDE, F.try_multiply("stride", j) % F.col("n_blocks")).otherwise(wide.cast("long"))
+    return (step + F.col("offset")) % F.col("n_blocks") < F.col("rest")
 
 
 def taken(block_words: int) -> Column:

@@ -7,8 +7,8 @@
    ``LEVELS ** 4`` cells for each level of the word length however many documents it has, so one
    task fits it: C-steps keep the ``SUPPORT`` share of documents nearest to the centre until a
    choice returns; of two
-   deterministic starts the estimate of smaller determinant counts. A group of fewer
-   than ``LEAST`` documents takes the estimate of its language, a language of so few that of all.
+   deterministic starts the estimate of smaller determinant counts. A group's estimate leans on its
+   language's, as if that were ``LEAN`` documents more, and a language's on that of all.
 3. A document is rejected where its squared Mahalanobis distance exceeds the chi-square
    quantile of ``1 - TAIL``. One squared level is added to every variance, so that a group of
    equal documents doesn't reject the next best one.
@@ -34,7 +34,7 @@ SYMBOLS = "[#*$%&|<>]"
 SYMBOL = re.compile(SYMBOLS)
 UPPER, OTHER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 DIMS, LEVELS = 5, 24
-SUPPORT, LEAST, TAIL = 0.75, 100, 1e-6
+SUPPORT, LEAN, TAIL = 0.75, 100, 1e-6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -169,32 +169,43 @@ def mcd(x: np.ndarray, weight: np.ndarray, support: float = SUPPORT) -> tuple:
     return best[1], best[2] * scale + ridge
 
 
-def estimates(cells: DataFrame, least: int = LEAST) -> DataFrame:
+def estimates(cells: DataFrame, lean: int = LEAN) -> DataFrame:
     """cells (_lang, _source, _cell, n) to a row for each group: the centre and the inverse covariance that judge it."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         weight = group["n"].to_numpy(np.int64)
         centre, cov = mcd(points(group["_cell"]), weight)
-        return pd.DataFrame({"_lang": group["_lang"][:1], "_source": group["_source"][:1], "docs": [int(weight.sum())], "centre": [centre.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()]})
+        return pd.DataFrame({"_lang": group["_lang"][:1], "_source": group["_source"][:1], "docs": [int(weight.sum())], "centre": [centre.tolist()], "cov": [cov.ravel().tolist()]})
+
+    def blend(frames):
+        for rows in frames:
+            out = []
+            for lang, source, *parts in zip(*[rows[c] for c in rows.columns]):
+                centre, cov = np.array(top.centre), np.array(top.cov)
+                for docs, own_centre, own_cov in (parts[:3], parts[3:]):
+                    share = docs / (docs + lean)
+                    centre, cov = share * np.array(own_centre) + (1 - share) * centre, share * np.array(own_cov) + (1 - share) * cov
+                out.append((lang, source, centre.tolist(), np.linalg.inv(cov.reshape(DIMS, DIMS)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["_lang", "_source", "centre", "inverse"])
 
     every = F.lit("*")
     by_lang = cells.groupBy("_lang", every.alias("_source"), "_cell").agg(F.sum("n").alias("n"))
     by_all = cells.groupBy(every.alias("_lang"), every.alias("_source"), "_cell").agg(F.sum("n").alias("n"))
     rows = cells.select("_lang", "_source", "_cell", "n").unionByName(by_lang).unionByName(by_all)
-    fits, _ = written(rows.groupBy("_lang", "_source").applyInPandas(fit, "_lang string, _source string, docs long, centre array<double>, inverse array<double>"), "mcd")
+    fits, _ = written(rows.groupBy("_lang", "_source").applyInPandas(fit, "_lang string, _source string, docs long, centre array<double>, cov array<double>"), "mcd")
     own, lang, whole = fits.filter("_source <> '*'"), fits.filter("_source = '*' and _lang <> '*'"), fits.filter("_lang = '*'")
-    fall = lambda c: F.when(F.col("o.docs") >= least, F.col(f"o.{c}")).when(F.col("l.docs") >= least, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}")).alias(c)
-    whole = whole.withColumn("one", F.lit(1))
-    joined = own.withColumn("one", F.lit(1)).alias("o").join(lang.alias("l"), F.col("o._lang") == F.col("l._lang")).join(whole.alias("w"), F.col("o.one") == F.col("w.one"))
-    return joined.select("o._lang", "o._source", fall("centre"), fall("inverse"))
+    top = whole.first()  # one row, or none of an empty table
+    joined = own.alias("o").join(lang.alias("l"), F.col("o._lang") == F.col("l._lang"))
+    fields = [F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "lo" for c in ("docs", "centre", "cov")]
+    return joined.select("o._lang", "o._source", *fields).mapInPandas(blend, "_lang string, _source string, centre array<double>, inverse array<double>")
 
 
-def judge(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", least: int = LEAST, tail: float = TAIL) -> DataFrame:
+def judge(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", lean: int = LEAN, tail: float = TAIL) -> DataFrame:
     """The kept columns and _n_words and the other counts, _base_failed, _distance (squared) and _kept of each row."""
     failed = (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
     rows, _ = written(statistics(docs, keep, text).withColumn("_base_failed", failed), "quality")
     cells = rows.filter("not _base_failed").groupBy("_lang", "_source", "_cell").agg(F.count("*").alias("n"))
-    fits, _ = written(estimates(written(cells, "cells")[0], least), "fits")
+    fits, _ = written(estimates(written(cells, "cells")[0], lean), "fits")
     digit = [F.floor(F.col("_cell") / LEVELS**k) for k in range(DIMS - 1, -1, -1)]
     level = [(d % LEVELS if i else d) - F.col("centre")[i] for i, d in enumerate(digit)]
     distance = sum((level[i] * level[j] * F.col("inverse")[i * DIMS + j] for i in range(DIMS) for j in range(DIMS)), F.lit(0.0))
@@ -204,5 +215,5 @@ def judge(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", least:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    names = (*COUNTS, "base_failed", "distance", "kept")
+    names = (*COUNTS, "base_failed", "kept", "distance")
     return judge(docs).select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])

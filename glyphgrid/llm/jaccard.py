@@ -329,9 +329,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         stars, stars_path = graph.components(edges if old is None else edges.unionByName(old))
         paths.insert(0, stars_path)
     owned = _with_components(rows.join(nodes.select("node", "nid"), "node", "left"), stars)
-    first = owned.filter("nid is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    # Both sides of the last join are plain tables, so that Spark can split a component of very many rows.
+    owned, owned_path = written(owned, "owned")
+    first, first_path = written(owned.filter("nid is not null").groupBy("comp").agg(F.min("id").alias("least")), "firsts")
     result, _ = written(owned.join(first, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "linked")
-    drop(spark, rows_path, *paths)
+    drop(spark, rows_path, owned_path, first_path, *paths)
     return result
 
 

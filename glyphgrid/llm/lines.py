@@ -28,31 +28,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from glyphgrid.llm import shingles
 from glyphgrid.llm.common import drop, maybe_in, written
-from glyphgrid.llm.shingles import MULTIPLY, hashed_words, mixed
+from glyphgrid.llm.shingles import hashed_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BLOCK_WORDS, SEED_WORDS = 30, 20
+BLOCK_WORDS, SEED_WORDS = 30, 12
 #: Holders of a line up to which all of them are paired; partners of an earlier document in one task.
 RARE, TEAM = 4, 64
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of so many words."""
-    n = len(hashes) - size + 1
-    out = np.full(max(n, 0), size, np.uint64)
-    for i in range(size if n > 0 else 0):
-        out = out * MULTIPLY + hashes[i : n + i]
-    return mixed(mixed(out)).view(np.int64)
+    return shingles.windows(hashes, size).view(np.int64)
+
+
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each so many values in a row, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
 
 
 def winnowed(hashes: np.ndarray, least: int) -> np.ndarray:
     """The distinct least hashes of runs, one of each window of least words."""
     size = min(SEED_WORDS, least)
-    runs = windows(hashes, size)
     if len(hashes) < least:
-        return runs[:0]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(runs, least - size + 1).min(1))
+        return np.zeros(0, np.int64)
+    found = least_of(windows(hashes, size), least - size + 1)
+    return np.unique(found[np.concatenate([[True], found[1:] != found[:-1]])])
 
 
 def windows_near(hashes: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
@@ -60,8 +67,9 @@ def windows_near(hashes: np.ndarray, shared: np.ndarray, least: int) -> np.ndarr
     size = min(SEED_WORDS, least)
     if len(hashes) < least:
         return np.zeros(0, np.int64)
-    hit = np.isin(windows(hashes, size), shared)
-    return np.unique(windows(hashes, least)[np.lib.stride_tricks.sliding_window_view(hit, least - size + 1).any(1)])
+    hit = np.concatenate([[0], np.cumsum(np.isin(windows(hashes, size), shared))])
+    width = least - size + 1
+    return np.unique(windows(hashes, least)[hit[width:] > hit[:-width]])
 
 
 def increasing(pairs: list) -> list:
@@ -167,11 +175,11 @@ def seeded(texts: DataFrame, least: int) -> DataFrame:
 
 
 def overlapping(texts: DataFrame, held: DataFrame, ids: DataFrame, least: int) -> tuple[DataFrame, str]:
-    """held (rid, seeds) of the distinct texts ids (rid, id, th) to the pairs (late, early) to align."""
+    """held (row, seeds) of the distinct texts ids (row, rid, id, th) to the pairs (late, early) of rids to align."""
     spark = texts.sparkSession
-    lines = held.select("rid", F.explode("seeds").alias("seed"))
+    lines = held.select("row", F.explode("seeds").alias("seed"))
     counts, counts_path = written(lines.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
-    shared, shared_path = written(maybe_in(lines, [F.col("seed")], counts, [F.col("seed")]).join(counts, "seed"), "shared-lines")
+    shared, shared_path = written(maybe_in(lines, [F.col("seed")], counts, [F.col("seed")]).join(counts, "seed").join(ids.select("row", "rid"), "row").select("rid", "seed", "n"), "shared-lines")
     rare = shared.filter(F.col("n") <= RARE).groupBy("seed").agg(F.array_sort(F.collect_set("rid")).alias("r"))
     later = F.flatten(F.transform("r", lambda y, k: F.transform(F.slice("r", F.lit(1), k), lambda x: F.struct(y.alias("late"), x.alias("early")))))
     pairs = rare.filter(F.size("r") > 1).select(F.explode(later).alias("p")).select("p.*")
@@ -182,7 +190,7 @@ def overlapping(texts: DataFrame, held: DataFrame, ids: DataFrame, least: int) -
             found = [windows_near(hashed_words(t.as_py() or b""), np.asarray(s, np.int64), least) for t, s in zip(batch.column(2), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, pa.int64())], names=["rid", "windows"])
 
-    often, often_path = written(often.join(ids, "rid"), "often")
+    often, often_path = written(often.join(ids.select("rid", "id", "th"), "rid"), "often")
     near, near_path = written(with_texts(texts, often, "rid", "seeds").mapInArrow(around, "rid long, windows array<long>"), "windows")
     rows = near.select("rid", F.explode("windows").alias("window"))
     first, first_path = written(rows.groupBy("window").agg(F.min("rid").alias("early"), F.count("*").alias("n")).filter("n > 1").select("window", "early"), "first-holders")
@@ -204,7 +212,7 @@ def aligned(texts: DataFrame, pairs: DataFrame, ids: DataFrame, least: int) -> D
     teams = F.ceil(F.count("*") / TEAM).cast("int")
     pairs = pairs.join(pairs.groupBy("early").agg(teams.alias("teams")), "early").withColumn("team", F.pmod(F.xxhash64("late"), F.col("teams")).cast("int"))
     parts = pairs.select(F.col("late").alias("rid"), "early", "team").unionByName(pairs.select(F.col("early").alias("rid"), "early", "team").distinct())
-    parts, _ = written(parts.join(ids, "rid"), "line-parts")
+    parts, _ = written(parts.join(ids.select("rid", "id", "th"), "rid"), "line-parts")
 
     def run(batches):
         key, early, last = None, None, None
@@ -238,21 +246,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     whole = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"), F.struct(*columns).alias("row"))
     whole = whole.withColumn("th", F.xxhash64("t"))
     texts = whole.select("id", "th", F.xxhash64(F.lit(1), "t").alias("th2"), F.col("t").cast("binary").alias("text"))
-    all_lines, all_path = written(seeded(texts, least), "lines")
-    heads = all_lines.select("id", "th", "th2", "n")
+    all_lines, all_path = written(seeded(texts, least).withColumn("row", F.monotonically_increasing_id()), "lines")
+    heads = all_lines.select("row", "id", "th", "th2", "n")
     # Equal texts: the first by key stands for all.
-    firsts = heads.groupBy("th", "th2").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("f"), F.first("n").alias("n")).select("th", "th2", F.col("f.id").alias("id"))
-    ids, ids_path = written(firsts.repartitionByRange("id", "th").sortWithinPartitions("id", "th").withColumn("rid", F.monotonically_increasing_id()), "line-docs")
-    copies = heads.alias("h").join(firsts.alias("f"), ["th", "th2"]).filter(~F.col("h.id").eqNullSafe(F.col("f.id")))
-    copies = copies.select("h.id", "th", F.array(F.lit(0), F.col("h.n")).alias("gone")).distinct()
-    same = F.col("l.id").eqNullSafe(F.col("i.id")) & (F.col("l.th") == F.col("i.th")) & (F.col("l.th2") == F.col("i.th2"))
-    held, held_path = written(all_lines.alias("l").join(ids.alias("i"), same).select("rid", "seeds"), "held-lines")
-    ids = ids.select("rid", "id", "th")
+    firsts = heads.groupBy("th", "th2").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "row")).alias("f"), F.count("*").alias("copies"))
+    firsts, firsts_path = written(firsts.select("th", "th2", "f.id", "f.row", "copies"), "line-firsts")
+    ids, ids_path = written(firsts.select("row", "id", "th").repartitionByRange("id", "th").sortWithinPartitions("id", "th").withColumn("rid", F.monotonically_increasing_id()), "line-docs")
+    others = firsts.filter("copies > 1").select("th", "th2", F.col("id").alias("first_id"), F.col("row").alias("first_row"))
+    copies, copies_path = written(heads.join(others, ["th", "th2"]).filter("row <> first_row").select("row", "id", "th", "n", F.col("id").eqNullSafe(F.col("first_id")).alias("same")), "copies")
+    whole_gone = copies.filter("not same").select("id", "th", F.array(F.lit(0), F.col("n")).alias("gone")).distinct()
+    # The lines of copies are left out; only rows that may be copies are shuffled for it.
+    lines = all_lines.select("row", "seeds")
+    held = maybe_in(lines, [F.col("row")], copies, [F.col("row")], inside=False).unionByName(maybe_in(lines, [F.col("row")], copies, [F.col("row")]).join(copies.select("row"), "row", "left_anti"))
     pairs, pairs_path = overlapping(texts, held, ids, least)
-    drop(spark, held_path)
     found = aligned(texts, pairs, ids, least).groupBy("rid").agg(F.flatten(F.collect_list("gone")).alias("gone")).join(ids, "rid").select("id", "th", "gone")
-    gone, gone_path = written(found.unionByName(copies), "gone")
-    drop(spark, pairs_path, all_path, ids_path)
+    gone, _ = written(found.unionByName(whole_gone), "gone")
+    drop(spark, pairs_path, all_path, ids_path, firsts_path, copies_path)
 
     def cleaned(batches):
         for batch in batches:

@@ -130,7 +130,7 @@ def shared_blocks(nodes: DataFrame) -> tuple[DataFrame, str]:
     sums = [F.bit_xor(F.xxhash64("nid", F.lit(k))).over(by).alias(f"x{k}") for k in (0, 1)]
     rows, path = written(rows.select("token", "nid", F.count("*").over(by).alias("size"), *sums).filter("size > 1"), "shared")
     kept = rows.groupBy("size", "x0", "x1").agg(F.min("token").alias("token")).select("token")
-    blocks, end = written(rows.select("token", "nid", "size").join(kept, "token", "left_semi"), "blocks")
+    blocks, end = written(rows.select("token", "nid", "size").join(kept.hint("merge"), "token", "left_semi"), "blocks")
     drop(spark, path)
     return blocks, end
 
@@ -278,7 +278,7 @@ def wanted_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFr
             yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "shingles"])
 
     texts = maybe_in(docs.select(F.col(key).alias("id"), F.col(text).cast("string").cast("binary").alias("text")), [F.col("id")], wanted, [F.col("id")])
-    both = wanted.alias("w").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("nid", "node", "text")
+    both = wanted.alias("w").hint("merge").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("nid", "node", "text")
     return both.mapInArrow(run, "nid long, shingles array<long>")
 
 
@@ -304,7 +304,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             pairs = searched(blocks.join(maybe_in(small, [F.col("nid")], blocks, [F.col("nid")]), "nid"), percent, turn)
             blocks = blocks.drop("comp")
         else:
-            pairs = searched(_with_components(blocks.join(small, "nid"), None), percent, turn)
+            pairs = searched(_with_components(blocks.join(small.hint("merge"), "nid"), None), percent, turn)
         if turn == "all":
             # Of what two blocks or two nodes propose alike, and what was tried before, nothing is verified again.
             pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -316,7 +316,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 # Whoever the bound lets link with anyone stands in these rows, so no later turn needs another set.
                 ends = every.select(F.col("a").alias("nid")).unionByName(every.select(F.col("b").alias("nid"))).distinct()
                 ids = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-                wanted, wanted_path = written(nodes.select("nid", "node").join(ends, "nid", "left_semi").join(ids, "node").select("id", "nid", "node"), "wanted")
+                wanted, wanted_path = written(nodes.select("nid", "node").join(ends.hint("merge"), "nid", "left_semi").join(ids.hint("merge"), "node").select("id", "nid", "node"), "wanted")
                 sets, sets_path = written(wanted_sets(docs, key, text, words, wanted).dropDuplicates(["nid"]), "sets")
                 paths.insert(0, sets_path)
                 drop(spark, wanted_path)
@@ -332,7 +332,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # Both sides of the last join are plain tables, so that Spark can split a component of very many rows.
     owned, owned_path = written(owned, "owned")
     first, first_path = written(owned.filter("nid is not null").groupBy("comp").agg(F.min("id").alias("least")), "firsts")
-    result, _ = written(owned.join(first, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "linked")
+    result, _ = written(owned.join(first.hint("merge"), "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), "linked")
     drop(spark, rows_path, owned_path, first_path, *paths)
     return result
 
@@ -342,5 +342,5 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid")))
     sets = maybe_in(sets, [F.col("nid")], ends, [F.col("nid")])
     left, right = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
+    both = pairs.select("a", "b").hint("merge").join(left, "a").join(right.hint("merge"), "b").withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
     return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")

@@ -19,6 +19,9 @@ both are one document: they keep or lose the same. Null and empty texts stay as
 all its lines; its row stays, with an empty text. Lines that lose only some words stay and
 don't count as deleted. Work on a pair grows with its words, however long or repetitive they are.
 Other columns, whatever their names, are carried along. An empty table gives no rows.
+
+Joins whose two sides grow with the documents are sort-merge joins at every size, by a hint, so that what is
+shuffled stays in proportion; Spark still splits keys of very many rows.
 """
 
 import re
@@ -179,7 +182,7 @@ def overlapping(texts: DataFrame, held: DataFrame, ids: DataFrame, least: int) -
     spark = texts.sparkSession
     lines = held.select("row", F.explode("seeds").alias("seed"))
     counts, counts_path = written(lines.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
-    shared, shared_path = written(maybe_in(lines, [F.col("seed")], counts, [F.col("seed")]).join(counts, "seed").join(ids.select("row", "rid"), "row").select("rid", "seed", "n"), "shared-lines")
+    shared, shared_path = written(maybe_in(lines, [F.col("seed")], counts, [F.col("seed")]).join(counts.hint("merge"), "seed").join(ids.select("row", "rid").hint("merge"), "row").select("rid", "seed", "n"), "shared-lines")
     rare = shared.filter(F.col("n") <= RARE).groupBy("seed").agg(F.array_sort(F.collect_set("rid")).alias("r"))
     later = F.flatten(F.transform("r", lambda y, k: F.transform(F.slice("r", F.lit(1), k), lambda x: F.struct(y.alias("late"), x.alias("early")))))
     pairs = rare.filter(F.size("r") > 1).select(F.explode(later).alias("p")).select("p.*")
@@ -190,11 +193,11 @@ def overlapping(texts: DataFrame, held: DataFrame, ids: DataFrame, least: int) -
             found = [windows_near(hashed_words(t.as_py() or b""), np.asarray(s, np.int64), least) for t, s in zip(batch.column(2), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, pa.int64())], names=["rid", "windows"])
 
-    often, often_path = written(often.join(ids.select("rid", "id", "th"), "rid"), "often")
+    often, often_path = written(often.join(ids.select("rid", "id", "th").hint("merge"), "rid"), "often")
     near, near_path = written(with_texts(texts, often, "rid", "seeds").mapInArrow(around, "rid long, windows array<long>"), "windows")
     rows = near.select("rid", F.explode("windows").alias("window"))
     first, first_path = written(rows.groupBy("window").agg(F.min("rid").alias("early"), F.count("*").alias("n")).filter("n > 1").select("window", "early"), "first-holders")
-    more = maybe_in(rows, [F.col("window")], first, [F.col("window")]).join(first, "window").filter("rid <> early").select(F.col("rid").alias("late"), "early")
+    more = maybe_in(rows, [F.col("window")], first, [F.col("window")]).join(first.hint("merge"), "window").filter("rid <> early").select(F.col("rid").alias("late"), "early")
     out, path = written(pairs.unionByName(more).distinct(), "line-pairs")
     drop(spark, counts_path, shared_path, often_path, near_path, first_path)
     return out, path
@@ -203,16 +206,16 @@ def overlapping(texts: DataFrame, held: DataFrame, ids: DataFrame, least: int) -
 def with_texts(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """The columns of rows (which have id and th) and the text."""
     some = maybe_in(texts.select("id", "th", "text"), [F.col("id"), F.col("th")], rows, [F.col("id"), F.col("th")])
-    return rows.alias("r").join(some.alias("t"), F.col("r.id").eqNullSafe(F.col("t.id")) & (F.col("r.th") == F.col("t.th"))).select(*columns, "text")
+    return rows.alias("r").hint("merge").join(some.alias("t"), F.col("r.id").eqNullSafe(F.col("t.id")) & (F.col("r.th") == F.col("t.th"))).select(*columns, "text")
 
 
 def aligned(texts: DataFrame, pairs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """(rid, gone) of each pair: the ranges of words that the later text loses. An earlier document of many
     partners works in teams, each with a copy of its text."""
     teams = F.ceil(F.count("*") / TEAM).cast("int")
-    pairs = pairs.join(pairs.groupBy("early").agg(teams.alias("teams")), "early").withColumn("team", F.pmod(F.xxhash64("late"), F.col("teams")).cast("int"))
+    pairs = pairs.join(pairs.groupBy("early").agg(teams.alias("teams")).hint("merge"), "early").withColumn("team", F.pmod(F.xxhash64("late"), F.col("teams")).cast("int"))
     parts = pairs.select(F.col("late").alias("rid"), "early", "team").unionByName(pairs.select(F.col("early").alias("rid"), "early", "team").distinct())
-    parts, _ = written(parts.join(ids.select("rid", "id", "th"), "rid"), "line-parts")
+    parts, _ = written(parts.join(ids.select("rid", "id", "th").hint("merge"), "rid"), "line-parts")
 
     def run(batches):
         key, early, last = None, None, None
@@ -253,13 +256,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     firsts, firsts_path = written(firsts.select("th", "th2", "f.id", "f.row", "copies"), "line-firsts")
     ids, ids_path = written(firsts.select("row", "id", "th").repartitionByRange("id", "th").sortWithinPartitions("id", "th").withColumn("rid", F.monotonically_increasing_id()), "line-docs")
     others = firsts.filter("copies > 1").select("th", "th2", F.col("id").alias("first_id"), F.col("row").alias("first_row"))
-    copies, copies_path = written(heads.join(others, ["th", "th2"]).filter("row <> first_row").select("row", "id", "th", "n", F.col("id").eqNullSafe(F.col("first_id")).alias("same")), "copies")
+    copies, copies_path = written(heads.join(others.hint("merge"), ["th", "th2"]).filter("row <> first_row").select("row", "id", "th", "n", F.col("id").eqNullSafe(F.col("first_id")).alias("same")), "copies")
     whole_gone = copies.filter("not same").select("id", "th", F.array(F.lit(0), F.col("n")).alias("gone")).distinct()
     # The lines of copies are left out; only rows that may be copies are shuffled for it.
     lines = all_lines.select("row", "seeds")
-    held = maybe_in(lines, [F.col("row")], copies, [F.col("row")], inside=False).unionByName(maybe_in(lines, [F.col("row")], copies, [F.col("row")]).join(copies.select("row"), "row", "left_anti"))
+    held = maybe_in(lines, [F.col("row")], copies, [F.col("row")], inside=False).unionByName(maybe_in(lines, [F.col("row")], copies, [F.col("row")]).join(copies.select("row").hint("merge"), "row", "left_anti"))
     pairs, pairs_path = overlapping(texts, held, ids, least)
-    found = aligned(texts, pairs, ids, least).groupBy("rid").agg(F.flatten(F.collect_list("gone")).alias("gone")).join(ids, "rid").select("id", "th", "gone")
+    found = aligned(texts, pairs, ids, least).groupBy("rid").agg(F.flatten(F.collect_list("gone")).alias("gone")).join(ids.hint("merge"), "rid").select("id", "th", "gone")
     gone, _ = written(found.unionByName(whole_gone), "gone")
     drop(spark, pairs_path, all_path, ids_path, firsts_path, copies_path)
 
@@ -276,7 +279,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     names = [*(f"c{i}" for i in range(len(docs.columns))), "n_lines", "n_deleted"]
     both = [F.col("id"), F.col("th")]
     # Only rows that may lose something are shuffled.
-    touched = maybe_in(whole, both, gone, both).alias("w").join(gone.alias("g"), F.col("w.id").eqNullSafe(F.col("g.id")) & (F.col("w.th") == F.col("g.th")), "left").select("t", "row", "gone")
+    touched = maybe_in(whole, both, gone, both).alias("w").join(gone.alias("g").hint("merge"), F.col("w.id").eqNullSafe(F.col("g.id")) & (F.col("w.th") == F.col("g.th")), "left").select("t", "row", "gone")
     rest = maybe_in(whole, both, gone, both, inside=False).select("t", "row", F.lit(None).cast("array<int>").alias("gone"))
     rows = touched.unionByName(rest)
     rows = rows.select(*[(F.col("t") if c == text else F.col("row").getField(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)], "gone")

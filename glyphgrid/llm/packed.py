@@ -33,7 +33,7 @@ from glyphgrid.llm.common import scratch_path
 MAGIC = b"FWP1"
 BLOCK_IDS = 65_536
 FILE_IDS = 4_000_000
-CACHE_WORDS = 250_000
+CACHE_WORDS, CACHE_PIECES = 60_000, 400_000
 #: Fixed value: the pre-tokenizer's pattern, as it stands for lower-case letters below U+0180, which NFC leaves alone.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿĀ-ſ0-9²³¹¼½¾]+")
 PLAIN = re.compile("[!-~¡-¬®-įı-ſ]*")
@@ -123,17 +123,20 @@ class PackedFile:
 
 
 class _Pieces(dict):
-    """The ids of the pieces that the pre-tokenizer cuts words into; bounded."""
+    """The ids of the pieces that the pre-tokenizer cuts words into, in two generations."""
 
     def __init__(self, tokenize, most: int):
         super().__init__()
-        self._tokenize, self._most = tokenize, most
+        self._tokenize, self._most, self._old = tokenize, most, {}
         self._stand_ins = {b: c for b, c in byte_alphabet().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._stand_ins)
-        got = array("I", [t.id for t in self._tokenize(symbols)]).tobytes()
+        got = self._old.get(piece)
+        if got is None:
+            symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._stand_ins)
+            got = array("I", [t.id for t in self._tokenize(symbols)]).tobytes()
         if len(self) >= self._most:
+            self._old = dict(self)
             self.clear()
         self[piece] = got
         return got
@@ -149,14 +152,14 @@ class WordEncoder:
     old one are taken over as they occur again.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        self._pieces = _Pieces(self._library.model.tokenize, cache_words)
+        self._pieces = _Pieces(self._library.model.tokenize, cache_pieces)
         self.vocab_size = self._library.get_vocab_size(with_added_tokens=True)
         added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added)) or "(?!)").search

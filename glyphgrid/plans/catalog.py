@@ -1,26 +1,17 @@
-"""Collects the query modules."""
+"""Every query of the engine, by name."""
 
 from dataclasses import dataclass
 from typing import Callable, Optional
 
-from glyphgrid.operators import raster
-from glyphgrid.plans import views
+from glyphgrid.plans import images, numbers, symbols
 
 
 @dataclass(frozen=True)
-class Query:
+class Entry:
     build: Callable
     sql: Optional[str] = None
 
 
-def _query(needs: tuple, body: str) -> Query:
-    grid = {"{grid64}": "{grid}", "{n}": "64"}
-    for key, value in grid.items():
-        body = body.replace(key, value)
-    spark_text = body.replace("{grid}", views.SPARK["grid"].replace("{n}", "64"))
-    duck_text = body.replace("{grid}", views.DUCK["grid"].replace("{n}", "64")).replace("explode(array(0, 1, 2, 3, 4))", "unnest([0, 1, 2, 3, 4])")
-    return Query(lambda spark, sf_dir: spark.sql(views.spark_sql(spark_text, needs, sf_dir)), views.duck_sql(duck_text, needs))
-
-
 def all_queries() -> dict:
-    return {name: _query(*q) for name, q in raster.QUERIES.items()}
+    found = {**images.QUERIES, **numbers.QUERIES}
+    return {name: Entry(q.frame, q.sql) for name, q in found.items()} | {name: Entry(*q) for name, q in symbols.QUERIES.items()}

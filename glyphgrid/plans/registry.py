@@ -14,4 +14,4 @@ def oracle_sql():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.all_queries()["o8_13_entropy"].build(spark, sf_dir)
+    return catalog.all_queries()["o7_1_psnr"].build(spark, sf_dir)

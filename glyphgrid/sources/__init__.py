@@ -1 +1 @@
-
+"""Image files: formats by their first bytes, readers and writers."""

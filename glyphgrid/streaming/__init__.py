@@ -1 +1 @@
-
+"""Streams of animation bytes that arrive in chunks."""

@@ -1,4 +1,4 @@
-"""The symbol counts against a plain count over whole texts; the DuckDB text counts their first 256 characters only."""
+"""The symbol counts against a plain count over whole texts."""
 
 from collections import Counter
 

@@ -17,3 +17,58 @@ def test_pages(spark):
     got = extract.extract(pages).collect()
     assert sorted(r.n_chars for r in got)[0] == 0 and all(len(r.text) == r.n_chars for r in got)
     assert extract.extract(pages.limit(0)).count() == 0
+
+
+def test_class_words_never_cut_the_article():
+    good = "<p>One good paragraph, with commas, and a fair number of words in it, so that it counts.</p>" * 3
+    text = " ".join(["One good paragraph, with commas, and a fair number of words in it, so that it counts."] * 3)
+    for page in ('<div class="overflow-hidden">@</div>', '<div class="has-sidebar"><article>@</article></div>', '<div id="no-menu"><main>@</main></div>', '<section class="discussion">@</section>', '<div class="site-menu"><article>@</article></div>'):
+        assert extract.main_text(page.replace("@", good)) == text, page
+    assert extract.main_text(f'<article>{good}<p class="notice-of-facts">Facts, here.</p></article>') == text + " Facts, here."
+    for cut in ("ad", "cookie-notice", "siteFooter", "comments"):
+        assert extract.main_text(f'<body><div class="{cut}">{good}{good}</div><article>{good}</article></body>') == text
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    pages = ["<div " + " ".join(f'a{i}="x"' for i in range(20000)), "<div " + " ".join(f'a{i}="x' for i in range(20000)), "<div>x" * 20000, "<span>x" * 20000 + "</p>" * 20000, "<svg>x" * 20000, "<" * 200000, "<a " + "= " * 50000]
+    for page in pages:
+        began = time.process_time()
+        extract.main_text(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def plain(html: str) -> str:
+    """The texts of an article's blocks by the library's parser, for well-formed pages."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in ("p", "h1", "li", "br"):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "li", "ul"):
+                self.out.append(" ")
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    return " ".join("".join(reader.out).split())
+
+
+def test_equals_a_plain_reading_of_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    assert len(got) == len(html) and all(got[k] == plain(h) for k, h in html.items() if "<article" in (h or ""))

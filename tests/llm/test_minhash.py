@@ -39,3 +39,34 @@ def test_edited_texts(spark, monkeypatch):
     assert minhash.edited_pairs(docs.limit(0)).count() == 0
     assert minhash.edited_pairs(docs.filter("doc_id = 4")).first().near_next == 1
     assert minhash.edited_pairs(docs.unionByName(docs)).count() == 2 * len(ids)
+
+
+def test_plain_fingerprint(spark):
+    """Bin by bin: the least hash, or that of the donor that a hash puts first."""
+    texts = ["a b c d e f g", "one two", " ".join(f"w{i}" for i in range(300)), "", " \n", "x " * 5000, "ä ö ü ß é\tè\nà"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    hashes = {r.i: r.h for r in df.select("i", minhash.shingle_hashes(F.col("t")).alias("h")).collect()}
+    pair = {(r.a, r.b): r.h for r in spark.range(128).selectExpr("cast(id as int) AS a").crossJoin(spark.range(128).selectExpr("cast(id as int) AS b")).select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    for r in df.select("i", minhash.fingerprint(F.col("t")).alias("f")).collect():
+        least: dict = {}
+        for h in hashes[r.i]:
+            b = (h & (2**64 - 1)) >> 57
+            least[b] = min(least.get(b, h), h)
+        expected = "".join(f"{(least[j] if j in least else least[min(least, key=lambda b: (pair[j, b], least[b]))]) & 255:02x}" for j in range(128)) if least else ""
+        assert r.f == expected
+
+
+def test_ties_and_sparse_keys(spark):
+    """Both uses of the next row take the same one, wherever rows lie and however far apart keys are."""
+    rows = [(5, f"text {k} " + "w " * k) for k in range(6)] + [(None, "null one"), (None, "null two"), (-(2**62), "far"), (2**62, "far up"), (7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    prints = {r.text: r.f for r in docs.select("text", minhash.fingerprint(F.col("text")).alias("f")).collect()}
+    expected = set()
+    for k, r in enumerate(order):
+        follow = order[(k + 1) % len(order)].text
+        cut = len(r.text) // 4
+        expected.add((r.doc_id, hashlib.sha256((r.text[: len(r.text) - cut] + follow[:cut]).encode()).hexdigest(), prints[r.text], prints[r.text] == prints[follow]))
+    for part in (docs, docs.repartition(4)):
+        got = {(r.doc_id, r.edited_sha256, r.fingerprint, r.near_next == 1) for r in minhash.edited_pairs(part).collect()}
+        assert got == expected

@@ -57,3 +57,35 @@ def test_long_words_are_told_apart(spark):
     got = {r.doc_id: r for r in outliers.verdicts(docs).collect()}
     assert not got[120].base_failed and not got[120].kept and all(got[i].kept for i in range(120))
     assert outliers.points([outliers.cell(text(120, 900), outliers.counts(text(120, 900)))])[0][0] == 58
+
+
+def test_verdicts_against_a_plain_fit(spark):
+    """The whole rule over again in numpy: cells, estimates that lean on their language's, distances, the quantile."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 5 + k)))
+    rows = []
+    for i in range(420):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, "c"), ("fr", None)])
+        words = [word(len(source or "xxx") * 2) + rng.choice(["", "", "", ".", "$$", "7"]) for _ in range(70)]
+        rows.append((i, " ".join(words), lang, source))
+    rows += [(900 + i, " ".join(word(3) + "$#%&" * 6 for _ in range(60)), "en", "a") for i in range(6)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted((r.doc_id, r.kept) for r in outliers.verdicts(docs).collect())
+    cells = [(r, outliers.cell(r[1], outliers.counts(r[1]))) for r in rows]
+
+    def fit(part):
+        values, weight = np.unique([c for _, c in part], return_counts=True)
+        return (*outliers.mcd(outliers.points(values), weight), len(part))
+
+    blend = lambda own, over: tuple(own[2] / (own[2] + outliers.LEAN) * o + outliers.LEAN / (own[2] + outliers.LEAN) * p for o, p in zip(own[:2], over[:2]))
+    whole = fit(cells)
+    limit = outliers.chi_square_quantile(1 - outliers.TAIL, outliers.DIMS)
+    expected = []
+    for row, c in cells:
+        lang = fit([x for x in cells if x[0][2] == row[2]])
+        own = fit([x for x in cells if x[0][2:] == row[2:]])
+        centre, cov = blend(own, blend(lang, whole))
+        off = outliers.points([c])[0] - centre
+        expected.append((row[0], bool(round(off @ np.linalg.inv(cov) @ off, 6) <= limit)))
+    assert got == sorted(expected) and not all(k for _, k in expected)

@@ -36,3 +36,26 @@ def test_one_row_of_each_group(spark):
     got = corpus_pipeline.near_copies(spark, docs, D)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(4, a), (2, b), (None, c), (7, ""), (7, ""), (8, None)], key=str)
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in every column, equal rows, names that stages use themselves, long texts, and no rows at all."""
+    words = lambda k, n=70: " ".join(f"{k}{i * 7 % 31}x{i}" for i in range(n))
+    texts = [words("a"), words("a"), words("b"), None, "", " \n ", words("c", 30000), words("b") + " tail", words("d")]
+    names = ["size", "target", "row", "id", "_text", "_cell", "_word", "gone", "node", "n", "nid", "_n_lines", "taken"]
+    rows = [(None if i == 8 else i // 2, t, None if i == 3 else "en", None if i == 4 else f"s{i % 2}", None if i == 5 else len(t or ""), *[i] * len(names)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(rows + rows[:2] + rows[3:5], schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for part in (docs, docs.limit(0)):
+            out = stage(spark, part, D)
+            got = out.collect()
+            if k < 4:
+                assert out.columns == docs.columns, name
+                assert [f.dataType for f in out.schema.fields] == [f.dataType for f in docs.schema.fields]
+            assert bool(got) == bool(part.count()), name
+            if name in ("line dedup", "byte pairs"):
+                assert len(got) == part.count()
+            for r in got if k < 4 else []:
+                i = r["size"]
+                assert all(r[n] == i for n in names) and r.lang == rows[i][2] and r.source == rows[i][3]

@@ -73,6 +73,14 @@ def prefix_code(distance: Column) -> tuple:
     return code.cast("long"), extra.cast("long"), F.when(small, F.lit(0)).otherwise(less % F.call_function("shiftleft", F.lit(1).cast("long"), extra.cast("int"))).cast("long")
 
 
+def partition_score(quality, ref_disto, ref_rate, disto, rate) -> Column:
+    """Of distortion and rate against a reference's: 0 if either is worse, 1/3 where both are the same, towards 1 as they go to 0."""
+    part = lambda v, ref: F.when(ref > 0, v / ref).when(v > 0, F.lit(None).cast("double")).otherwise(1.0)
+    delta = clamp(col(quality) / 95.0, 0.01, 0.99)
+    score = 1.0 / (1.0 + delta * part(disto, ref_disto) + (1.0 - delta) * part(rate, ref_rate))
+    return F.when((disto > ref_disto) | (rate > ref_rate), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
+
+
 def status_text(code: Column) -> Column:
     """What a status code means."""
     #: Fixed values, in the order of the codes.

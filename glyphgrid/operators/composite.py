@@ -104,3 +104,14 @@ def sorted_by_deltas(palette: Column, weight: int = 256) -> Column:
 
     start = F.struct(palette.alias("left"), zero.alias("last"), F.slice(palette, 1, 0).alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.size(palette)), start, step, lambda s: s["out"])
+
+
+def first_places(images: DataFrame) -> DataFrame:
+    """With ``idx``: the number of each pixel's colour, in the order in which the colours first occur."""
+    found = grid.held(colours(images), seen=F.array_distinct("px"))
+    return grid.held(found, idx=F.transform("px", lambda p: F.array_position("seen", p) - 1))
+
+
+def clusters_of_pixels(labels: DataFrame, w, h, bits: int) -> DataFrame:
+    """labels (image_id, w, h, v) of tiles of 2 ** bits pixels to the label of each pixel of an image of w x h."""
+    return grid.regridded(labels, w, h, lambda c, x, y: grid.value(c, F.shiftright(x, bits), F.shiftright(y, bits)), ("v",))

@@ -89,6 +89,16 @@ def fill(images: DataFrame, x, y, w, h, colour: dict) -> DataFrame:
     return grid.mapped(images, lambda c, i, j: F.when(holds_point(x, y, w, h, i, j), F.lit(colour[c])).otherwise(grid.value(c, i, j)))
 
 
+def border(images: DataFrame, x, y, w, h, colour: dict) -> DataFrame:
+    """The outermost pixels of a window."""
+
+    def of(c, i, j):
+        edge = (i == x) | (i == x + w - 1) | (j == y) | (j == y + h - 1)
+        return F.when(holds_point(x, y, w, h, i, j) & edge, F.lit(colour[c])).otherwise(grid.value(c, i, j))
+
+    return grid.mapped(images, of)
+
+
 def fill_outside(images: DataFrame, x, y, w, h, colour: dict) -> DataFrame:
     """The background colour on the canvas around a frame's window."""
     return grid.mapped(images, lambda c, i, j: F.when(holds_point(x, y, w, h, i, j), grid.value(c, i, j)).otherwise(F.lit(colour[c])))

@@ -106,3 +106,36 @@ def changed(pairs: DataFrame, quality: float) -> DataFrame:
     limit = int(((1 - quality * 0.01) * 15.0) ** 2 + 0.5)
     far = grid.pixels(F.col("w"), F.col("h"), lambda x, y: sum(((grid.value(c, x, y) - grid.value(f"{c}2", x, y)) * (grid.value(c, x, y) - grid.value(f"{c}2", x, y)) for c in grid.CHANNELS), F.lit(0)))
     return grid.exploded(pairs.select("image_id", "w", "h", far.alias("far")), "far").filter(F.col("far") > limit).select("image_id", "y", "x")
+
+
+def blurred(images: DataFrame, radius: int, threshold: int) -> DataFrame:
+    """Each channel of a pixel becomes the rounded mean of its window, clipped at the borders, where it differs from it by less than the threshold."""
+    from glyphgrid.functions.fixed import div_round, let
+
+    w, h = F.col("w"), F.col("h")
+
+    def of(c, x, y):
+        rows = F.sequence(F.greatest(y - radius, F.lit(0)), F.least(y + radius, (h - 1).cast("int")))
+        columns = F.sequence(F.greatest(x - radius, F.lit(0)), F.least(x + radius, (w - 1).cast("int")))
+        inside = F.flatten(F.transform(rows, lambda j: F.transform(columns, lambda i: grid.value(c, i, j))))
+        mean = let(inside, lambda v: div_round(grid.summed(v), F.size(v)))
+        return let(mean, lambda m: F.when(F.abs(m - grid.value(c, x, y)) < threshold, m).otherwise(grid.value(c, x, y)))
+
+    return grid.mapped(images, of)
+
+
+#: Fixed value: the multiplier of the colour hash.
+HASH = 0x1E35A7BD
+
+
+def hash_cached(pixels: DataFrame, bits: int) -> DataFrame:
+    """pixels (image_id, y, x, a, r, g, b) with ``slot``, the hash of the colour, and ``hit``: whether the slot's last colour is this one.
+
+    All slots start as 255 in each channel. An image's pixels of one slot stand in one task.
+    """
+    from pyspark.sql import Window
+
+    word = F.shiftleft(F.col("a").cast("long"), 24) + F.shiftleft(F.col("r").cast("long"), 16) + F.shiftleft(F.col("g").cast("long"), 8) + F.col("b")
+    rows = pixels.withColumn("_word", word).withColumn("slot", F.shiftright((F.col("_word") * HASH).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits))
+    last = F.lag("_word", 1, 0xFFFFFFFF).over(Window.partitionBy("image_id", "slot").orderBy("y", "x"))
+    return rows.withColumn("hit", last == F.col("_word")).drop("_word")

@@ -82,6 +82,7 @@ query("o4_22_rotate_window", lambda s, d: grid.exploded(geometry.rotate_window(i
 
 query("o4_7_crop", lambda s, d: grid.exploded(geometry.crop(images(s, d), *window())), f"SELECT image_id, y, x, a, r, g, b FROM {_WINDOW}", "img")
 query("o4_8_fill", lambda s, d: grid.exploded(geometry.fill(images(s, d), F.lit(1), F.lit(2), F.lit(3), F.lit(2), BACKGROUND)), "SELECT image_id, y, x, " + ", ".join(f"CASE WHEN x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 3 THEN {BACKGROUND[c]} ELSE {c} END AS {c}" for c in CH) + " FROM img", "img")
+query("o4_9_border", lambda s, d: grid.exploded(geometry.border(images(s, d), F.lit(1), F.lit(1), F.lit(4), F.lit(3), BACKGROUND)), "SELECT image_id, y, x, " + ", ".join(f"CASE WHEN (x IN (1, 4) AND y BETWEEN 1 AND 3) OR (y IN (1, 3) AND x BETWEEN 1 AND 4) THEN {BACKGROUND[c]} ELSE {c} END AS {c}" for c in CH) + " FROM img", "img")
 query("o4_29_fill_outside", lambda s, d: grid.exploded(geometry.fill_outside(images(s, d), F.lit(1), F.lit(2), F.lit(3), F.lit(2), BACKGROUND)), "SELECT image_id, y, x, " + ", ".join(f"CASE WHEN x IN (1, 2, 3) AND y IN (2, 3) THEN {c} ELSE {BACKGROUND[c]} END AS {c}" for c in CH) + " FROM img", "img")
 query("o4_23_rescale", lambda s, d: grid.exploded(geometry.rescale(images(s, d), F.lit(5), F.lit(3))), "SELECT i.image_id, j.j AS y, k.k AS x, i.a, i.r, i.g, i.b FROM img i, range(0, 3) j(j), range(0, 5) k(k) WHERE i.y = j.j * i.h // 3 AND i.x = k.k * i.w // 5", "img")
 query("o4_24_half", lambda s, d: grid.exploded(geometry.half(images(s, d))), "WITH t AS (SELECT *, y // 2 AS v, x // 2 AS u, h % 2 = 1 AND y = h - 1 AS lone, w % 2 = 1 AND x = w - 1 AS side FROM img) SELECT image_id, v AS y, u AS x, " + _list("CASE WHEN bool_or(side) THEN min(CASE WHEN y % 2 = 0 THEN @ END) ELSE (sum(CASE WHEN lone THEN 2 * @ ELSE @ END) + 2) // 4 END AS @") + " FROM t GROUP BY image_id, v, u", "img")
@@ -317,3 +318,36 @@ def _smooth_sql(quality: int) -> str:
 query("o10_35_near_lossless", lambda s, d: grid.exploded(predict.near_lossless(images(s, d), 97)), _smooth_sql(97), "img")
 query("o9_15_spread", lambda s, d: grid.exploded(predict.spread(images(s, d)), "spread"), "SELECT p.image_id, p.y, p.x, max(q.r) - min(q.r) AS spread FROM img p JOIN img q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY p.image_id, p.y, p.x", "img", "image_id y x spread")
 query("o12_4_changed_pixels", lambda s, d: predict.changed(pairs(s, d), 0.0), "SELECT image_id, y, x FROM pair WHERE (a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2 > 225", "pair", "image_id y x")
+
+
+def _chosen(s, d):
+    """A custom matrix that has an inverse in range, one that has none, and one whose inverse is out of range."""
+    rows = []
+    for name, m in CUSTOM.items():
+        picked = color.transform(custom=m)[0]
+        rows += [(name, i, int(v)) for i, v in enumerate(picked)]
+    return s.createDataFrame(rows, "kind string, i long, im long")
+
+
+CUSTOM = {"fine": (2000, 100, -300, 50, 1900, 20, -10, 30, 2100), "singular": (1, 2, 3, 2, 4, 6, 1, 1, 1), "steep": (1, 0, 0, 0, 2000, 0, 0, 0, 2000)}
+_YCOCG = ", ".join(map(str, color.TO_RGB["YCoCg"]))
+query("o5_2_chosen_transform", _chosen, "SELECT kind, i.i, m[i.i + 1] AS im FROM (VALUES ('fine', [2000, 100, -300, 50, 1900, 20, -10, 30, 2100]), ('singular', [" + _YCOCG + "]), ('steep', [" + _YCOCG + "])) v(kind, m), range(0, 9) i(i)", "", "i im", strings="kind")
+
+
+def _labels(s, d):
+    """A label for each 2x2 tile."""
+    return grid.regridded(images(s, d), idiv(F.col("w") + 1, 2), idiv(F.col("h") + 1, 2), lambda c, x, y: (F.col("image_id") + 3 * x + 5 * y) % 4, ("v",))
+
+
+def _pixel_labels(s, d):
+    sizes = images(s, d).select("image_id", F.col("w").alias("pw"), F.col("h").alias("ph"))
+    return grid.exploded(composite.clusters_of_pixels(_labels(s, d).join(sizes, "image_id"), F.col("pw"), F.col("ph"), 1), "v")
+
+
+query("o6_11_cluster_of_pixel", _pixel_labels, "SELECT image_id, y, x, (image_id + 3 * (x // 2) + 5 * (y // 2)) % 4 AS v FROM img", "img", "image_id y x v")
+query("o6_12_scattered_blocks", lambda s, d: rect_pairs(s, d).filter("w > 0 and h > 0").select("id", F.col("x2").alias("feature"), F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("cy"), "x", "w").select("id", "feature", "cy", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("cx")), "SELECT id, x2 AS feature, j.j AS cy, i.i AS cx FROM rect_pairs, range(0, 8) j(j), range(0, 8) i(i) WHERE j.j >= y AND j.j < y + h AND i.i >= x AND i.i < x + w", "rect_pairs", "id feature cy cx")
+query("o10_33_colour_map", lambda s, d: grid.exploded(composite.first_places(images(s, d)), "idx"), "WITH f AS (SELECT image_id, a, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY min(y * w + x)) - 1 AS idx FROM img GROUP BY image_id, a, r, g, b) SELECT i.image_id, i.y, i.x, f.idx FROM img i JOIN f USING (image_id, a, r, g, b)", "img", "image_id y x idx")
+query("o12_11_membership", lambda s, d: grid.exploded(images(s, d)).select("image_id", "y", "x", F.array_contains(F.array(*[F.lit(v).cast("long") for v in range(90, 110)]), F.col("r")).alias("held")), "SELECT image_id, y, x, r BETWEEN 90 AND 109 AS held FROM img", "img", "image_id y x", bools="held")
+_mean_of = lambda c: f"(sum(q.{c}) + count(*) // 2) // count(*)"
+query("o14_14_blurred", lambda s, d: grid.exploded(predict.blurred(images(s, d), 1, 12)), "SELECT p.image_id, p.y, p.x, " + ", ".join(f"CASE WHEN abs({_mean_of(c)} - p.{c}) < 12 THEN {_mean_of(c)} ELSE p.{c} END AS {c}" for c in CH) + " FROM img p JOIN img q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.y, p.x, p.a, p.r, p.g, p.b", "img")
+query("o10_29_hash_cache", lambda s, d: predict.hash_cached(grid.exploded(images(s, d)).withColumns({c: F.floor(F.col(c) / 64) for c in CH}), 4), "WITH t AS (SELECT image_id, y, x, y * w + x AS p, ((a // 64 * 256 + r // 64) * 256 + g // 64) * 256 + b // 64 AS v FROM img), h AS (SELECT *, (v * 506832829) % 4294967296 // 268435456 AS slot FROM t) SELECT h.image_id, h.y, h.x, h.slot, coalesce(arg_max(q.v, q.p), 4294967295) = h.v AS hit FROM h LEFT JOIN h q ON q.image_id = h.image_id AND q.slot = h.slot AND q.p < h.p GROUP BY h.image_id, h.y, h.x, h.slot, h.v", "img", "image_id y x slot", bools="hit")

@@ -412,3 +412,41 @@ def _sizes(s, d):
 
 
 query("o3_13_counted_size", _sizes, "SELECT image_id, 54 + h * ((w * CASE WHEN bool_or(a <> 255) THEN 4 ELSE 3 END + 3) // 4 * 4) AS size FROM img GROUP BY image_id, w, h", "img", "image_id size")
+
+# More of the survey's small operators
+
+_EV = lambda s, d: s.read.parquet(f"{d}/events.parquet")
+query("o6_17_same_position", lambda s, d: histograms(s, d).select("image_id", F.posexplode(F.arrays_zip("counts", "counts2")).alias("sym", "p")).select("image_id", "sym", "p.*"), "SELECT image_id, sym, c AS counts, c2 AS counts2 FROM hist", "hist", "image_id sym counts counts2")
+query("o8_34_label_stats", lambda s, d: _EV(s, d).groupBy("event_type").agg(F.sum(F.length("props")).alias("bits"), F.count("*").alias("occurrences"), F.countDistinct(F.length("props")).alias("n_values")), "SELECT event_type, sum(length(props)) AS bits, count(*) AS occurrences, count(DISTINCT length(props)) AS n_values FROM events GROUP BY event_type", "", "bits occurrences n_values", strings="event_type")
+query("o8_35_cluster_counts", lambda s, d: grid.exploded(images(s, d), "r", "g").groupBy("image_id", (F.col("g") % 3).alias("cluster"), (F.col("r") % 16).alias("sym")).agg(F.count("*").alias("n")), "SELECT image_id, g % 3 AS cluster, r % 16 AS sym, count(*) AS n FROM img GROUP BY ALL", "img", "image_id cluster sym n")
+
+
+def _context_fit(s, d):
+    rows = grid.exploded(images(s, d), "g", "b").filter("x = 0 or y = 0").groupBy("image_id").agg(F.collect_list(F.struct("g", "b")).alias("p"))
+    return rows.select("image_id", moments.line_fit(F.transform("p", lambda v: v["g"]), F.transform("p", lambda v: v["b"])).alias("f")).select("image_id", "f.*")
+
+
+query("o9_7_context_fit", _context_fit, _FIT.replace("FROM img GROUP BY", "FROM img WHERE x = 0 OR y = 0 GROUP BY"), "img", "image_id a b")
+query("o10_22_literals", lambda s, d: grid.exploded(images(s, d), "r").join(images(s, d).select("image_id", "w"), "image_id").select("image_id", (F.col("y") * F.col("w") + F.col("x")).alias("place"), "r", F.lit(1).alias("length")), "SELECT image_id, y * w + x AS place, r, 1 AS length FROM img", "img", "image_id place r length")
+_place = lambda s, d, *order: rect_pairs(s, d).select("id", (F.col("id") % 20).alias("k"), F.row_number().over(Window.partitionBy(F.col("id") % 20).orderBy(*order)).alias("place"))
+query("o11_3_blocks_in_order", lambda s, d: _place(s, d, "y", "x", "id"), "SELECT id, id % 20 AS k, row_number() OVER (PARTITION BY id % 20 ORDER BY y * 1000 + x, id) AS place FROM rect_pairs", "rect_pairs", "id k place")
+query("o11_5_area_major", lambda s, d: _place(s, d, idiv(F.col("y"), 2), idiv(F.col("x"), 2), "y", "x", "id"), "SELECT id, id % 20 AS k, row_number() OVER (PARTITION BY id % 20 ORDER BY y // 2 * 100 + x // 2, y * 1000 + x, id) AS place FROM rect_pairs", "rect_pairs", "id k place")
+query("o11_6_best_of_group", lambda s, d: rect_pairs(s, d).groupBy((F.col("id") % 20).alias("k")).agg(F.min_by("id", F.struct(-F.col("w") * F.col("h"), "id")).alias("id"), F.max(F.col("w") * F.col("h")).alias("area")), "SELECT k, id, area FROM (SELECT id % 20 AS k, id, w * h AS area, row_number() OVER (PARTITION BY id % 20 ORDER BY w * h DESC, id) AS n FROM rect_pairs) t WHERE n = 1", "rect_pairs", "k id area")
+query("o11_18_score", lambda s, d: rect_pairs(s, d).select("id", fixed.partition_score(F.col("id") % 100, F.col("w"), F.col("h"), F.col("w2"), F.col("h2")).alias("score")), "WITH t AS (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, (id % 100) / 95.0::DOUBLE)) AS q FROM rect_pairs) SELECT id, CASE WHEN w2 > w OR h2 > h THEN 0 ELSE 1 / (1 + q * CASE WHEN w > 0 THEN w2 / w ELSE 1 END + (1 - q) * CASE WHEN h > 0 THEN h2 / h ELSE 1 END) END AS score FROM t", "rect_pairs", "id", doubles="score")
+query("o12_1_appended_counts", lambda s, d: histograms(s, d).select("image_id", F.posexplode(F.zip_with(C1, C2, lambda p, q: p + q)).alias("sym", "n")), "SELECT image_id, sym, c + c2 AS n FROM hist", "hist", "image_id sym n")
+query("o12_2_appended_streams", lambda s, d: pairs(s, d).select("image_id", F.posexplode(F.concat("r", "r2")).alias("i", "v")), "SELECT image_id, y * w + x AS i, r AS v FROM pair UNION ALL SELECT image_id, w * h + y * w + x AS i, r2 AS v FROM pair", "pair", "image_id i v")
+query("o12_3_erased_range", lambda s, d: images(s, d).select("image_id", F.posexplode(F.concat(F.slice("r", F.lit(1), F.lit(3)), F.slice("r", F.lit(7), F.greatest(F.size("r") - 6, F.lit(0))))).alias("i", "v")), "SELECT image_id, CASE WHEN y * w + x < 3 THEN y * w + x ELSE y * w + x - 3 END AS i, r AS v FROM img WHERE y * w + x < 3 OR y * w + x >= 6", "img", "image_id i v")
+query("o13_26_predicted_chroma", lambda s, d: images(s, d).select("image_id", F.posexplode(moments.predicted_chroma(F.col("g"), F.col("image_id") % 700 - 300, F.col("image_id") % 90, -200, 200)).alias("i", "v")), "SELECT image_id, y * w + x AS i, greatest(-200, least(200, floor((g * (image_id % 700 - 300) + (image_id % 90) * 64 + 128) / 256.0))) AS v FROM img", "img", "image_id i v")
+query("o13_36_forward_2d", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.separable(F.col("v"), 4, 4, kernels.dct4).alias("p"))), "", "", "image_id k i v")
+query("o13_37_inverse_2d", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.separable(F.col("v"), 4, 4, kernels.inverse_dct4).alias("p"))), "", "", "image_id k i v")
+_four = "l AS (SELECT image_id, k, list(v ORDER BY y, x) AS c FROM blocks GROUP BY image_id, k)"
+_halve = lambda e, bits: f"floor(({e} + {1 << bits - 1}) / {1 << bits}.0)"
+_F4 = (_halve("c[1] + c[2] + c[3] + c[4]", 1), _halve("277 * (c[2] - c[3]) + 669 * (c[1] - c[4])", 10), _halve("c[1] + c[4] - c[2] - c[3]", 1), _halve("277 * (c[1] - c[4]) - 669 * (c[2] - c[3])", 10))
+_IL, _IH = _halve("554 * c[2] - 1337 * c[4]", 10), _halve("1337 * c[2] + 554 * c[4]", 10)
+_I4 = tuple(f"floor(({e}) / 2.0)" for e in (f"c[1] + c[3] + {_IH}", f"c[1] - c[3] + {_IL}", f"c[1] - c[3] - {_IL}", f"c[1] + c[3] - {_IH}"))
+_1d = lambda parts: f"{E}, {_four} " + " UNION ALL ".join(f"SELECT image_id, k, {i} AS i, {e} AS v FROM l" for i, e in enumerate(parts))
+query("o13_29_forward_dct4", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.dct4(F.col("v")).alias("p"))), _1d(_F4), "", "image_id k i v")
+query("o13_30_inverse_dct4", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.inverse_dct4(F.col("v")).alias("p"))), _1d(_I4), "", "image_id k i v")
+_SKIPS = "SELECT user_id AS anim_id, least(65535, sum(CASE WHEN event_type = 'click' THEN 2 ELSE 0 END)) AS skip FROM events GROUP BY user_id"
+query("o15_10_skips", lambda s, d: _EV(s, d).groupBy(F.col("user_id").alias("anim_id")).agg(F.least(F.lit(65535), F.sum(F.when(F.col("event_type") == "click", 2).otherwise(0))).alias("skip")), _SKIPS, "", "anim_id skip")
+query("o2_17_whole_files", lambda s, d: s.read.format("binaryFile").load(f"{d}/nation.parquet").select(F.octet_length("content").alias("size"), F.lit(1).alias("n")), "", "", "size n")

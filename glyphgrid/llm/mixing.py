@@ -78,6 +78,22 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: int = 7, weights: tuple = WE
     return rows.select(key, *docs.limit(0).select(*keep).columns, "size", "source_size", "target", taken(block_words).alias("taken"))
 
 
+def placements(docs: DataFrame, key: str = "doc_id", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
+    """key, shard, first and words: a row for each time that a block's part of a document is taken, and for which shard.
+
+    A source's seats are dealt out shard by shard, as many to each as its quota; a seat takes the block that the stride
+    leads to, so the shard of a block's copy is that of its seat. ``first`` is the place of the part in the document, in words.
+    """
+    rows = placed(docs, key, seed, weights, share, most, block_words, shards, ()).filter("size > 0")
+    first, last = F.floor(F.col("p0") / block_words), F.floor((F.col("p0") + F.col("size") - 1) / block_words)
+    rows = rows.withColumn("block", F.explode(F.sequence(first, last))).withColumn("seat", seat_of(F.col("block")))
+    times = F.col("rounds") + F.when(F.col("seat") < F.col("rest"), 1).otherwise(0)
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), times))).filter(F.col("round") < times)
+    seat = F.col("round") * F.col("n_blocks") + F.col("seat")
+    low, high = F.greatest("p0", F.col("block") * block_words), F.least(F.col("p0") + F.col("size"), (F.col("block") + 1) * block_words)
+    return rows.select(key, F.size(F.filter("ends", lambda e: e <= seat)).alias("shard"), (low - F.col("p0")).alias("first"), (high - low).alias("words"))
+
+
 def texts_taken(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
     """The rows that the mix takes, with the columns of docs: a source's words are as many as ``taken`` of its rows.
 
@@ -115,7 +131,8 @@ def plan_sources(sizes: DataFrame, seed: int, weights: tuple, share: float, most
     """A row for each source: target, seats and the stride through its blocks."""
     sources, _ = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     goals = targets(sources, weights, share, most)
-    seats = quotas(goals, block_words, shards).groupBy("place").agg(F.sum("seats").alias("seats"))
+    by_shard = F.transform(F.sort_array(F.collect_list(F.struct("shard", "seats"))), lambda q: q["seats"])
+    seats = quotas(goals, block_words, shards).groupBy("place").agg(F.sum("seats").alias("seats"), by_shard.alias("by_shard"))
     plan = goals.join(seats, "place", "left").withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     plan = plan.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
     plan = plan.withColumn("seats", F.least(F.coalesce(F.col("seats"), F.lit(0)), F.col("n_blocks") * most))
@@ -125,15 +142,21 @@ def plan_sources(sizes: DataFrame, seed: int, weights: tuple, share: float, most
         "name", "source_size", "target",
         some.alias("n_blocks"), F.floor(F.col("seats") / some).alias("rounds"), (F.col("seats") % some).alias("rest"),
         (F.when(some < STRIDE, F.lit(STRIDE).cast("long")).otherwise(F.lit(LONG_STRIDE)) % some).alias("stride"), (offset % some).alias("offset"),
+        F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.aggregate(F.slice(F.coalesce("by_shard", F.array_repeat(F.lit(0).cast("long"), shards)), F.lit(1), k), F.lit(0).cast("long"), lambda n, v: n + v)).alias("ends"),
     )
     return written(plan, "mix-plan")[0]
 
 
-def once_more(j: Column) -> Column:
-    """Whether block j of a source is taken once more than the full rounds take it."""
+def seat_of(j: Column) -> Column:
+    """The place of block j in its source's stride: the seat that takes it in the first round."""
     wide = F.col("stride").cast("decimal(19,0)") * j.cast("decimal(19,0)") % F.col("n_blocks").cast("decimal(19,0)")
     step = F.when(F.col("n_blocks") < STRIDE, F.try_multiply("stride", j) % F.col("n_blocks")).otherwise(wide.cast("long"))
-    return (step + F.col("offset")) % F.col("n_blocks") < F.col("rest")
+    return (step + F.col("offset")) % F.col("n_blocks")
+
+
+def once_more(j: Column) -> Column:
+    """Whether block j of a source is taken once more than the full rounds take it."""
+    return seat_of(j) < F.col("rest")
 
 
 def taken(block_words: int) -> Column:

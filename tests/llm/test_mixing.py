@@ -85,3 +85,26 @@ def test_texts_taken(spark):
     source = {i: s for i, _, s, _ in rows}
     goals = {source[i]: r.target for i, r in takes.items()}
     assert all(abs(by_source[s] - goals[s]) <= 3 * mixing.BLOCK_WORDS for s in goals)
+
+
+def test_placements_fill_the_quotas_of_the_shards(spark):
+    """Each shard takes as many blocks of a source as its quota has seats, and all of them together what the mix takes."""
+    rng = __import__("random").Random(5)
+    rows = [(i, "w " * rng.choice([0, 3, 40, 500]), rng.choice(["a", "b", "c", None])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.placements(docs).collect()
+    words = defaultdict(int)
+    for r in got:
+        words[r.doc_id] += r.words
+    size = {i: len(t.split()) for i, t, _ in rows}
+    assert all(0 <= r.shard < mixing.SHARDS and r.words > 0 and 0 <= r.first and r.first + r.words <= size[r.doc_id] for r in got)
+    assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} == {i: words[i] for i, _, _ in rows}
+    source = {i: s for i, _, s in rows}
+    sizes = spark.createDataFrame([(s, n) for s, n in {s: sum(size[i] for i in size if source[i] == s) for s in set(source.values())}.items()], "source string, source_size long")
+    quota = {(r.source, r.shard): r.seats for r in mixing.quotas(mixing.targets(sizes)).collect()}
+    taken = defaultdict(int)
+    for r in got:
+        taken[source[r.doc_id], r.shard] += r.words
+    for (s, shard), seats in quota.items():
+        # The last block of a source may be short, and one block's length lies between two rows.
+        assert abs(taken[s, shard] - seats * mixing.BLOCK_WORDS) <= 2 * mixing.BLOCK_WORDS, (s, shard)

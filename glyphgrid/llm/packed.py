@@ -24,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -33,11 +34,12 @@ from glyphgrid.llm.common import scratch_path
 MAGIC = b"FWP1"
 BLOCK_IDS = 65_536
 FILE_IDS = 4_000_000
-CACHE_WORDS, CACHE_PIECES = 60_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 250_000, 300_000
 #: Fixed value: the pre-tokenizer's pattern, as it stands for lower-case letters below U+0180, which NFC leaves alone.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿĀ-ſ0-9²³¹¼½¾]+")
+MARKS = frozenset(".,;:!?")
 PLAIN = re.compile("[!-~¡-¬®-įı-ſ]*")
-CHUNK_DOCS = 256
+CHUNK_BYTES = 3_000_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -171,12 +173,21 @@ class WordEncoder:
         cache, old, others, ids = self._cache, self._old, [], self._pieces.__getitem__
         for w in words:
             got = old.get(w)
-            if got is not None:
-                cache[w] = got
-            elif PLAIN.fullmatch(w) and not self._added(w):
-                cache[w] = b"".join(map(ids, PIECE.findall(w.lower())))
-            else:
-                others.append(w)
+            if got is None:
+                # One run of letters, or one and a mark, are the pieces themselves; the pattern cuts the rest.
+                if w.isascii():
+                    if w.isalpha():
+                        got = ids(w.lower())
+                    elif w[-1:] in MARKS and w[:-1].isalpha():
+                        got = ids(w[:-1].lower()) + ids(w[-1])
+                    elif w.isprintable() and not self._added(w):
+                        got = b"".join(map(ids, PIECE.findall(w.lower())))
+                elif PLAIN.fullmatch(w) and not self._added(w):
+                    got = ids(w.lower()) if w.isalpha() else b"".join(map(ids, PIECE.findall(w.lower())))
+                if got is None:
+                    others.append(w)
+                    continue
+            cache[w] = got
         for w, e in zip(others, self._library.encode_batch_fast(others, add_special_tokens=False)):
             cache[w] = array("I", e.ids).tobytes()
 
@@ -228,8 +239,11 @@ def write_packed(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 1,
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64())], names=["file", "part", "number", "n_docs", "n_ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_DOCS):
-                chunk = batch.slice(at, CHUNK_DOCS)
+            # Texts are encoded some megabytes at a time, or one by one if they are longer.
+            part_of = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part_of)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                chunk = batch.slice(at, to - at)
                 for k, data in zip(chunk.column(0).to_pylist(), encoder.encode([t or "" for t in chunk.column(1).to_pylist()])):
                     keys.append(k)
                     held.append(np.frombuffer(data + end, "<u4"))

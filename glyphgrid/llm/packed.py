@@ -34,7 +34,7 @@ from glyphgrid.llm.common import scratch_path
 MAGIC = b"FWP1"
 BLOCK_IDS = 65_536
 FILE_IDS = 4_000_000
-CACHE_WORDS, CACHE_PIECES = 250_000, 300_000
+CACHE_PIECES = 400_000
 #: Fixed value: the pre-tokenizer's pattern, as it stands for lower-case letters below U+0180, which NFC leaves alone.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿĀ-ſ0-9²³¹¼½¾]+")
 MARKS = frozenset(".,;:!?")
@@ -145,16 +145,15 @@ class _Pieces(dict):
 
 
 class WordEncoder:
-    """The library's ids of whole texts, through a bounded cache of words in two generations.
+    """The library's ids of whole texts, through a bounded cache of pieces.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so a
-    text's ids are those of its words in order. Words of printable characters below U+0180 are lower-cased, as the
-    normalizer does, cut by the pre-tokenizer's pattern, and handed to the library's model; others, and those that
-    hold an added token, to its encoder, all new ones of a batch at once. When the young generation is full it becomes the old one; words of the
-    old one are taken over as they occur again.
+    The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are those of its
+    words in order, and each distinct word of a batch is looked at once. Words of printable characters below U+0180 are
+    lower-cased, as the normalizer does, cut by the pre-tokenizer's pattern, and handed to the library's model; others,
+    and those that hold an added token, to its encoder, all of a batch at once.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -165,40 +164,33 @@ class WordEncoder:
         self.vocab_size = self._library.get_vocab_size(with_added_tokens=True)
         added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
-        self._cache: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._cache_words = cache_words
 
-    def _learn(self, words: list[str]) -> None:
-        cache, old, others, ids = self._cache, self._old, [], self._pieces.__getitem__
+    def _ids(self, words: set) -> dict[str, bytes]:
+        """The ids of each word as little-endian u32."""
+        out, others, ids = {}, [], self._pieces.__getitem__
         for w in words:
-            got = old.get(w)
-            if got is None:
-                # One run of letters, or one and a mark, are the pieces themselves; the pattern cuts the rest.
-                if w.isascii():
-                    if w.isalpha():
-                        got = ids(w.lower())
-                    elif w[-1:] in MARKS and w[:-1].isalpha():
-                        got = ids(w[:-1].lower()) + ids(w[-1])
-                    elif w.isprintable() and not self._added(w):
-                        got = b"".join(map(ids, PIECE.findall(w.lower())))
-                elif PLAIN.fullmatch(w) and not self._added(w):
-                    got = ids(w.lower()) if w.isalpha() else b"".join(map(ids, PIECE.findall(w.lower())))
-                if got is None:
+            # One run of letters, or one and a mark, are the pieces themselves; the pattern cuts the rest.
+            if w.isascii():
+                if w.isalpha():
+                    out[w] = ids(w.lower())
+                elif w[-1:] in MARKS and w[:-1].isalpha():
+                    out[w] = ids(w[:-1].lower()) + ids(w[-1])
+                elif w.isprintable() and not self._added(w):
+                    out[w] = b"".join(map(ids, PIECE.findall(w.lower())))
+                else:
                     others.append(w)
-                    continue
-            cache[w] = got
+            elif PLAIN.fullmatch(w) and not self._added(w):
+                out[w] = ids(w.lower()) if w.isalpha() else b"".join(map(ids, PIECE.findall(w.lower())))
+            else:
+                others.append(w)
         for w, e in zip(others, self._library.encode_batch_fast(others, add_special_tokens=False)):
-            cache[w] = array("I", e.ids).tobytes()
+            out[w] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self._cache) >= self._cache_words:
-            self._old, self._cache = self._cache, {}
-        new = set(itertools.chain.from_iterable(split)).difference(self._cache)
-        self._learn(list(new))
-        get = self._cache.__getitem__
+        get = self._ids(set(itertools.chain.from_iterable(split))).__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 

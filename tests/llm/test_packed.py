@@ -31,7 +31,7 @@ def test_random_access():
 
 
 def test_words_encode_as_the_library():
-    encoder, library = packed.WordEncoder(PATH, cache_words=20), tokenizers.Tokenizer.from_file(PATH)
+    encoder, library = packed.WordEncoder(PATH, cache_pieces=20), tokenizers.Tokenizer.from_file(PATH)
     texts = ["", "  ", "The the THE's don't,x é É \n\n1234 ß İ <|endoftext|>x y", "a b é ́ 漢字", "word, " * 50]
     for text, got in zip(texts, encoder.encode(texts)):
         assert list(np.frombuffer(got, "<u4")) == library.encode(text, add_special_tokens=False).ids

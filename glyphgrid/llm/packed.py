@@ -33,13 +33,13 @@ from glyphgrid.llm.common import scratch_path
 
 MAGIC = b"FWP1"
 BLOCK_IDS = 65_536
-FILE_IDS = 4_000_000
-CACHE_PIECES = 400_000
+FILE_IDS = 2_000_000
+CACHE_PIECES = 300_000
 #: Fixed value: the pre-tokenizer's pattern, as it stands for lower-case letters below U+0180, which NFC leaves alone.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿĀ-ſ0-9²³¹¼½¾]+")
 MARKS = frozenset(".,;:!?")
 PLAIN = re.compile("[!-~¡-¬®-įı-ſ]*")
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def bits_for(vocab_size: int) -> int:

@@ -27,15 +27,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glyphgrid.llm.bpe import PIECES, byte_alphabet
-from glyphgrid.llm.common import drop, written
+from glyphgrid.llm.common import chunks, drop, written
 
 #: Bytes of text that are aligned at once; a longer text is alone.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Words of more characters, and those outside ASCII, are encoded by the library itself.
 LONG = 500
 #: Groups of more links than this are counted by their distinct ids.
@@ -211,13 +210,6 @@ class Aligned:
         return segment_sums(values[self.seq], self.offsets)
 
 
-def chunks(batch: pa.RecordBatch, column: int):
-    """The batch's rows in slices of some megabytes of text."""
-    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    return [batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i]
-
-
 def _packed(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
 
@@ -232,7 +224,7 @@ def _first_pass(a_path: str, b_path: str, spelled: bool):
     def run(batches):
         t, part, number = _tokenizers(a_path, b_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in chunks(batch, 1):
+            for rows in chunks(batch, 1, CHUNK_BYTES):
                 x = Aligned(rows.column(1).to_pylist(), t)
                 good = (x.of_documents((~x.good).astype(np.int64)) == 0) & (np.diff(x.offsets) > 0)
                 if not good.all():  # their words count for nothing

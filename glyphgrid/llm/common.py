@@ -4,6 +4,9 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -61,6 +64,13 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def chunks(batch: pa.RecordBatch, column: int, size: int) -> list:
+    """The batch's rows in slices of about so many bytes of a text column; a longer text is alone or ends its slice."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
 def maybe_in(df: DataFrame, keys: list[Column], ids: DataFrame, id_keys: list[Column], inside: bool = True) -> DataFrame:
     """Rows of df whose keys may be among the ids: all that are, and few others while the ids are few.
 

@@ -68,4 +68,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-SQL = {"op8_mixing": OP8, "op10_chat": OP10}
+OP13 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+known AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM words WHERE len(terms) > 0),
+posting AS (
+  SELECT row, doc_id, len(terms)::BIGINT AS n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row, doc_id, terms, unnest(terms) AS term FROM words) GROUP BY ALL),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM posting, known GROUP BY term),
+scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN posting USING (term), known GROUP BY item_id, row, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, row)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, row) <= 50
+"""
+
+SQL = {"op8_mixing": OP8, "op10_chat": OP10, "op13_search": OP13}

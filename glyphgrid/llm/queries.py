@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import align, bpe, chat, extract, jaccard, lines, minhash, mixing, oracle, outliers, packed, shards
+from glyphgrid.llm import align, bpe, chat, extract, jaccard, lines, minhash, mixing, oracle, outliers, packed, search, shards, toxicity
 from glyphgrid.llm.common import table
 
 
@@ -57,10 +57,18 @@ def op10_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(rows))
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_align(spark, sf_dir):
     return align.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

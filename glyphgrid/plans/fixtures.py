@@ -1,9 +1,11 @@
 """Rasters, planes, rectangles and frames derived from the driver's tables, as DataFrames; and the same as DuckDB views.
 
-Images are of 1 to 8 by 1 to 8 pixels, so that odd sides and single rows and columns occur. The two sides are
-written apart: arrays and their positions here, a row for each pixel there.
+Every value of a vector is a pixel; where a shape has a pixel or two more, the first values come again. Odd sides and single
+rows and columns occur. The two sides are written apart: arrays and their positions here, a row for each pixel there.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphgrid.functions.fixed import div_by_255, idiv
@@ -11,6 +13,8 @@ from glyphgrid.operators import grid
 
 #: How far an image's partner, of the same size, is away.
 PARTNER = 64
+#: Widths and heights, by an image's id.
+WIDTHS, HEIGHTS = [8, 64, 1, 5, 13, 3, 2, 22], [8, 1, 64, 13, 5, 22, 32, 3]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours that aren't premultiplied."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), (1 + F.col("vec_id") % 8).cast("int").alias("w"), (1 + idiv(F.col("vec_id"), 8) % 8).cast("int").alias("h"), "embedding")
-    level = lambda x, y: F.floor((F.get("embedding", y * 8 + x).cast("double") + 1) * 128)
+    side = lambda of: F.get(F.array(*[F.lit(n) for n in of]), (F.col("vec_id") % len(of)).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), side(WIDTHS).alias("w"), side(HEIGHTS).alias("h"), "embedding")
+    level = lambda x, y: F.floor((F.get("embedding", (y * F.col("w") + x) % 64).cast("double") + 1) * 128)
     rows = grid.held(rows, v=grid.pixels(F.col("w"), F.col("h"), level))
     v = lambda x, y: grid.value("v", x, y)
     alpha = lambda x, y: F.when(F.col("image_id") % 2 == 0, 255).otherwise(3 * v(x, y) % 256)
@@ -71,23 +76,36 @@ def over_255(v: str) -> str:
     return f"(({v}) + (({v}) // 256) + 128) // 256"
 
 
-#: The same for DuckDB: views by name, each after those that it needs.
+def _straight(v: str, end: str) -> str:
+    return f"CASE WHEN image_id % 2 = 0 THEN 255 ELSE 3 * {v} % 256 END AS a{end}, {v} AS r{end}, (7 * {v} + 13 * x) % 256 AS g{end}, (11 * {v} + 29 * y) % 256 AS b{end}"
+
+
+def _premultiplied(end: str) -> str:
+    return f"a{end}, " + ", ".join(f"CASE WHEN a{end} = 255 THEN {c}{end} ELSE {over_255(f'{c}{end} * a{end}')} END AS {c}{end}" for c in "rgb")
+
+
+_LEVEL = "floor((@[i % 64 + 1]::DOUBLE + 1) * 128)::BIGINT"
+_SIZED = f"SELECT *, {WIDTHS}[vec_id % 8 + 1] AS w, {HEIGHTS}[vec_id % 8 + 1] AS h"
+
+#: The same for DuckDB: tables by name, each after those that it needs. Partners meet as whole vectors, before there are pixels.
 DUCK = {
-    "gray": "SELECT vec_id AS image_id, 1 + vec_id % 8 AS w, 1 + (vec_id // 8) % 8 AS h, (i - 1) // 8 AS y, (i - 1) % 8 AS x, floor((embedding[i]::DOUBLE + 1) * 128)::BIGINT AS v FROM embeddings, range(1, 65) t(i)",
-    "raw": "SELECT image_id, w, h, y, x, CASE WHEN image_id % 2 = 0 THEN 255 ELSE 3 * v % 256 END AS a, v AS r, (7 * v + 13 * x) % 256 AS g, (11 * v + 29 * y) % 256 AS b FROM gray WHERE y < h AND x < w",
-    "img": "SELECT image_id, w, h, y, x, a, " + ", ".join(f"CASE WHEN a = 255 THEN {c} ELSE {over_255(f'{c} * a')} END AS {c}" for c in "rgb") + " FROM raw",
-    "pair": f"SELECT p.*, q.a AS a2, q.r AS r2, q.g AS g2, q.b AS b2 FROM img p JOIN img q ON q.image_id = p.image_id + {PARTNER} AND q.y = p.y AND q.x = p.x",
+    "gray": f"SELECT vec_id AS image_id, w, h, i // w AS y, i % w AS x, {_LEVEL.replace('@', 'embedding')} AS v FROM (SELECT *, unnest(range(0, w * h)) AS i FROM ({_SIZED} FROM embeddings))",
+    "raw": f"SELECT image_id, w, h, y, x, {_straight('v', '')} FROM gray",
+    "img": f"SELECT image_id, w, h, y, x, {_premultiplied('')} FROM raw",
+    "gray_pair": f"SELECT vec_id AS image_id, w, h, i // w AS y, i % w AS x, {_LEVEL.replace('@', 'embedding')} AS v, {_LEVEL.replace('@', 'other')} AS v2 FROM (SELECT *, unnest(range(0, w * h)) AS i FROM ({_SIZED} FROM (SELECT e.vec_id, e.embedding, f.embedding AS other FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + {PARTNER})))",
+    "raw_pair": f"SELECT image_id, w, h, y, x, {_straight('v', '')}, {_straight('v2', '2')} FROM gray_pair",
+    "pair": f"SELECT image_id, w, h, y, x, {_premultiplied('')}, {_premultiplied('2')} FROM raw_pair",
     "rect_pairs": "SELECT event_id AS id, event_id % 5 AS x, event_id // 5 % 5 AS y, event_id // 25 % 4 AS w, event_id // 100 % 4 AS h, event_id // 7 % 5 AS x2, event_id // 11 % 5 AS y2, event_id // 13 % 4 AS w2, event_id // 17 % 4 AS h2 FROM events",
     "frames": """SELECT user_id AS anim_id, row_number() OVER u - 1 AS frame_idx, CASE WHEN event_type = 'view' THEN 0 ELSE floor(value)::BIGINT + 1 END AS duration_ms,
         row_number() OVER u = 1 OR event_type = 'signup' AS disposes, event_id % 13 AS x, event_id % 7 AS y, 1 + event_id % 5 AS w, 1 + event_id % 6 AS h, length(props) AS num_bytes
         FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "hist": f"SELECT image_id, s.s AS sym, count(*) FILTER (WHERE r % 64 = s.s) AS c, count(*) FILTER (WHERE r2 % 64 = s.s) AS c2 FROM pair, range(0, 64) s(s) GROUP BY image_id, s.s",
 }
-DUCK_NEEDS = {"raw": ["gray"], "img": ["raw"], "pair": ["img"], "hist": ["pair"]}
+DUCK_NEEDS = {"raw": ["gray"], "img": ["raw"], "raw_pair": ["gray_pair"], "pair": ["raw_pair"], "hist": ["pair"]}
 
 
 def duck_sql(body: str, *names: str) -> str:
-    """The statement with the views that it names."""
+    """The statement with the tables that it names, each computed once, so that no join is planned through them."""
     order: list = []
 
     def add(name: str) -> None:
@@ -99,6 +117,6 @@ def duck_sql(body: str, *names: str) -> str:
     for name in names:
         add(name)
     heads = ", ".join(f"{n} AS ({DUCK[n]})" for n in order)
-    if not heads:
-        return body
-    return f"WITH {heads}, {body[5:]}" if body.startswith("WITH ") else f"WITH {heads} {body}"
+    if heads:
+        body = f"WITH {heads}, {body[5:]}" if body.startswith("WITH ") else f"WITH {heads} {body}"
+    return re.sub(r"\bAS \((?=SELECT|WITH)", "AS MATERIALIZED (", body)

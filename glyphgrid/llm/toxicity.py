@@ -23,13 +23,13 @@ from glyphgrid.llm.common import chunks, drop, written
 from glyphgrid.llm.search import TERM_BYTES
 
 BITS = 31
-MAX_DOCS, MAX_FEATURES = 20_000, 20_000_000
+MAX_DOCS, MAX_FEATURES = 20_000, 10_000_000
 #: Of FTRL-proximal: the rate's numerator and its shift, the two penalties, and how often the sample is gone through.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 1.0, 6
 THRESHOLD = 0.3
 #: Words between the two of a pair, and none for single words.
 GAPS = (None, 0, 1, 2)
-CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
+CHUNK_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20
 
 _IS_WORD = np.frombuffer(TERM_BYTES, np.uint8) != 32
 _FOLDED = np.frombuffer(TERM_BYTES, np.uint8).astype(np.uint64)
@@ -103,8 +103,8 @@ def with_features(docs: DataFrame, kept: list, text: str) -> DataFrame:
     return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, features array<int>")
 
 
-def ftrl(offsets: np.ndarray, flat: np.ndarray, labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS) -> tuple:
-    """(hashes, weights, bias): the weights that aren't zero, by ascending hash. The bias has no penalty.
+def ftrl(offsets: np.ndarray, flat: np.ndarray, labels: np.ndarray, order: np.ndarray | None = None, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS) -> tuple:
+    """(hashes, weights, bias): the weights that aren't zero, by ascending hash. The bias has no penalty. order: of the documents.
 
     While a weight is zero, its z moves by less than 1 for each document and epoch; features of too few documents to get
     past the penalty stay at zero, and are left out before.
@@ -113,7 +113,7 @@ def ftrl(offsets: np.ndarray, flat: np.ndarray, labels: np.ndarray, alpha=ALPHA,
     names = names[counts * epochs > l1]
     at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
     kept = names[at] == flat if len(names) else np.zeros(len(flat), bool)
-    local = at[kept]
+    local = at[kept].astype(np.int32)
     offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
     z, n = np.zeros(len(names)), np.zeros(len(names))
     bias_z = bias_n = 0.0
@@ -124,8 +124,8 @@ def ftrl(offsets: np.ndarray, flat: np.ndarray, labels: np.ndarray, alpha=ALPHA,
 
     bias = 0.0
     for _ in range(epochs):
-        for i, y in enumerate(labels):
-            at = local[offsets[i] : offsets[i + 1]]
+        for i in range(len(labels)) if order is None else order.tolist():
+            y, at = labels[i], local[offsets[i] : offsets[i + 1]]
             w = weights(at)
             bias = -bias_z * alpha / (beta + np.sqrt(bias_n))
             g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y  # the gradient, alike for all features of value 1
@@ -157,11 +157,11 @@ def fit(chosen: DataFrame) -> tuple:
     """(hashes, weights, bias) of a bounded sample; None without one."""
 
     def run(table):
-        order = np.lexsort((table.column("label").to_numpy(), table.column("order").to_numpy()))
-        table = table.take(pa.array(order))
+        labels = table.column("label").to_numpy().astype(np.float64)
+        order = np.lexsort((labels, table.column("order").to_numpy()))
         lists = table.column("features").combine_chunks()
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        h, w, bias = ftrl(offsets - offsets[0], lists.flatten().to_numpy(), table.column("label").to_numpy().astype(np.float64))
+        h, w, bias = ftrl(offsets - offsets[0], lists.flatten().to_numpy(), labels, order)
         return pa.table({"feature": pa.array(np.append(h, -1), pa.int64()), "weight": pa.array(np.append(w, bias), pa.float64())})
 
     # The one place where rows meet in a task: the sample, which has a bound.

@@ -59,7 +59,7 @@ def test_ftrl_equals_the_plain_rule():
     offsets = np.concatenate([[0], np.cumsum([len(f) for f, _ in rows])])
     flat = np.array([k for f, _ in rows for k in f], np.int32)
     for l1 in (0.5, 3.0):
-        h, w, bias = toxicity.ftrl(offsets, flat, np.array([y for _, y in rows], float), 0.7, 1.0, l1, 1.5, 3)
+        h, w, bias = toxicity.ftrl(offsets, flat, np.array([y for _, y in rows], float), None, 0.7, 1.0, l1, 1.5, 3)
         expected, b = plain_ftrl(rows, 0.7, 1.0, l1, 1.5, 3)
         assert abs(bias - b) < 1e-9 and h.tolist() == sorted(expected)
         assert np.allclose(w, [expected[k] for k in h.tolist()])

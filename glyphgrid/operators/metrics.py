@@ -1,9 +1,9 @@
 """Distortion of an image against its partner: squared errors, PSNR, SSIM, and local minima."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glyphgrid.functions.fixed import let
-from glyphgrid.operators import grid
+from glyphgrid.operators import grid, stencils
 from glyphgrid.operators.composite import over_colour
 
 NONE_DB, LEAST_DB = 99.0, 98.9
@@ -43,12 +43,13 @@ def distortion(pairs: DataFrame, metric: str = "psnr", alpha_counts: bool = True
         # Sums of channels pass through single precision on the way to the overall value.
         exact = lambda c: F.col(f"t_{c}").cast("float").cast("double")
     else:
-        each = ssim_sum if metric == "ssim" else lsim_sum
+        each = None
         of = log_ssim if metric == "ssim" else psnr
         exact = lambda c: F.col(f"t_{c}")
-    sums = pairs.select("image_id", size.alias("n"), counts.alias("counts"), *[each(c).alias(f"t_{c}") for c in grid.CHANNELS])
+    known = pairs.select("*", size.alias("n"), counts.alias("counts"))
+    totals = known.select("image_id", "n", "counts", *[each(c).alias(f"t_{c}") for c in grid.CHANNELS]) if each else sums(known, metric, keep=("image_id", "n", "counts"))
     whole = exact("r") + exact("g") + exact("b") + F.when(F.col("counts"), exact("a")).otherwise(0.0)
-    return sums.select("image_id", *[of(F.col(f"t_{c}"), F.col("n")).alias(f"{c}_db") for c in grid.CHANNELS], of(whole, F.col("n") * F.when(F.col("counts"), 4).otherwise(3)).alias("all_db"))
+    return totals.select("image_id", *[of(F.col(f"t_{c}"), F.col("n")).alias(f"{c}_db") for c in grid.CHANNELS], of(whole, F.col("n") * F.when(F.col("counts"), 4).otherwise(3)).alias("all_db"))
 
 
 def distortion_on_black_or_white(pairs: DataFrame, metric: str = "psnr") -> DataFrame:
@@ -64,72 +65,88 @@ def distortion_on_black_or_white(pairs: DataFrame, metric: str = "psnr") -> Data
     return both.select("image_id", "a_db", *[F.when(worse, F.col(f"{n}_w")).otherwise(F.col(n)).alias(n) for n in names])
 
 
-def ssim_moments(c: str, x, y, radius: int = 3) -> Column:
-    """Weighted sums around a place, clipped at the borders: of the weights, both values, their squares and their product."""
-    w, h = F.col("w"), F.col("h")
-    weight = F.array(*[F.lit(v) for v in TENT])
-    rows = F.sequence(F.greatest(y - radius, F.lit(0)), F.least(y + radius, (h - 1).cast("int")))
-    columns = F.sequence(F.greatest(x - radius, F.lit(0)), F.least(x + radius, (w - 1).cast("int")))
-    names = ("w", "xm", "ym", "xxm", "xym", "yym")
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+MOMENTS = ("weights", "xm", "ym", "xxm", "xym", "yym")
 
-    def add(total, j, i):
-        k = (F.get(weight, F.abs(i - x)) * F.get(weight, F.abs(j - y))).cast("long")
-        p, q = grid.value(c, i, j), grid.value(f"{c}2", i, j)
-        return F.struct(*[(total[n] + k * v).alias(n) for n, v in zip(names, (F.lit(1), p, q, p * p, p * q, q * q))])
 
-    return F.aggregate(rows, zero, lambda t, j: F.aggregate(columns, t, lambda t2, i: add(t2, j, i)))
+def moments_of(p: np.ndarray, q: np.ndarray) -> dict:
+    """Sums over the window around each pixel under its tent, clipped at the borders: of the weights, both values, their squares and product."""
+    return {n: stencils.windowed(v, TENT) for n, v in zip(MOMENTS, (np.ones_like(p), p, q, p * p, p * q, q * q))}
 
 
-def ssim_of(m: Column, bits: int = 8, luminance: bool = True) -> Column:
-    """The index from its moments in integers: 1 where it is dark, covariance 0 at least, both terms shifted by 8 bits."""
-    n = m["w"]
+def index_of(m: dict, bits: int = 8, luminance: bool = True) -> np.ndarray:
+    """SSIM from moments in integers: 1 where it is dark, covariance 0 at least, both terms shifted by 8 bits."""
+    n = m["weights"]
     scale = n * n * (1 << 2 * (bits - 8))
     xx, yy, xy = m["xm"] * m["xm"], m["ym"] * m["ym"], m["xm"] * m["ym"]
-    top = F.shiftright(2 * F.greatest(m["xym"] * n - xy, F.lit(0)) + 60 * scale, 8).cast("double")
-    low = F.shiftright((m["xxm"] * n - xx) + (m["yym"] * n - yy) + 60 * scale, 8).cast("double")
+    top = (2 * np.maximum(m["xym"] * n - xy, 0) + 60 * scale >> 8).astype(np.float64)
+    low = ((m["xxm"] * n - xx) + (m["yym"] * n - yy) + 60 * scale >> 8).astype(np.float64)
     ratio = top / low
     if luminance:
-        ratio = F.greatest((2 * xy + 20 * scale).cast("double") * top, F.lit(0.0)) / ((xx + yy + 20 * scale).cast("double") * low)
-    return F.when(xx + yy >= 64 * scale, ratio).otherwise(F.lit(1.0))
+        ratio = np.maximum((2 * xy + 20 * scale) * top, 0) / ((xx + yy + 20 * scale) * low)
+    return np.where(xx + yy >= 64 * scale, ratio, 1.0)
 
 
-def ssim_map(c: str, luminance: bool = True) -> Column:
-    moments = grid.pixels(F.col("w"), F.col("h"), lambda x, y: ssim_moments(c, x, y))
-    return F.transform(moments, lambda m: ssim_of(m, luminance=luminance))
+def least_error(p: np.ndarray, q: np.ndarray, radius: int = 2) -> np.ndarray:
+    """The least squared difference of the partner's pixel to a pixel of the image within the radius."""
+    around = range(-radius, radius + 1)
+    return np.minimum.reduce([np.square(stencils.clamped(p, dy, dx) - q) for dy in around for dx in around])
 
 
-def ssim_sum(c: str, luminance: bool = True) -> Column:
-    return grid.summed(ssim_map(c, luminance), "double")
+def _of(kind: str, luminance: bool = True):
+    return (lambda p, q: index_of(moments_of(p, q), luminance=luminance)) if kind == "ssim" else least_error
 
 
-def lsim_at(c: str, x, y, radius: int = 2) -> Column:
-    """The least squared difference of the partner's pixel at a place to a pixel of the image within the radius."""
-    rows = F.sequence(F.greatest(y - radius, F.lit(0)), F.least(y + radius, (F.col("h") - 1).cast("int")))
-    columns = F.sequence(F.greatest(x - radius, F.lit(0)), F.least(x + radius, (F.col("w") - 1).cast("int")))
-    far = lambda i, j: (grid.value(c, i, j) - grid.value(f"{c}2", x, y)) * (grid.value(c, i, j) - grid.value(f"{c}2", x, y))
-    return F.array_min(F.transform(rows, lambda j: F.array_min(F.transform(columns, lambda i: far(i, j)))))
+def _both(channels) -> tuple:
+    return (*channels, *[f"{c}2" for c in channels])
 
 
-def lsim_map(c: str, radius: int = 2) -> Column:
-    return grid.pixels(F.col("w"), F.col("h"), lambda x, y: lsim_at(c, x, y, radius))
+def ssim_moments(pairs: DataFrame, c: str) -> DataFrame:
+    """image_id, w, h and the six sums, each an array."""
+    return stencils.on_rasters(pairs, _both([c]), dict.fromkeys(MOMENTS, "array<long>"), lambda p: moments_of(p[c], p[f"{c}2"]))
 
 
-def lsim_sum(c: str) -> Column:
-    return grid.summed(lsim_map(c))
+def maps(pairs: DataFrame, kind: str, channels: tuple = grid.CHANNELS, luminance: bool = True, keep: tuple = ("image_id", "w", "h")) -> DataFrame:
+    """The kept columns and for each channel the index (ssim) or the least squared difference (lsim) of each pixel."""
+    f = _of(kind, luminance)
+    return stencils.on_rasters(pairs, _both(channels), dict.fromkeys(channels, "array<double>" if kind == "ssim" else "array<long>"), lambda p: {c: f(p[c], p[f"{c}2"]) for c in channels}, keep)
 
 
-def at_pixel(pairs: DataFrame, x: Column, y: Column, metric: str = "psnr") -> DataFrame:
-    """The distortion of one pixel over its four channels. By local minima the last channel alone counts, as a quirk that is kept."""
+def sums(pairs: DataFrame, kind: str, channels: tuple = grid.CHANNELS, keep: tuple = ("image_id", "w", "h")) -> DataFrame:
+    """The kept columns and for each channel c the sum t_c of its map."""
+    f = _of(kind)
+    return stencils.on_rasters(pairs, _both(channels), {f"t_{c}": "double" if kind == "ssim" else "long" for c in channels}, lambda p: {f"t_{c}": f(p[c], p[f"{c}2"]).sum() for c in channels}, keep)
+
+
+def tile_sums(tiles: DataFrame, kind: str, channels: tuple = grid.CHANNELS, size: int = stencils.TILE) -> DataFrame:
+    """image_id, n and t_c of images in tiles, planes and partners' planes side by side: sums of the tiles, then of the image."""
+    f = _of(kind)
+    parts = stencils.on_tiles(tiles, _both(channels), {c: "array<double>" if kind == "ssim" else "array<long>" for c in channels}, lambda p, _: {c: f(p[c], p[f"{c}2"]) for c in channels}, 3, size)
+    return parts.select("image_id", (F.col("w") * F.col("h")).alias("n"), *[grid.summed(F.col(c), "double" if kind == "ssim" else "bigint").alias(c) for c in channels]).groupBy("image_id").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"t_{c}") for c in channels])
+
+
+def at_pixel(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
+    """image_id, psnr, ssim and lsim of one pixel over its four channels, from the window around it.
+
+    By local minima the last channel alone counts, as a quirk that is kept.
+    """
+    left, top = F.greatest(x - 3, F.lit(0)), F.greatest(y - 3, F.lit(0))
+    around = _around(pairs, x, y, left, top)
+
+    def body(p):
+        at = int(p["py"][0, 0]), int(p["px"][0, 0])
+        far = [int(p[c][at] - p[f"{c}2"][at]) for c in grid.CHANNELS]
+        return {"sse": sum(v * v for v in far), "ssim": sum(index_of(moments_of(p[c], p[f"{c}2"]))[at] for c in grid.CHANNELS), "least": least_error(p["b"], p["b2"])[at]}
+
+    got = stencils.on_rasters(around, (*_both(grid.CHANNELS), "px", "py"), {"sse": "long", "ssim": "double", "least": "long"}, body, ("image_id",))
     four = F.lit(4)
-    if metric == "psnr":
-        got = psnr(sum(((grid.value(c, x, y) - grid.value(f"{c}2", x, y)) * (grid.value(c, x, y) - grid.value(f"{c}2", x, y)) for c in grid.CHANNELS), F.lit(0)), four)
-    elif metric == "ssim":
-        total = sum((let(ssim_moments(c, x, y), lambda m: ssim_of(m)) for c in grid.CHANNELS), F.lit(0.0))
-        got = log_ssim(total, four)
-    else:
-        got = psnr(lsim_at("b", x, y), four)
-    return pairs.select("image_id", got.alias("db"))
+    return got.select("image_id", psnr(F.col("sse"), four).alias("psnr"), log_ssim(F.col("ssim"), four).alias("ssim"), psnr(F.col("least"), four).alias("lsim"))
+
+
+def _around(pairs: DataFrame, x: Column, y: Column, left: Column, top: Column) -> DataFrame:
+    """Both images' windows of three pixels around a place, and planes px and py that hold the place in the window."""
+    w, h = (F.least(x + 4, F.col("w")) - left).cast("int"), (F.least(y + 4, F.col("h")) - top).cast("int")
+    planes = [stencils.part(c, "w", top, left, h, w).alias(c) for c in _both(grid.CHANNELS)]
+    return pairs.select("image_id", *planes, F.array_repeat((x - left).cast("long"), w * h).alias("px"), F.array_repeat((y - top).cast("long"), w * h).alias("py"), w.alias("w"), h.alias("h"))
 
 
 def block_sse(pairs: DataFrame, size: int, channels: tuple = grid.CHANNELS) -> DataFrame:
@@ -144,7 +161,9 @@ def block_sse(pairs: DataFrame, size: int, channels: tuple = grid.CHANNELS) -> D
 def plane_report(pairs: DataFrame, channels: tuple) -> DataFrame:
     """PSNR and SSIM sums of planes, each on its own."""
     size = F.col("w") * F.col("h")
-    return pairs.select("image_id", *[psnr(sse(c), size).alias(f"{c}_db") for c in channels], *[log_ssim(ssim_sum(c), size).alias(f"{c}_ssim") for c in channels])
+    known = pairs.select("*", *[sse(c).alias(f"sse_{c}") for c in channels])
+    both = sums(known, "ssim", channels, ("image_id", "w", "h", *[f"sse_{c}" for c in channels]))
+    return both.select("image_id", *[psnr(F.col(f"sse_{c}"), size).alias(f"{c}_db") for c in channels], *[log_ssim(F.col(f"t_{c}"), size).alias(f"{c}_ssim") for c in channels])
 
 
 def report(pairs: DataFrame, metric: str = "psnr", sizes: Column | None = None, gray: bool = False, halved: bool = False, window: tuple | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Pixel predictors and their residuals, near-lossless smoothing, and other scans of neighbours."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphgrid.functions.fixed import clamp, idiv
-from glyphgrid.operators import grid
+from glyphgrid.operators import grid, stencils
 
 
 def _average(p, q) -> Column:
@@ -73,32 +74,34 @@ def restored(images: DataFrame, mode: int, bits: int = 8) -> DataFrame:
     return grid.mapped(images, of)
 
 
+def _smoothed(planes: dict, quality: int, place: tuple | None = None) -> dict:
+    far_apart = lambda p, dy, dx: np.maximum.reduce([np.abs(v - stencils.clamped(v, dy, dx)) for v in p.values()])
+    for bits in range(min(4, max(1, 100 - quality)), 0, -1):
+        limit, mask = max(1, ((1 << bits) - 1) // 2), (1 << bits) - 1
+        far = np.maximum.reduce([far_apart(planes, *d) for d in ((0, -1), (0, 1), (-1, 0), (1, 0))]) >= limit
+        x = np.arange(far.shape[1]) + (place[1] if place else 0)
+        far &= (x > 0) & (x < (place[3] if place else far.shape[1]) - 1)
+        biased = {c: v + (mask >> 1) + (v >> bits) % 2 for c, v in planes.items()}
+        planes = {c: np.where(far, np.where(biased[c] > 255, 255, biased[c] - biased[c] % (mask + 1)), v) for c, v in planes.items()}
+    return planes
+
+
 def near_lossless(images: DataFrame, quality: int) -> DataFrame:
     """Values far from a neighbour lose low bits, one pass for each of 1 to 4 bits, the highest first.
 
     The first and last columns stay; the first and last rows are their own outer neighbours.
     """
-    for bits in range(min(4, max(1, 100 - quality)), 0, -1):
-        limit, mask = max(1, ((1 << bits) - 1) // 2), (1 << bits) - 1
-        w, h = F.col("w"), F.col("h")
+    return stencils.on_rasters(images, grid.CHANNELS, dict.fromkeys(grid.CHANNELS, "array<long>"), lambda p: _smoothed(p, quality))
 
-        def of(c, x, y, bits=bits, limit=limit, mask=mask):
-            far = lambda dx, dy: F.greatest(*[F.abs(grid.value(k, x, y) - grid.at_clamped(F.col(k), w, h, x + dx, y + dy)) for k in grid.CHANNELS]) >= limit
-            v = grid.value(c, x, y)
-            biased = v + (mask >> 1) + F.shiftright(v, bits) % 2
-            smooth = F.when(biased > 255, 255).otherwise(biased - biased % (mask + 1))
-            inside = (x > 0) & (x < w - 1)
-            return F.when(inside & (far(-1, 0) | far(1, 0) | far(0, -1) | far(0, 1)), smooth).otherwise(v)
 
-        images = grid.mapped(images, of)
-    return images
+def near_lossless_tiles(tiles: DataFrame, quality: int, size: int = stencils.TILE) -> DataFrame:
+    """The same of tiles: each pass reaches one pixel further."""
+    return stencils.on_tiles(tiles, grid.CHANNELS, dict.fromkeys(grid.CHANNELS, "array<long>"), lambda p, at: _smoothed(p, quality, at), 4, size)
 
 
 def spread(images: DataFrame, channel: str = "r", radius: int = 2) -> DataFrame:
     """Largest less least value in the window around each pixel, clipped at the borders."""
-    w, h = F.col("w"), F.col("h")
-    around = lambda x, y: F.flatten(F.transform(F.sequence(F.greatest(y - radius, F.lit(0)), F.least(y + radius, (h - 1).cast("int"))), lambda j: F.transform(F.sequence(F.greatest(x - radius, F.lit(0)), F.least(x + radius, (w - 1).cast("int"))), lambda i: grid.value(channel, i, j))))
-    return images.select("image_id", "w", "h", grid.pixels(w, h, lambda x, y: F.array_max(around(x, y)) - F.array_min(around(x, y))).alias("spread"))
+    return stencils.on_rasters(images, (channel,), {"spread": "array<long>"}, lambda p: {"spread": np.subtract(*stencils.extremes(p[channel], radius)[::-1])})
 
 
 def changed(pairs: DataFrame, quality: float) -> DataFrame:
@@ -108,20 +111,23 @@ def changed(pairs: DataFrame, quality: float) -> DataFrame:
     return grid.exploded(pairs.select("image_id", "w", "h", far.alias("far")), "far").filter(F.col("far") > limit).select("image_id", "y", "x")
 
 
+def _blurred(planes: dict, radius: int, threshold: int) -> dict:
+    ones = (1,) * (radius + 1)
+    out = {}
+    for c, v in planes.items():
+        n = stencils.windowed(np.ones_like(v), ones)
+        mean = (stencils.windowed(v, ones) + n // 2) // n
+        out[c] = np.where(np.abs(mean - v) < threshold, mean, v)
+    return out
+
+
 def blurred(images: DataFrame, radius: int, threshold: int) -> DataFrame:
     """Each channel of a pixel becomes the rounded mean of its window, clipped at the borders, where it differs from it by less than the threshold."""
-    from glyphgrid.functions.fixed import div_round, let
+    return stencils.on_rasters(images, grid.CHANNELS, dict.fromkeys(grid.CHANNELS, "array<long>"), lambda p: _blurred(p, radius, threshold))
 
-    w, h = F.col("w"), F.col("h")
 
-    def of(c, x, y):
-        rows = F.sequence(F.greatest(y - radius, F.lit(0)), F.least(y + radius, (h - 1).cast("int")))
-        columns = F.sequence(F.greatest(x - radius, F.lit(0)), F.least(x + radius, (w - 1).cast("int")))
-        inside = F.flatten(F.transform(rows, lambda j: F.transform(columns, lambda i: grid.value(c, i, j))))
-        mean = let(inside, lambda v: div_round(grid.summed(v), F.size(v)))
-        return let(mean, lambda m: F.when(F.abs(m - grid.value(c, x, y)) < threshold, m).otherwise(grid.value(c, x, y)))
-
-    return grid.mapped(images, of)
+def blurred_tiles(tiles: DataFrame, radius: int, threshold: int, size: int = stencils.TILE) -> DataFrame:
+    return stencils.on_tiles(tiles, grid.CHANNELS, dict.fromkeys(grid.CHANNELS, "array<long>"), lambda p, _: _blurred(p, radius, threshold), radius, size)
 
 
 #: Fixed value: the multiplier of the colour hash.

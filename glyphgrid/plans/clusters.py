@@ -90,4 +90,4 @@ def _nearest(s, d):
     return merging.nearest(own, own.filter("tile % 3 = 0").select("image_id", F.col("tile").alias("cluster"), "counts"), SIZE, KINDS)
 
 
-query("o6_8_nearest_cluster", _nearest, f"WITH tc AS ({_COUNTS}), {_OWN}, p AS (SELECT DISTINCT t.image_id, t.n_tiles, t.tile, u.tile AS tile2 FROM tc t JOIN tc u ON u.image_id = t.image_id AND u.tile % 3 = 0), both AS (SELECT p.image_id, p.n_tiles, p.tile, p.tile2, k, sym, sum(c * CASE WHEN p.tile = p.tile2 THEN 2 ELSE 1 END) AS c FROM p JOIN tc ON tc.image_id = p.image_id AND (tc.tile = p.tile OR tc.tile = p.tile2) GROUP BY ALL), total AS (SELECT image_id, tile, tile2, sum(cost) AS cost FROM ({_cost_sql('SELECT * FROM both', 'image_id, tile, tile2')}) GROUP BY ALL), ranked AS (SELECT m.image_id, m.tile, m.tile2 AS cluster, row_number() OVER (PARTITION BY m.image_id, m.tile ORDER BY round(m.cost - o.cost, 9), m.tile2) AS rank FROM total m JOIN own o ON o.image_id = m.image_id AND o.tile = m.tile2) SELECT image_id, tile, cluster FROM ranked WHERE rank = 1", "img", "image_id tile cluster")
+query("o6_8_nearest_cluster", _nearest, f"WITH tc AS ({_COUNTS}), {_OWN}, p AS (SELECT DISTINCT t.image_id, t.n_tiles, t.tile, u.tile AS tile2 FROM tc t JOIN tc u ON u.image_id = t.image_id AND u.tile % 3 = 0), added AS (SELECT p.image_id, p.n_tiles, p.tile, p.tile2, k, sym, sum(c * CASE WHEN p.tile = p.tile2 THEN 2 ELSE 1 END) AS c FROM p JOIN tc ON tc.image_id = p.image_id AND (tc.tile = p.tile OR tc.tile = p.tile2) GROUP BY ALL), total AS (SELECT image_id, tile, tile2, sum(cost) AS cost FROM ({_cost_sql('SELECT * FROM added', 'image_id, tile, tile2')}) GROUP BY ALL), ranked AS (SELECT m.image_id, m.tile, m.tile2 AS cluster, row_number() OVER (PARTITION BY m.image_id, m.tile ORDER BY round(m.cost - o.cost, 9), m.tile2) AS rank FROM total m JOIN own o ON o.image_id = m.image_id AND o.tile = m.tile2) SELECT image_id, tile, cluster FROM ranked WHERE rank = 1", "img", "image_id tile cluster")

@@ -91,7 +91,7 @@ query("o4_25_plane_half", lambda s, d: grid.exploded(geometry.plane_half(images(
 _UP = "SELECT * FROM (VALUES (0, -2, 1), (0, -1, 3), (0, 0, 11), (0, 1, 1), (1, -1, 1), (1, 0, 11), (1, 1, 3), (1, 2, 1)) v(odd, d, t)"
 query("o4_26_plane_double", lambda s, d: grid.exploded(geometry.plane_double(images(s, d), 2 * F.col("w") - IO() % 2, 2 * F.col("h")), "r"), f"WITH taps AS ({_UP}), o AS (SELECT image_id, w, h, 2 * y + j.j AS y, 2 * x + i.i AS x FROM img, range(0, 2) i(i), range(0, 2) j(j) WHERE 2 * x + i.i < 2 * w - image_id % 2) SELECT o.image_id, o.y, o.x, floor((sum(p.r * a.t * b.t) + 128) / 256.0) AS r FROM o, taps a, taps b JOIN img p ON p.image_id = o.image_id AND p.x = greatest(0, least(o.w - 1, o.x // 2 + a.d)) AND p.y = greatest(0, least(o.h - 1, o.y // 2 + b.d)) WHERE a.odd = o.x % 2 AND b.odd = o.y % 2 GROUP BY o.image_id, o.y, o.x", "img", "image_id y x r")
 query("o4_27_tap_sample", lambda s, d: images(s, d).select("image_id", geometry.sample(F.col("g"), F.col("w"), F.col("h"), *spot(), geometry.DOWN_SHARP, geometry.UP_FULL).alias("g")), f"WITH across AS ({_TAPS}), down AS (SELECT d, t FROM ({_UP}) WHERE odd = 0) SELECT o.image_id, floor((sum(p.g * a.t * b.t) + 128) / 256.0) AS g FROM img o, across a, down b JOIN img p ON p.image_id = o.image_id AND p.x = greatest(0, least(o.w - 1, o.x + a.d)) AND p.y = greatest(0, least(o.h - 1, o.y + b.d)) WHERE o.x = o.image_id % o.w AND o.y = o.image_id % o.h GROUP BY o.image_id", "img", "image_id g")
-query("o4_28_pad", lambda s, d: grid.exploded(geometry.padded(images(s, d), 4)), "SELECT i.image_id, j.j AS y, k.k AS x, i.a, i.r, i.g, i.b FROM img i, range(0, 8) j(j), range(0, 8) k(k) WHERE j.j < (i.h + 3) // 4 * 4 AND k.k < (i.w + 3) // 4 * 4 AND i.y = least(j.j, i.h - 1) AND i.x = least(k.k, i.w - 1)", "img")
+query("o4_28_pad", lambda s, d: grid.exploded(geometry.padded(images(s, d), 4)), "SELECT i.image_id, j.j AS y, k.k AS x, i.a, i.r, i.g, i.b FROM img i, range(0, 68) j(j), range(0, 68) k(k) WHERE j.j < (i.h + 3) // 4 * 4 AND k.k < (i.w + 3) // 4 * 4 AND i.y = least(j.j, i.h - 1) AND i.x = least(k.k, i.w - 1)", "img")
 _DIFF = "SELECT image_id, y, x, " + _list("abs(@ - @2) AS @") + " FROM pair"
 query("o4_30_difference_scaled", lambda s, d: grid.exploded(geometry.difference(pairs(s, d), True)), f"WITH t AS ({_DIFF}) SELECT image_id, y, x, " + _list("CASE WHEN max(@) OVER i = 0 THEN 0 ELSE (@ * (16711680 // max(@) OVER i) + 32768) // 65536 END AS @") + " FROM t WINDOW i AS (PARTITION BY image_id)", "pair")
 query("o4_31_difference", lambda s, d: grid.exploded(geometry.difference(pairs(s, d))), _DIFF, "pair")
@@ -209,7 +209,7 @@ query("o5_11_round_trip", lambda s, d: grid.exploded(color.round_trip_error(imag
 _CUSTOM = (1000, -200, 30, 50, 900, -70, 10, 20, 1100)
 _OFFSET = (5, -3, 7)
 query("o5_20_yuv_to_custom", lambda s, d: grid.exploded(color.to_custom(color.planes(images(s, d), "YCoCg"), _CUSTOM, _OFFSET), *YUV), f"WITH t AS ({_to_yuv('YCoCg')}) SELECT image_id, y, x, " + ", ".join(f"floor(({_CUSTOM[k]} * (yy + 5) + {_CUSTOM[k + 1]} * (uu - 3) + {_CUSTOM[k + 2]} * (vv + 7) + 2048) / 4096.0) AS {n}" for k, n in zip((0, 3, 6), YUV)) + " FROM t", "img", "image_id y x yy uu vv")
-query("o5_18_padded_planes", lambda s, d: grid.exploded(color.planes(images(s, d), "YCbCr", 4), *YUV), f"WITH t AS ({_to_yuv('YCbCr')}) SELECT t.image_id, j.j AS y, k.k AS x, yy, uu, vv FROM t, range(0, 8) j(j), range(0, 8) k(k) WHERE j.j < (h + 3) // 4 * 4 AND k.k < (w + 3) // 4 * 4 AND y = least(j.j, h - 1) AND x = least(k.k, w - 1)", "img", "image_id y x yy uu vv")
+query("o5_18_padded_planes", lambda s, d: grid.exploded(color.planes(images(s, d), "YCbCr", 4), *YUV), f"WITH t AS ({_to_yuv('YCbCr')}) SELECT t.image_id, j.j AS y, k.k AS x, yy, uu, vv FROM t, range(0, 68) j(j), range(0, 68) k(k) WHERE j.j < (h + 3) // 4 * 4 AND k.k < (w + 3) // 4 * 4 AND y = least(j.j, h - 1) AND x = least(k.k, w - 1)", "img", "image_id y x yy uu vv")
 query("o5_19_planes_to_rgb", lambda s, d: grid.exploded(color.from_planes(color.planes(images(s, d), "YIQ"), "YIQ")), f"WITH t AS ({_to_yuv('YIQ')}) SELECT image_id, y, x, 255 AS a, {_to_rgb('YIQ')} FROM t", "img")
 query("o5_21_yuv_to_straight", lambda s, d: grid.exploded(color.from_planes(color.planes(images(s, d), "YCbCr"), "YCbCr", "straight")), f"WITH t AS ({_to_yuv('YCbCr')}), p AS (SELECT image_id, y, x, a, {_to_rgb('YCbCr', 'a')} FROM t) SELECT image_id, y, x, a, " + _list("CASE WHEN a = 0 THEN 0 ELSE least(255, (@ * ((16711680 + a - 1) // a) + 32768) // 65536) END AS @", "rgb") + " FROM p", "img")
 query("o5_22_yuv_to_premultiplied", lambda s, d: grid.exploded(color.from_planes(color.planes(images(s, d), "YCbCr"), "YCbCr", "premultiplied")), f"WITH t AS ({_to_yuv('YCbCr')}) SELECT image_id, y, x, a, {_to_rgb('YCbCr', 'a')} FROM t", "img")

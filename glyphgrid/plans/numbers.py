@@ -59,38 +59,29 @@ query("o7_6_block_sse", lambda s, d: metrics.block_sse(pairs(s, d), 3, ("g",)),
 
 
 def _moments(s, d, clipped: bool):
-    rows = grid.held(pairs(s, d), m=grid.pixels(F.col("w"), F.col("h"), lambda x, y: metrics.ssim_moments("g", x, y)))
-    rows = rows.select("image_id", "w", "h", F.posexplode("m").alias("i", "m")).select("image_id", idiv(F.col("i"), F.col("w")).alias("y"), (F.col("i") % F.col("w")).alias("x"), F.col("w").alias("iw"), F.col("h").alias("ih"), "m.*")
-    inner = (F.col("x") >= 3) & (F.col("y") >= 3) & (F.col("x") < F.col("iw") - 3) & (F.col("y") < F.col("ih") - 3)
-    return rows.drop("iw", "ih") if clipped else rows.filter(inner).drop("iw", "ih")
+    rows = grid.exploded(metrics.ssim_moments(pairs(s, d), "g"), *metrics.MOMENTS)
+    # Inside, the weights are those of the whole window.
+    return (rows if clipped else rows.filter("weights = 256")).withColumnRenamed("weights", "w")
 
 
 _MOMENTS = "SELECT p.image_id, p.y, p.x, sum(k) AS w, sum(k * q.g) AS xm, sum(k * q.g2) AS ym, sum(k * q.g * q.g) AS xxm, sum(k * q.g * q.g2) AS xym, sum(k * q.g2 * q.g2) AS yym FROM pair p, (SELECT a.i AS dy, b.i AS dx, (4 - abs(a.i)) * (4 - abs(b.i)) AS k FROM range(-3, 4) a(i), range(-3, 4) b(i)) t JOIN pair q ON q.image_id = p.image_id AND q.y = p.y + t.dy AND q.x = p.x + t.dx"
 query("o7_7_ssim_moments", lambda s, d: _moments(s, d, True), _MOMENTS + " GROUP BY p.image_id, p.y, p.x", "pair", "image_id y x w xm ym xxm xym yym")
 query("o7_8_inner_moments", lambda s, d: _moments(s, d, False), _MOMENTS + " WHERE p.x BETWEEN 3 AND p.w - 4 AND p.y BETWEEN 3 AND p.h - 4 GROUP BY p.image_id, p.y, p.x", "pair", "image_id y x w xm ym xxm xym yym")
-_map = lambda s, d, luminance: grid.exploded(pairs(s, d).select("image_id", "w", "h", *[metrics.ssim_map(c, luminance).alias(c) for c in "rg"]), "r", "g")
+_map = lambda s, d, luminance: grid.exploded(metrics.maps(pairs(s, d), "ssim", ("r", "g"), luminance), "r", "g")
 query("o7_9_ssim", lambda s, d: _map(s, d, True), f"SELECT image_id, y, x, s_r AS r, s_g AS g FROM ({_ssim_sql('pair', True, 'rg')}) s", "pair", "image_id y x", doubles="r g")
 query("o7_10_structure", lambda s, d: _map(s, d, False), f"SELECT image_id, y, x, s_r AS r, s_g AS g FROM ({_ssim_sql('pair', False, 'rg')}) s", "pair", "image_id y x", doubles="r g")
-query("o7_11_ssim_sum", lambda s, d: pairs(s, d).select("image_id", *[metrics.ssim_sum(c).alias(c) for c in "rgb"]), f"SELECT image_id, {_list('sum(s_@) AS @', 'rgb')} FROM ({_ssim_sql('pair', True, 'rgb')}) s GROUP BY image_id", "pair", "image_id", doubles="r g b")
+query("o7_11_ssim_sum", lambda s, d: metrics.sums(pairs(s, d), "ssim", ("r", "g", "b")).select("image_id", *[F.col(f"t_{c}").alias(c) for c in "rgb"]), f"SELECT image_id, {_list('sum(s_@) AS @', 'rgb')} FROM ({_ssim_sql('pair', True, 'rgb')}) s GROUP BY image_id", "pair", "image_id", doubles="r g b")
 _BEST = "SELECT p.image_id, p.y, p.x, p.a <> 255 AS clear, " + _list("min((q.@ - p.@2) ** 2)::BIGINT AS m_@") + " FROM pair p JOIN pair q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY p.image_id, p.y, p.x, p.a"
 query("o7_12_lsim", lambda s, d: metrics.distortion(pairs(s, d), "lsim"), _report_sql(f"SELECT image_id, count(*) AS n, bool_or(clear) AS clear, {_list('sum(m_@) AS t_@')} FROM ({_BEST}) b GROUP BY image_id", _ln), "pair", "image_id", doubles=_DB)
-query("o6_16_lsim_neighbours", lambda s, d: grid.exploded(pairs(s, d).select("image_id", "w", "h", *[metrics.lsim_map(c).alias(c) for c in CH])), f"SELECT image_id, y, x, {_list('m_@ AS @')} FROM ({_BEST}) b", "pair", "image_id y x a r g b")
+query("o6_16_lsim_neighbours", lambda s, d: grid.exploded(metrics.maps(pairs(s, d), "lsim")), f"SELECT image_id, y, x, {_list('m_@ AS @')} FROM ({_BEST}) b", "pair", "image_id y x a r g b")
 
 
 def _spot() -> tuple:
     return (F.col("image_id") % F.col("w")).cast("int"), (F.col("image_id") % F.col("h")).cast("int")
 
 
-def _at_pixel(s, d):
-    out = None
-    for metric in ("psnr", "ssim", "lsim"):
-        one = metrics.at_pixel(pairs(s, d), *_spot(), metric).withColumnRenamed("db", metric)
-        out = one if out is None else out.join(one, "image_id")
-    return out
-
-
 _SPOT = "y = image_id % h AND x = image_id % w"
-query("o7_14_at_pixel", _at_pixel, f"SELECT image_id, {_ln('((a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2)', '4')} AS psnr, {_log('(s_a + s_r + s_g + s_b)', '4')} AS ssim, {_ln('m_b', '4')} AS lsim FROM pair JOIN ({_ssim_sql('pair')}) s USING (image_id, y, x) JOIN ({_BEST}) b USING (image_id, y, x) WHERE {_SPOT}", "pair", "image_id", doubles="psnr ssim lsim")
+query("o7_14_at_pixel", lambda s, d: metrics.at_pixel(pairs(s, d), *_spot()), f"SELECT image_id, {_ln('((a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2)', '4')} AS psnr, {_log('(s_a + s_r + s_g + s_b)', '4')} AS ssim, {_ln('m_b', '4')} AS lsim FROM pair JOIN ({_ssim_sql('pair')}) s USING (image_id, y, x) JOIN ({_BEST}) b USING (image_id, y, x) WHERE {_SPOT}", "pair", "image_id", doubles="psnr ssim lsim")
 _white = lambda c, a: f"{c} + {over_255(f'(255 - {a}) * 255')}"
 _WHITE = "SELECT image_id, " + ", ".join(f"{_white(f'{c}', 'a')} AS {c}, {_white(f'{c}2', 'a2')} AS {c}2" for c in CH) + " FROM pair"
 query("o7_15_black_or_white", lambda s, d: metrics.distortion_on_black_or_white(pairs(s, d)), f"SELECT k.image_id, k.a_db, " + ", ".join(f"CASE WHEN asked AND v.all_db < k.all_db THEN v.{c}_db ELSE k.{c}_db END AS {c}_db" for c in ("r", "g", "b", "all")) + f" FROM ({_report_sql(_SSE.format('pair'), _ln, False, True)}) k JOIN ({_report_sql(_SSE.format(f'({_WHITE}) w'), _ln, False, True)}) v USING (image_id) JOIN (SELECT image_id, bool_or(a2 <> 255) AS asked FROM pair GROUP BY image_id) USING (image_id)", "pair", "image_id", doubles=_DB)
@@ -115,7 +106,7 @@ def _yuv_pairs(s, d):
 
 query("o7_17_plane_report", lambda s, d: metrics.plane_report(_yuv_pairs(s, d), color.YUV), "", "", "image_id", doubles="yy_db uu_db vv_db yy_ssim uu_ssim vv_ssim")
 query("o7_18_plane_sse", lambda s, d: pairs(s, d).select("image_id", metrics.sse("b").alias("sse")), "SELECT image_id, sum(b * b) - 2 * sum(b * b2) + sum(b2 * b2) AS sse FROM pair GROUP BY image_id", "pair", "image_id sse")
-query("o7_19_plane_ssim", lambda s, d: pairs(s, d).select("image_id", metrics.ssim_sum("b").alias("score")), f"SELECT image_id, sum(s_b) AS score FROM ({_ssim_sql('pair', True, 'b')}) s GROUP BY image_id", "pair", "image_id", doubles="score")
+query("o7_19_plane_ssim", lambda s, d: metrics.sums(pairs(s, d), "ssim", ("b",)).select("image_id", F.col("t_b").alias("score")), f"SELECT image_id, sum(s_b) AS score FROM ({_ssim_sql('pair', True, 'b')}) s GROUP BY image_id", "pair", "image_id", doubles="score")
 query("o7_20_window_sse", lambda s, d: metrics.block_sse(pairs(s, d), 4), "SELECT image_id, y // 4 AS by, x // 4 AS bx, sum((a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2) AS sse FROM pair GROUP BY image_id, y // 4, x // 4", "pair", "image_id by bx sse")
 
 
@@ -137,7 +128,7 @@ def _report(s, d):
 
 
 _GREY = "SELECT image_id, a, a2, " + ", ".join(f"floor(0.2126::DOUBLE * r{k} + 0.7152::DOUBLE * g{k} + 0.0722::DOUBLE * b{k} + 0.5::DOUBLE) AS {c}{k}" for k in ("", "2") for c in "rgb") + " FROM pair"
-query("o18_1_report", _report, f"SELECT r.*, n_bytes, 8 * n_bytes::DOUBLE / n AS bpp FROM ({_report_sql(_SSE.format(f'({_GREY}) g'), _ln, True, True)}) r JOIN (SELECT image_id, count(*) AS n, 3 * count(*) + 11 AS n_bytes FROM pair GROUP BY image_id, w, h) s USING (image_id)", "pair", "image_id n_bytes", doubles=_DB + " bpp")
+query("o18_1_report", _report, f"SELECT r.*, n_bytes, 8 * n_bytes::DOUBLE / n AS bpp FROM ({_report_sql(_SSE.format(f'({_GREY}) g'), _ln, True, True)}) r JOIN (SELECT image_id, count(*) AS n, 3 * count(*) + 9 + length(w::VARCHAR) + length(h::VARCHAR) AS n_bytes FROM pair GROUP BY image_id, w, h) s USING (image_id)", "pair", "image_id n_bytes", doubles=_DB + " bpp")
 
 # Histograms
 
@@ -208,7 +199,7 @@ def _integral_rows(df):
     return rows.select("image_id", idiv(F.col("i"), F.col("cw") + 1).alias("y"), (F.col("i") % (F.col("cw") + 1)).alias("x"), "p.i1", "p.i2")
 
 
-query("o9_2_integral", lambda s, d: _integral_rows(moments.integral(images(s, d), "g")), "SELECT c.image_id, j.j AS y, k.k AS x, coalesce(sum(i.g), 0) AS i1, coalesce(sum(i.g * i.g), 0) AS i2 FROM (SELECT DISTINCT image_id, w, h FROM img) c CROSS JOIN range(0, 9) j(j) CROSS JOIN range(0, 9) k(k) LEFT JOIN img i ON i.image_id = c.image_id AND i.y < j.j AND i.x < k.k WHERE j.j <= c.h AND k.k <= c.w GROUP BY c.image_id, j.j, k.k", "img", "image_id y x i1 i2")
+query("o9_2_integral", lambda s, d: _integral_rows(moments.integral(images(s, d), "g")), "SELECT c.image_id, j.j AS y, k.k AS x, coalesce(sum(i.g), 0) AS i1, coalesce(sum(i.g * i.g), 0) AS i2 FROM (SELECT DISTINCT image_id, w, h FROM img) c CROSS JOIN range(0, 65) j(j) CROSS JOIN range(0, 65) k(k) LEFT JOIN img i ON i.image_id = c.image_id AND i.y < j.j AND i.x < k.k WHERE j.j <= c.h AND k.k <= c.w GROUP BY c.image_id, j.j, k.k", "img", "image_id y x i1 i2")
 query("o9_3_integral_of_planes", lambda s, d: _integral_rows(moments.integral(moments.mixed_luma(color.planes(images(s, d), "YCoCg"), 0.25), "v", 2)), "", "", "image_id y x i1 i2")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glyphgrid.functions.fixed import div_round
+from glyphgrid.functions.fixed import div_round, let
 from glyphgrid.operators import grid
 
 #: Entries of a distribution's table, and of the symbols that a rescued count can name.
@@ -36,7 +36,7 @@ def _log2(n: Column) -> Column:
 
 def symbol_costs(counts: Column) -> Column:
     """log2(total) - log2(count) of each symbol; 0 where it doesn't occur."""
-    return F.transform(counts, lambda c: F.when(c > 0, _log2(total(counts)) - _log2(c)).otherwise(0.0))
+    return let(_log2(total(counts)), lambda whole: F.transform(counts, lambda c: F.when(c > 0, whole - _log2(c)).otherwise(0.0)))
 
 
 def cost(counts: Column) -> Column:
@@ -65,20 +65,45 @@ def l1_distance(p: Column, q: Column, table: int = TABLE) -> Column:
 
 
 def l2_from_uniform(p: Column, table: int = TABLE) -> Column:
-    """The squared distance of a distribution from the uniform one over its alphabet, in squared table sizes."""
-    mean = F.lit(float(table)) / F.size(p)
-    return F.aggregate(p, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.lit(float(table) * table)
+    """The squared distance of a distribution from the uniform one over its alphabet, in squared table sizes.
+
+    Sums are in single precision, and lose their fraction with each symbol.
+    """
+    mean = F.lit(float(table)).cast("float") / F.size(p).cast("float")
+    mean = mean.cast("float")
+    square = lambda v: ((v.cast("float") - mean).cast("float") * (v.cast("float") - mean).cast("float")).cast("float")
+    return F.aggregate(p, F.lit(0).cast("long"), lambda s, v: F.floor((s.cast("float") + square(v)).cast("float")).cast("long")) / F.lit(float(table) * table)
+
+
+def cumulated(counts: Column, table: int = TABLE) -> Column:
+    """A distribution over a table: the share of each symbol between its rounded-down cumulated counts, so that all add up."""
+    whole = total(counts)
+    upto = F.aggregate(counts, F.array(F.lit(0).cast("long")), lambda s, c: F.concat(s, F.array(F.element_at(s, -1) + c)))
+    bounds = F.transform(upto, lambda c: F.call_function("div", c * table, whole))
+    return F.transform(counts, lambda c, i: F.get(bounds, i + 1) - F.get(bounds, i))
+
+
+def _by_numpy(histograms: DataFrame, column: str, out: dict, body) -> DataFrame:
+    """image_id and what body makes of each row's counts."""
+    from glyphgrid.operators import stencils
+
+    rows = histograms.select("image_id", F.col(column).alias("counts"), F.size(column).alias("w"), F.lit(1).alias("h"))
+    return stencils.on_rasters(rows, ("counts",), out, lambda p: body(p["counts"][0]), ("image_id",))
+
+
+def offsets(histograms: DataFrame, column: str = "counts") -> DataFrame:
+    """image_id, start (the sum before each count) and freq."""
+    return _by_numpy(histograms, column, {"start": "array<long>", "freq": "array<long>"}, lambda c: {"start": np.cumsum(c) - c, "freq": c})
 
 
-def prefix_sums(counts: Column) -> Column:
-    """The sum before each count."""
-    return F.transform(counts, lambda c, i: grid.summed(F.slice(counts, F.lit(1), i)))
+def spread(histograms: DataFrame, column: str = "counts") -> DataFrame:
+    """image_id and, for each slot of a table in which each symbol stands count times, the symbol, its offset and its count."""
 
+    def body(c):
+        sym = np.repeat(np.arange(len(c)), c)
+        return {"sym": sym, "offset": (np.cumsum(c) - c)[sym], "freq": c[sym]}
 
-def spread(counts: Column) -> Column:
-    """(slot, symbol, offset of the symbol, its count) for each slot of a table in which each symbol stands count times."""
-    parts = F.transform(F.zip_with(counts, prefix_sums(counts), lambda c, o: F.struct(c.alias("c"), o.alias("o"))), lambda p, s: F.transform(grid.each(p["c"], lambda k: k), lambda k: F.struct((p["o"] + k).alias("slot"), s.alias("sym"), p["o"].alias("offset"), p["c"].alias("freq"))))
-    return F.flatten(parts)
+    return _by_numpy(histograms, column, dict.fromkeys(("sym", "offset", "freq"), "array<long>"), body)
 
 
 def scaled(counts: Column, most, expand: bool = False) -> Column:

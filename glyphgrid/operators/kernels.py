@@ -144,8 +144,8 @@ def separable(block: Column, w: int, h: int, along) -> Column:
 
 
 def halved(coefficients: Column, w: int, h: int) -> Column:
-    """The lower half of the frequencies in each direction."""
-    return _block(w // 2, h // 2, lambda x, y: F.get(coefficients, y * w + x))
+    """The lower half of the frequencies in each direction, each halved; negative ones are first raised by 1."""
+    return _block(w // 2, h // 2, lambda x, y: let(F.get(coefficients, y * w + x), lambda v: F.shiftright(v + F.when(v < 0, 1).otherwise(0), 1)))
 
 
 def dct_coefficient(block: Column, u: Column, v: Column, size: int = 8) -> Column:

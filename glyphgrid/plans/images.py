@@ -347,7 +347,8 @@ def _pixel_labels(s, d):
 query("o6_11_cluster_of_pixel", _pixel_labels, "SELECT image_id, y, x, (image_id + 3 * (x // 2) + 5 * (y // 2)) % 4 AS v FROM img", "img", "image_id y x v")
 query("o6_12_scattered_blocks", lambda s, d: rect_pairs(s, d).filter("w > 0 and h > 0").select("id", F.col("x2").alias("feature"), F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("cy"), "x", "w").select("id", "feature", "cy", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("cx")), "SELECT id, x2 AS feature, j.j AS cy, i.i AS cx FROM rect_pairs, range(0, 8) j(j), range(0, 8) i(i) WHERE j.j >= y AND j.j < y + h AND i.i >= x AND i.i < x + w", "rect_pairs", "id feature cy cx")
 query("o10_33_colour_map", lambda s, d: grid.exploded(composite.first_places(images(s, d)), "idx"), "WITH f AS (SELECT image_id, a, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY min(y * w + x)) - 1 AS idx FROM img GROUP BY image_id, a, r, g, b) SELECT i.image_id, i.y, i.x, f.idx FROM img i JOIN f USING (image_id, a, r, g, b)", "img", "image_id y x idx")
-query("o12_11_membership", lambda s, d: grid.exploded(images(s, d)).select("image_id", "y", "x", F.array_contains(F.array(*[F.lit(v).cast("long") for v in range(90, 110)]), F.col("r")).alias("held")), "SELECT image_id, y, x, r BETWEEN 90 AND 109 AS held FROM img", "img", "image_id y x", bools="held")
+_partners = lambda s, d: grid.exploded(pairs(s, d), "r2").select("image_id", F.col("r2").alias("r"))
+query("o12_11_membership", lambda s, d: grid.exploded(images(s, d), "r").join(_partners(s, d), ["image_id", "r"], "left_semi"), "SELECT image_id, y, x, r FROM img i WHERE EXISTS (SELECT 1 FROM pair p WHERE p.image_id = i.image_id AND p.r2 = i.r)", "img pair", "image_id y x r")
 _mean_of = lambda c: f"(sum(q.{c}) + count(*) // 2) // count(*)"
 query("o14_14_blurred", lambda s, d: grid.exploded(predict.blurred(images(s, d), 1, 12)), "SELECT p.image_id, p.y, p.x, " + ", ".join(f"CASE WHEN abs({_mean_of(c)} - p.{c}) < 12 THEN {_mean_of(c)} ELSE p.{c} END AS {c}" for c in CH) + " FROM img p JOIN img q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.y, p.x, p.a, p.r, p.g, p.b", "img")
 query("o10_29_hash_cache", lambda s, d: predict.hash_cached(grid.exploded(images(s, d)).withColumns({c: F.floor(F.col(c) / 64) for c in CH}), 4), "WITH t AS (SELECT image_id, y, x, y * w + x AS p, ((a // 64 * 256 + r // 64) * 256 + g // 64) * 256 + b // 64 AS v FROM img), h AS (SELECT *, (v * 506832829) % 4294967296 // 268435456 AS slot FROM t) SELECT h.image_id, h.y, h.x, h.slot, coalesce(arg_max(q.v, q.p), 4294967295) = h.v AS hit FROM h LEFT JOIN h q ON q.image_id = h.image_id AND q.slot = h.slot AND q.p < h.p GROUP BY h.image_id, h.y, h.x, h.slot, h.v", "img", "image_id y x slot", bools="hit")

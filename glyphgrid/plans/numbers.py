@@ -111,11 +111,16 @@ query("o7_20_window_sse", lambda s, d: metrics.block_sse(pairs(s, d), 4), "SELEC
 
 
 def _rate(s, d):
-    bits = grid.exploded(images(s, d), "a").groupBy("image_id", idiv(F.col("y"), 4).alias("by"), idiv(F.col("x"), 4).alias("bx")).agg(F.sum(F.col("a") * 0.25).alias("bits"))
-    return metrics.block_sse(pairs(s, d), 4).join(bits, ["image_id", "by", "bx"]).withColumn("score", F.col("bits") * 3.5 + F.col("sse"))
+    """Bits of a block's symbols under its image's histogram, times lambda, and the squared errors."""
+    size = F.col("w") * F.col("h")
+    rows = grid.exploded(images(s, d), "g").withColumn("sym", F.shiftright("g", 3))
+    counts = rows.groupBy("image_id", "sym").agg(F.count("*").alias("c"))
+    of = images(s, d).select("image_id", size.alias("n"), (F.col("image_id") % 5 + 0.5).alias("lambda"))
+    bits = rows.join(counts, ["image_id", "sym"]).join(of, "image_id").groupBy("image_id", "lambda", idiv(F.col("y"), 4).alias("by"), idiv(F.col("x"), 4).alias("bx")).agg(F.sum(F.log2("n") - F.log2("c")).alias("bits"))
+    return metrics.block_sse(pairs(s, d), 4).join(bits, ["image_id", "by", "bx"]).withColumn("score", F.col("bits") * F.col("lambda") + F.col("sse"))
 
 
-query("o7_21_rate_distortion", _rate, "SELECT image_id, y // 4 AS by, x // 4 AS bx, sum(a * 0.25) * 3.5 + sum((a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2) AS score FROM pair GROUP BY image_id, y // 4, x // 4", "pair", "image_id by bx", doubles="score")
+query("o7_21_rate_distortion", _rate, "WITH c AS (SELECT image_id, g // 8 AS sym, count(*) AS c FROM pair GROUP BY ALL) SELECT p.image_id, y // 4 AS by, x // 4 AS bx, sum(log2(w * h) - log2(c)) * (p.image_id % 5 + 0.5::DOUBLE) + sum((a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2) AS score FROM pair p JOIN c ON c.image_id = p.image_id AND c.sym = g // 8 GROUP BY p.image_id, y // 4, x // 4", "pair", "image_id by bx", doubles="score")
 
 
 def _report(s, d):
@@ -155,12 +160,14 @@ query("o8_7_cross_cost", lambda s, d: _h(s, d, histo.cross_cost(C1, C2), "bits")
 query("o8_9_symbol_cost", lambda s, d: _by_symbol(s, d, histo.symbol_costs(C1), "cost"), "SELECT image_id, sym, CASE WHEN c = 0 THEN 0 ELSE log2(sum(c) OVER (PARTITION BY image_id)) - log2(c) END AS cost FROM hist", "hist", "image_id sym", doubles="cost")
 query("o8_10_entropy", lambda s, d: _h(s, d, histo.cost(C1), "bits"), "SELECT image_id, sum(c) * log2(sum(c)) - coalesce(sum(c * log2(c)) FILTER (WHERE c > 0), 0) AS bits FROM hist GROUP BY image_id", "hist", "image_id", doubles="bits")
 query("o8_11_bounded_cost", lambda s, d: histograms(s, d).select("image_id", histo.bounded_cost(C1, (F.col("image_id") % 64).cast("int"), (F.col("image_id") % 64 + 5).cast("int")).alias("cost")), "SELECT image_id, CASE WHEN max(c) FILTER (WHERE sym = image_id % 64) = 0 THEN 0 ELSE log2(sum(c) FILTER (WHERE sym <= image_id % 64 + 5)) - log2(max(c) FILTER (WHERE sym = image_id % 64)) END AS cost FROM hist GROUP BY image_id", "hist", "image_id", doubles="cost")
-query("o8_12_l1_distance", lambda s, d: _h(s, d, histo.l1_distance(C1, C2), "l1"), "SELECT image_id, sum(abs(c - c2)) / (64 * 16384.0::DOUBLE) * 1.0 AS l1 FROM hist GROUP BY image_id", "hist", "image_id", doubles="l1")
-query("o8_13_l2_from_uniform", lambda s, d: histo.normalised(histograms(s, d), histo.TABLE).select("image_id", (histo.l2_from_uniform(F.col(C1)) * 1000).alias("l2")), "", "hist", "image_id", doubles="l2")
-query("o8_14_offsets", lambda s, d: histograms(s, d).select("image_id", F.posexplode(F.arrays_zip(histo.prefix_sums(C1).alias("o"), F.col(C1).alias("c"))).alias("sym", "p")).select("image_id", "sym", F.col("p.o").alias("start"), F.col("p.c").alias("freq")), "SELECT image_id, sym, coalesce(sum(c) OVER (PARTITION BY image_id ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, c AS freq FROM hist", "hist", "image_id sym start freq")
+_CDF = "(SELECT image_id, sym, c, c2, sum(c) OVER u * 16384 // sum(c) OVER i - (sum(c) OVER u - c) * 16384 // sum(c) OVER i AS p, sum(c2) OVER u * 16384 // sum(c2) OVER i - (sum(c2) OVER u - c2) * 16384 // sum(c2) OVER i AS p2 FROM hist WINDOW i AS (PARTITION BY image_id), u AS (PARTITION BY image_id ORDER BY sym))"
+query("o8_12_l1_distance", lambda s, d: _h(s, d, histo.l1_distance(histo.cumulated(F.col(C1)), histo.cumulated(F.col(C2))), "l1"), f"SELECT image_id, sum(abs(p - p2)) / (64 * 16384.0::DOUBLE) AS l1 FROM {_CDF} GROUP BY image_id", "hist", "image_id", doubles="l1")
+_BY_48 = lambda s, d: histograms(s, d, 48).select("image_id", histo.cumulated(F.col(C1)).alias("p"))
+query("o8_13_l2_from_uniform", lambda s, d: _BY_48(s, d).select("image_id", histo.l2_from_uniform(F.col("p")).alias("l2")), "WITH n AS (SELECT image_id, s.s AS sym, count(*) FILTER (WHERE r % 48 = s.s) AS c FROM pair, range(0, 48) s(s) GROUP BY image_id, s.s), t AS (SELECT image_id, sym, sum(c) OVER u * 16384 // sum(c) OVER i - (sum(c) OVER u - c) * 16384 // sum(c) OVER i AS p FROM n WINDOW i AS (PARTITION BY image_id), u AS (PARTITION BY image_id ORDER BY sym)) SELECT image_id, list_reduce(list(((p::FLOAT - (16384::FLOAT / 48::FLOAT)::FLOAT) * (p::FLOAT - (16384::FLOAT / 48::FLOAT)::FLOAT))::FLOAT ORDER BY sym), lambda x, y: floor((x::FLOAT + y)::FLOAT)::FLOAT, 0::FLOAT) / (16384.0::DOUBLE * 16384) AS l2 FROM t GROUP BY image_id", "pair", "image_id", doubles="l2")
+query("o8_14_offsets", lambda s, d: histo.offsets(histograms(s, d)).select("image_id", F.posexplode(F.arrays_zip("start", "freq")).alias("sym", "p")).select("image_id", "sym", "p.*"), "SELECT image_id, sym, coalesce(sum(c) OVER (PARTITION BY image_id ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, c AS freq FROM hist", "hist", "image_id sym start freq")
 query("o8_15_normalised", lambda s, d: histo.normalised(histograms(s, d), 256).select("image_id", F.posexplode(C1).alias("sym", "n")), "", "hist", "image_id sym n")
 query("o8_15_normalised_totals", lambda s, d: histo.normalised(histograms(s, d), 256).select("image_id", histo.total(C1).alias("total"), F.size(F.filter(C1, lambda n: n > 0)).alias("kept")), "SELECT image_id, 256 AS total, count(*) FILTER (WHERE c > 0) AS kept FROM hist GROUP BY image_id", "hist", "image_id total kept")
-query("o8_16_spread", lambda s, d: histograms(s, d).select("image_id", F.explode(histo.spread(C1)).alias("p")).select("image_id", "p.*"), "SELECT image_id, o + k.k AS slot, sym, o AS offset, c AS freq FROM (SELECT *, coalesce(sum(c) OVER (PARTITION BY image_id ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM hist) h, range(0, 64) k(k) WHERE k.k < c", "hist", "image_id slot sym offset freq")
+query("o8_16_spread", lambda s, d: histo.spread(histograms(s, d)).select("image_id", F.posexplode(F.arrays_zip("sym", "offset", "freq")).alias("slot", "p")).select("image_id", "slot", "p.*"), "SELECT image_id, o + k.k AS slot, sym, o AS offset, c AS freq FROM (SELECT *, coalesce(sum(c) OVER (PARTITION BY image_id ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM hist) h, range(0, 67) k(k) WHERE k.k < c", "hist", "image_id slot sym offset freq")
 query("o8_17_powers_of_two", lambda s, d: _by_symbol(s, d, histo.powers_of_two(C1, 3), "n"), "WITH t AS (SELECT *, max(c) OVER (PARTITION BY image_id) AS m FROM hist) SELECT image_id, sym, CASE WHEN c = 0 THEN 0 ELSE 2 ** floor(log2(greatest(1.0::DOUBLE, c * (1.0::DOUBLE * least(4, m) / m))) + 0.5) END AS n FROM t", "hist", "image_id sym n")
 query("o8_18_scaled", lambda s, d: _by_symbol(s, d, histo.scaled(C1, 3, True), "n"), "WITH t AS (SELECT *, max(c) OVER (PARTITION BY image_id) AS m FROM hist) SELECT image_id, sym, CASE WHEN c = 0 THEN 0 WHEN m = 3 THEN c ELSE greatest(1, floor(c * (3.0::DOUBLE / m) + 0.5)) END AS n FROM t", "hist", "image_id sym n")
 _x = lambda e: f"sum(CASE WHEN {e} > 0 THEN {e} * log2({e}) ELSE 0 END)"
@@ -291,10 +298,8 @@ _block("o13_40_quantise", lambda V: kernels.quantised(V, F.transform(V, lambda v
 _block("o13_41_dequantise", lambda V: kernels.dequantised(F.slice(V, 1, 10), F.transform(F.slice(V, 1, 10), lambda v, i: 3 + i), 16), f"CASE WHEN 4 * y + x < 10 THEN {_own} * (3 + 4 * y + x) ELSE 0 END")
 _block("o13_44_zigzag", lambda V: kernels.zigzag(V), "c[[0, 1, 4, 8, 5, 2, 3, 6, 9, 12, 13, 10, 7, 11, 14, 15][4 * y + x + 1] + 1]")
 query("o13_45_bounding_box", lambda s, d: blocks(s, d).select("image_id", "k", kernels.bounding_box(F.transform(F.col("v"), lambda v: F.when(F.abs(v) > 20, v).otherwise(0)), 4).alias("p")).select("image_id", "k", "p.*"), f"{E} SELECT image_id, k, coalesce(max(x) FILTER (WHERE abs(v) > 20), 0) AS max_x, coalesce(max(y) FILTER (WHERE abs(v) > 20), 0) AS max_y FROM blocks GROUP BY image_id, k", "", "image_id k max_x max_y")
-query("o13_29_forward_dct4", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.separable(F.col("v"), 4, 4, kernels.dct4).alias("p"))), "", "", "image_id k i v")
-query("o13_30_inverse_dct4", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.separable(kernels.separable(F.col("v"), 4, 4, kernels.dct4), 4, 4, kernels.inverse_dct4).alias("p"))), "", "", "image_id k i v")
 query("o13_33_hadamard", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.hadamard(F.slice("v", 1, 8), 8).alias("p"))), "", "", "image_id k i v")
-query("o13_38_halved", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.halved(F.col("v"), 4, 4).alias("p"))), f"{E} SELECT image_id, k, 2 * y + x AS i, v FROM blocks WHERE y < 2 AND x < 2", "", "image_id k i v")
+query("o13_38_halved", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.halved(F.col("v"), 4, 4).alias("p"))), f"{E} SELECT image_id, k, 2 * y + x AS i, floor((v + CASE WHEN v < 0 THEN 1 ELSE 0 END) / 2.0) AS v FROM blocks WHERE y < 2 AND x < 2", "", "image_id k i v")
 
 
 def _whole(s, d):
@@ -407,24 +412,67 @@ query("o3_13_counted_size", _sizes, "SELECT image_id, 54 + h * ((w * CASE WHEN b
 # More of the survey's small operators
 
 _EV = lambda s, d: s.read.parquet(f"{d}/events.parquet")
-query("o6_17_same_position", lambda s, d: histograms(s, d).select("image_id", F.posexplode(F.arrays_zip("counts", "counts2")).alias("sym", "p")).select("image_id", "sym", "p.*"), "SELECT image_id, sym, c AS counts, c2 AS counts2 FROM hist", "hist", "image_id sym counts counts2")
-query("o8_34_label_stats", lambda s, d: _EV(s, d).groupBy("event_type").agg(F.sum(F.length("props")).alias("bits"), F.count("*").alias("occurrences"), F.countDistinct(F.length("props")).alias("n_values")), "SELECT event_type, sum(length(props)) AS bits, count(*) AS occurrences, count(DISTINCT length(props)) AS n_values FROM events GROUP BY event_type", "", "bits occurrences n_values", strings="event_type")
-query("o8_35_cluster_counts", lambda s, d: grid.exploded(images(s, d), "r", "g").groupBy("image_id", (F.col("g") % 3).alias("cluster"), (F.col("r") % 16).alias("sym")).agg(F.count("*").alias("n")), "SELECT image_id, g % 3 AS cluster, r % 16 AS sym, count(*) AS n FROM img GROUP BY ALL", "img", "image_id cluster sym n")
 
 
-def _context_fit(s, d):
-    rows = grid.exploded(images(s, d), "g", "b").filter("x = 0 or y = 0").groupBy("image_id").agg(F.collect_list(F.struct("g", "b")).alias("p"))
-    return rows.select("image_id", moments.line_fit(F.transform("p", lambda v: v["g"]), F.transform("p", lambda v: v["b"])).alias("f")).select("image_id", "f.*")
+
+def _found_in_copy(s, d):
+    """The dictionary at each place of a set, and the one at the same place of its copy; none where the sets are of different sizes."""
+    sets = histograms(s, d).select("image_id", *[F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k, c=c: F.slice(F.col(c), k * 16 + 1, F.lit(16))).alias(n) for c, n in ((C1, "own"), (C2, "copy"))])
+    sets = sets.withColumn("copy", F.when(F.col("image_id") % 5 == 0, F.slice("copy", 1, 3)).otherwise(F.col("copy")))
+    own, copy = (sets.select("image_id", F.size(c).alias("size"), F.posexplode(c).alias("place", c)) for c in ("own", "copy"))
+    both = own.join(copy, ["image_id", "size", "place"], "left")
+    return both.select("image_id", "place", histo.total(F.col("own")).alias("symbols"), histo.total(F.col("copy")).alias("symbols2"))
+
+
+query("o6_17_same_position", _found_in_copy, "SELECT image_id, sym // 16 AS place, sum(c) AS symbols, CASE WHEN image_id % 5 <> 0 THEN sum(c2) END AS symbols2 FROM hist GROUP BY ALL", "hist", "image_id place symbols symbols2")
+
 
 
-query("o9_7_context_fit", _context_fit, _FIT.replace("FROM img GROUP BY", "FROM img WHERE x = 0 OR y = 0 GROUP BY"), "img", "image_id a b")
-query("o10_22_literals", lambda s, d: grid.exploded(images(s, d), "r").join(images(s, d).select("image_id", "w"), "image_id").select("image_id", (F.col("y") * F.col("w") + F.col("x")).alias("place"), "r", F.lit(1).alias("length")), "SELECT image_id, y * w + x AS place, r, 1 AS length FROM img", "img", "image_id place r length")
+def _label_stats(s, d):
+    """Each tile's map from value to count, then the maps of a label merged."""
+    of_tiles = _EV(s, d).groupBy("event_type", (F.col("user_id") % 16).alias("tile"), F.length("props").cast("long").alias("value")).agg(F.count("*").alias("n"))
+    of_tiles = of_tiles.groupBy("event_type", "tile").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("values"))
+    each = of_tiles.select("event_type", F.explode("values").alias("value", "n"))
+    return each.groupBy("event_type", "value").agg(F.sum("n").alias("occurrences"), F.sum(F.col("value") * F.col("n")).alias("bits"))
+
+
+query("o8_34_label_stats", _label_stats, "SELECT event_type, length(props) AS value, count(*) AS occurrences, sum(length(props)) AS bits FROM events GROUP BY ALL", "", "value occurrences bits", strings="event_type")
+query("o8_35_cluster_counts", lambda s, d: grid.exploded(images(s, d), "r", "g").groupBy("image_id", (F.col("g") % 3).alias("cluster"), (F.col("r") % 16).alias("sym")).agg(F.count("*").alias("n")), "SELECT image_id, g % 3 AS cluster, r % 16 AS sym, count(*) AS n FROM img GROUP BY ALL", "img", "image_id cluster sym n")
+
+
+def _context_fit(s, d):
+    """For each 4x4 block that has one: the fit over its context, the pixels left of it and those above, corners included."""
+    rows = grid.exploded(images(s, d), "g", "b")
+    left = F.when(F.col("x") % 4 == 3, F.struct(idiv(F.col("y"), 4).alias("by"), (idiv(F.col("x"), 4) + 1).alias("bx")))
+    above = [F.when(F.col("y") % 4 == 3, F.struct((idiv(F.col("y"), 4) + 1).alias("by"), (idiv(F.col("x"), 4) + k).alias("bx"))) for k in (0,)]
+    corners = [F.when((F.col("y") % 4 == 3) & (F.col("x") % 4 == at), F.struct((idiv(F.col("y"), 4) + 1).alias("by"), (idiv(F.col("x"), 4) + k).alias("bx"))) for at, k in ((3, 1), (0, -1))]
+    seen = rows.select("image_id", "g", "b", F.explode(F.array_compact(F.array(left, *above, *corners))).alias("k")).select("image_id", "k.*", "g", "b")
+    blocks = rows.select("image_id", idiv(F.col("y"), 4).alias("by"), idiv(F.col("x"), 4).alias("bx")).distinct()
+    found = seen.join(blocks, ["image_id", "by", "bx"], "left_semi").groupBy("image_id", "by", "bx").agg(F.collect_list(F.struct("g", "b")).alias("p"))
+    return found.select("image_id", "by", "bx", moments.line_fit(F.transform("p", lambda v: v["g"]), F.transform("p", lambda v: v["b"])).alias("f")).select("image_id", "by", "bx", "f.*")
+
+
+_CONTEXT = "(SELECT o.image_id, o.by, o.bx, p.g, p.b FROM (SELECT DISTINCT image_id, y // 4 AS by, x // 4 AS bx FROM img) o JOIN img p ON p.image_id = o.image_id AND (p.x = 4 * o.bx - 1 AND p.y BETWEEN 4 * o.by - 1 AND 4 * o.by + 3 OR p.y = 4 * o.by - 1 AND p.x BETWEEN 4 * o.bx AND 4 * o.bx + 4)) c"
+query("o9_7_context_fit", _context_fit, _FIT.replace("SELECT image_id, count(*)", "SELECT image_id, \"by\", bx, count(*)").replace("FROM img GROUP BY image_id)", f"FROM {_CONTEXT} GROUP BY image_id, \"by\", bx)").replace("SELECT image_id, CASE", "SELECT image_id, \"by\", bx, CASE"), "img", "image_id by bx a b")
+_parse = lambda s, d: predict.hash_cached(grid.exploded(images(s, d)).withColumns({c: F.floor(F.col(c) / 64) for c in CH}), 4)
+query("o10_22_literals_and_hits", lambda s, d: _parse(s, d).select("image_id", "y", "x", F.when(F.col("hit"), "cache").otherwise("literal").alias("kind"), F.when(F.col("hit"), F.col("slot")).otherwise(((F.col("a") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b")).alias("value")), "WITH t AS (SELECT image_id, y, x, y * w + x AS p, ((a // 64 * 256 + r // 64) * 256 + g // 64) * 256 + b // 64 AS v FROM img), h AS (SELECT *, (v * 506832829) % 4294967296 // 268435456 AS slot FROM t), k AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY image_id, slot ORDER BY p), 4294967295) = v AS hit FROM h) SELECT image_id, y, x, CASE WHEN hit THEN 'cache' ELSE 'literal' END AS kind, CASE WHEN hit THEN slot ELSE v END AS value FROM k", "img", "image_id y x value", strings="kind")
 _place = lambda s, d, *order: rect_pairs(s, d).select("id", (F.col("id") % 20).alias("k"), F.row_number().over(Window.partitionBy(F.col("id") % 20).orderBy(*order)).alias("place"))
 query("o11_3_blocks_in_order", lambda s, d: _place(s, d, "y", "x", "id"), "SELECT id, id % 20 AS k, row_number() OVER (PARTITION BY id % 20 ORDER BY y * 1000 + x, id) AS place FROM rect_pairs", "rect_pairs", "id k place")
 query("o11_5_area_major", lambda s, d: _place(s, d, idiv(F.col("y"), 2), idiv(F.col("x"), 2), "y", "x", "id"), "SELECT id, id % 20 AS k, row_number() OVER (PARTITION BY id % 20 ORDER BY y // 2 * 100 + x // 2, y * 1000 + x, id) AS place FROM rect_pairs", "rect_pairs", "id k place")
 query("o11_6_best_of_group", lambda s, d: rect_pairs(s, d).groupBy((F.col("id") % 20).alias("k")).agg(F.min_by("id", F.struct(-F.col("w") * F.col("h"), "id")).alias("id"), F.max(F.col("w") * F.col("h")).alias("area")), "SELECT k, id, area FROM (SELECT id % 20 AS k, id, w * h AS area, row_number() OVER (PARTITION BY id % 20 ORDER BY w * h DESC, id) AS n FROM rect_pairs) t WHERE n = 1", "rect_pairs", "k id area")
 query("o11_18_score", lambda s, d: rect_pairs(s, d).select("id", fixed.partition_score(F.col("id") % 100, F.col("w"), F.col("h"), F.col("w2"), F.col("h2")).alias("score")), "WITH t AS (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, (id % 100) / 95.0::DOUBLE)) AS q FROM rect_pairs) SELECT id, CASE WHEN w2 > w OR h2 > h THEN 0 ELSE 1 / (1 + q * CASE WHEN w > 0 THEN w2 / w ELSE 1 END + (1 - q) * CASE WHEN h > 0 THEN h2 / h ELSE 1 END) END AS score FROM t", "rect_pairs", "id", doubles="score")
-query("o12_1_appended_counts", lambda s, d: histograms(s, d).select("image_id", F.posexplode(F.zip_with(C1, C2, lambda p, q: p + q)).alias("sym", "n")), "SELECT image_id, sym, c + c2 AS n FROM hist", "hist", "image_id sym n")
+
+
+
+def _appended(s, d):
+    """Both images' dictionaries, one for each channel, in one set: the second's behind the first's."""
+    both = pairs(s, d)
+    own, other = (F.array(*[histo.counts_of(F.transform(f"{c}{k}", lambda v: v % 16), 16) for c in CH]) for k in ("", "2"))
+    rows = both.select("image_id", F.posexplode(F.concat(own, other)).alias("place", "counts"))
+    return rows.select("image_id", "place", F.posexplode("counts").alias("sym", "n"))
+
+
+query("o12_1_appended_dictionaries", _appended, "WITH v AS (SELECT image_id, unnest([a, r, g, b, a2, r2, g2, b2]) % 16 AS s, unnest(range(0, 8)) AS place FROM pair), c AS (SELECT image_id, place, s, count(*) AS n FROM v GROUP BY ALL) SELECT i.image_id, p.p AS place, s.s AS sym, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT image_id FROM pair) i CROSS JOIN range(0, 8) p(p) CROSS JOIN range(0, 16) s(s) LEFT JOIN c ON c.image_id = i.image_id AND c.place = p.p AND c.s = s.s", "pair", "image_id place sym n")
 query("o12_2_appended_streams", lambda s, d: pairs(s, d).select("image_id", F.posexplode(F.concat("r", "r2")).alias("i", "v")), "SELECT image_id, y * w + x AS i, r AS v FROM pair UNION ALL SELECT image_id, w * h + y * w + x AS i, r2 AS v FROM pair", "pair", "image_id i v")
 query("o12_3_erased_range", lambda s, d: images(s, d).select("image_id", F.posexplode(F.concat(F.slice("r", F.lit(1), F.lit(3)), F.slice("r", F.lit(7), F.greatest(F.size("r") - 6, F.lit(0))))).alias("i", "v")), "SELECT image_id, CASE WHEN y * w + x < 3 THEN y * w + x ELSE y * w + x - 3 END AS i, r AS v FROM img WHERE y * w + x < 3 OR y * w + x >= 6", "img", "image_id i v")
 query("o13_26_predicted_chroma", lambda s, d: images(s, d).select("image_id", F.posexplode(moments.predicted_chroma(F.col("g"), F.col("image_id") % 700 - 300, F.col("image_id") % 90, -200, 200)).alias("i", "v")), "SELECT image_id, y * w + x AS i, greatest(-200, least(200, floor((g * (image_id % 700 - 300) + (image_id % 90) * 64 + 128) / 256.0))) AS v FROM img", "img", "image_id i v")
@@ -438,6 +486,17 @@ _I4 = tuple(f"floor(({e}) / 2.0)" for e in (f"c[1] + c[3] + {_IH}", f"c[1] - c[3
 _1d = lambda parts: f"{E}, {_four} " + " UNION ALL ".join(f"SELECT image_id, k, {i} AS i, {e} AS v FROM l" for i, e in enumerate(parts))
 query("o13_29_forward_dct4", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.dct4(F.col("v")).alias("p"))), _1d(_F4), "", "image_id k i v")
 query("o13_30_inverse_dct4", lambda s, d: _spread(blocks(s, d).select("image_id", "k", kernels.inverse_dct4(F.col("v")).alias("p"))), _1d(_I4), "", "image_id k i v")
-_SKIPS = "SELECT user_id AS anim_id, least(65535, sum(CASE WHEN event_type = 'click' THEN 2 ELSE 0 END)) AS skip FROM events GROUP BY user_id"
-query("o15_10_skips", lambda s, d: _EV(s, d).groupBy(F.col("user_id").alias("anim_id")).agg(F.least(F.lit(65535), F.sum(F.when(F.col("event_type") == "click", 2).otherwise(0))).alias("skip")), _SKIPS, "", "anim_id skip")
+
+
+
+def _skips(s, d, most: int = 40):
+    """Final frames that are given out: those that no call before them has skipped. Clicks are the calls; the sum is held at most."""
+    calls = F.when(F.col("event_type") == "click", F.least(F.col("event_id") % 4, F.lit(most))).otherwise(0)
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _EV(s, d).select(F.col("user_id").alias("anim_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("frame_idx"), F.least(F.lit(most), F.coalesce(F.sum(calls).over(before), F.lit(0))).alias("skipped"))
+    found = fr.final_index(frames(s, d)).filter("duration_ms > 0").join(rows, ["anim_id", "frame_idx"])
+    return found.select("anim_id", "frame_idx", "final_idx", "skipped", (F.col("final_idx") >= F.col("skipped")).alias("given"))
+
+
+query("o15_10_skips", _skips, f"WITH {_FINAL}, e AS (SELECT user_id AS anim_id, row_number() OVER u - 1 AS frame_idx, least(40, coalesce(sum(CASE WHEN event_type = 'click' THEN event_id % 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS skipped FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT f.anim_id, f.frame_idx, final_idx, skipped, final_idx >= skipped AS given FROM f JOIN e USING (anim_id, frame_idx) WHERE duration_ms > 0", "frames", "anim_id frame_idx final_idx skipped", bools="given")
 query("o2_17_whole_files", lambda s, d: s.read.format("binaryFile").load(f"{d}/nation.parquet").select(F.octet_length("content").alias("size"), F.lit(1).alias("n")), "", "", "size n")

@@ -34,7 +34,7 @@ from glyphgrid.llm.bpe import PIECES, byte_alphabet
 from glyphgrid.llm.common import chunks, drop, written
 
 #: Bytes of text that are aligned at once; a longer text is alone.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Words of more characters, and those outside ASCII, are encoded by the library itself.
 LONG = 500
 #: Groups of more links than this are counted by their distinct ids.

@@ -417,14 +417,15 @@ _EV = lambda s, d: s.read.parquet(f"{d}/events.parquet")
 
 def _found_in_copy(s, d):
     """The dictionary at each place of a set, and the one at the same place of its copy; none where the sets are of different sizes."""
-    sets = histograms(s, d).select("image_id", *[F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k, c=c: F.slice(F.col(c), k * 16 + 1, F.lit(16))).alias(n) for c, n in ((C1, "own"), (C2, "copy"))])
+    parts = lambda c: F.array(*[F.slice(F.col(c), k * 16 + 1, 16) for k in range(4)])
+    sets = histograms(s, d).select("image_id", parts(C1).alias("own"), parts(C2).alias("copy"))
     sets = sets.withColumn("copy", F.when(F.col("image_id") % 5 == 0, F.slice("copy", 1, 3)).otherwise(F.col("copy")))
     own, copy = (sets.select("image_id", F.size(c).alias("size"), F.posexplode(c).alias("place", c)) for c in ("own", "copy"))
     both = own.join(copy, ["image_id", "size", "place"], "left")
     return both.select("image_id", "place", histo.total(F.col("own")).alias("symbols"), histo.total(F.col("copy")).alias("symbols2"))
 
 
-query("o6_17_same_position", _found_in_copy, "SELECT image_id, sym // 16 AS place, sum(c) AS symbols, CASE WHEN image_id % 5 <> 0 THEN sum(c2) END AS symbols2 FROM hist GROUP BY ALL", "hist", "image_id place symbols symbols2")
+query("o6_17_same_position", _found_in_copy, "SELECT image_id, sym // 16 AS place, sum(c) AS symbols, sum(CASE WHEN image_id % 5 <> 0 THEN c2 END) AS symbols2 FROM hist GROUP BY ALL", "hist", "image_id place symbols symbols2")
 
 
 

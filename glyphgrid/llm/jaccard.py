@@ -59,7 +59,7 @@ def needed(n, m, percent: int):
 
 
 def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, node) of each row, and beside them rows (bucket, load): how many shingles fall into each bucket."""
+    """(id, th, n, node) of each row, th being its text's hash, and beside them rows (bucket, load): how many shingles fall into each bucket."""
 
     def run(batches):
         loads = np.zeros(BUCKETS, np.int64)
@@ -67,21 +67,21 @@ def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         for batch in batches:
             kind = batch.column(0).type
             sizes, nodes = [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 s = shingle_set(value.as_py() or b"", words)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 loads += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none, none], names=names)
         if kind is not None:
             used = np.flatnonzero(loads)
             none = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(used), pa.array(loads[used])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(used), pa.array(loads[used])], names=names)
 
-    names = ["id", "n", "node", "bucket", "load"]
+    names = ["id", "th", "n", "node", "bucket", "load"]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").cast("binary")).mapInArrow(run, f"id {kind}, n long, node binary, bucket long, load long")
+    return docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").cast("binary")).mapInArrow(run, f"id {kind}, th long, n long, node binary, bucket long, load long")
 
 
 def bucket_ranks(rows: DataFrame) -> np.ndarray:
@@ -265,20 +265,24 @@ def _with_components(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(nid, shingles) of the wanted nodes (id, nid, node), from the text of one member."""
+    """(nid, shingles) of the wanted nodes (id, th, nid, node), from the text of one member.
+
+    Key and hash of the text name the member, so that rows of one key, and of none, don't meet all nodes of that key.
+    """
 
     def run(batches):
         for batch in batches:
             nids, sets = [], []
             for nid, node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingle_set(value.as_py() or b"", words)
-                if len(s) and node_of(s) == node:  # another row may have the key of the member
+                if len(s) and node_of(s) == node:  # another text may have the hash
                     nids.append(nid)
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "shingles"])
 
-    texts = maybe_in(docs.select(F.col(key).alias("id"), F.col(text).cast("string").cast("binary").alias("text")), [F.col("id")], wanted, [F.col("id")])
-    both = wanted.alias("w").hint("merge").join(texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id"))).select("nid", "node", "text")
+    both = [F.col("id"), F.col("th")]
+    texts = maybe_in(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").cast("binary").alias("text")), both, wanted, both)
+    both = wanted.alias("w").hint("merge").join(texts.alias("t"), (F.col("w.th") == F.col("t.th")) & F.col("w.id").eqNullSafe(F.col("t.id"))).select("nid", "node", "text")
     return both.mapInArrow(run, "nid long, shingles array<long>")
 
 
@@ -286,7 +290,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     """key, n_shingles and component_id of each row."""
     spark = docs.sparkSession
     rows, rows_path = written(counted(docs, key, text, words), "rows")
-    rows = rows.filter("bucket is null").select("id", "n", "node")
+    rows = rows.filter("bucket is null").select("id", "th", "n", "node")
     ranks = bucket_ranks(spark.read.parquet(rows_path))
     nodes, nodes_path = written(distinct_sets(docs, text, words, percent, ranks), "nodes")
     blocks, blocks_path = shared_blocks(nodes)
@@ -315,8 +319,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             if sets is None:
                 # Whoever the bound lets link with anyone stands in these rows, so no later turn needs another set.
                 ends = every.select(F.col("a").alias("nid")).unionByName(every.select(F.col("b").alias("nid"))).distinct()
-                ids = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-                wanted, wanted_path = written(nodes.select("nid", "node").join(ends.hint("merge"), "nid", "left_semi").join(ids.hint("merge"), "node").select("id", "nid", "node"), "wanted")
+                ids = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("m"))
+                wanted, wanted_path = written(nodes.select("nid", "node").join(ends.hint("merge"), "nid", "left_semi").join(ids.hint("merge"), "node").select("m.id", "m.th", "nid", "node"), "wanted")
                 sets, sets_path = written(wanted_sets(docs, key, text, words, wanted).dropDuplicates(["nid"]), "sets")
                 paths.insert(0, sets_path)
                 drop(spark, wanted_path)

@@ -43,3 +43,24 @@ def test_equals_brute_force(spark, monkeypatch):
     assert jaccard.link(docs.limit(0)).count() == 0
     twice = docs.filter("doc_id < 3")
     assert jaccard.link(twice.unionByName(twice)).count() == 6
+
+
+def test_rows_of_one_key_link_by_their_texts(spark):
+    """All rows have one key, or none: sets are found by the text, and everything that links is one component."""
+    import time
+
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)) for _ in range(700)]
+    texts = base + [t + " more" for t in base]
+    took = {}
+    for name, key in (("own", lambda i: i), ("one", lambda i: 7), ("none", lambda i: None)):
+        docs = spark.createDataFrame([(key(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+        began = time.time()
+        rows = jaccard.link(docs).collect()
+        took[name] = time.time() - began
+        assert len(rows) == len(texts) and {r.n_shingles for r in rows} <= {57, 58}
+        if name == "own":
+            assert all(r.component_id == r.doc_id % 700 for r in rows)
+        else:
+            assert {r.component_id for r in rows} == {key(0)}
+    assert max(took["one"], took["none"]) < 3 * took["own"] + 5

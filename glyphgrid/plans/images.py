@@ -352,3 +352,25 @@ query("o12_11_membership", lambda s, d: grid.exploded(images(s, d), "r").join(_p
 _mean_of = lambda c: f"(sum(q.{c}) + count(*) // 2) // count(*)"
 query("o14_14_blurred", lambda s, d: grid.exploded(predict.blurred(images(s, d), 1, 12)), "SELECT p.image_id, p.y, p.x, " + ", ".join(f"CASE WHEN abs({_mean_of(c)} - p.{c}) < 12 THEN {_mean_of(c)} ELSE p.{c} END AS {c}" for c in CH) + " FROM img p JOIN img q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.y, p.x, p.a, p.r, p.g, p.b", "img")
 query("o10_29_hash_cache", lambda s, d: predict.hash_cached(grid.exploded(images(s, d)).withColumns({c: F.floor(F.col(c) / 64) for c in CH}), 4), "WITH t AS (SELECT image_id, y, x, y * w + x AS p, ((a // 64 * 256 + r // 64) * 256 + g // 64) * 256 + b // 64 AS v FROM img), h AS (SELECT *, (v * 506832829) % 4294967296 // 268435456 AS slot FROM t) SELECT h.image_id, h.y, h.x, h.slot, coalesce(arg_max(q.v, q.p), 4294967295) = h.v AS hit FROM h LEFT JOIN h q ON q.image_id = h.image_id AND q.slot = h.slot AND q.p < h.p GROUP BY h.image_id, h.y, h.x, h.slot, h.v", "img", "image_id y x slot", bools="hit")
+
+# The best predictor of each tile
+
+TILE = 8
+
+
+def _tile_rows(rows, *names):
+    cells = rows.select("image_id", "across", F.posexplode(F.arrays_zip(*names)).alias("i", "p"))
+    return cells.select("image_id", idiv(F.col("i"), F.col("across")).alias("ty"), (F.col("i") % F.col("across")).alias("tx"), "p.*")
+
+
+def _best_sql() -> str:
+    every = " UNION ALL ".join(f"SELECT image_id, y // {TILE} AS ty, x // {TILE} AS tx, {m} AS mode, {_residual_sql(m).split(' SELECT image_id, y, x, ')[-1].rsplit(' FROM near', 1)[0]} FROM near" for m in range(14))
+    small = f"CASE WHEN sym = 0 THEN 1.0::DOUBLE WHEN sym < 16 THEN {predict.SMALL}::DOUBLE * {predict.DECAY}::DOUBLE ** (sym - 1) WHEN sym > 240 THEN {predict.SMALL}::DOUBLE * {predict.DECAY}::DOUBLE ** (255 - sym) ELSE 0 END"
+    counts = "SELECT image_id, ty, tx, mode, k, sym, count(*) AS c FROM (SELECT image_id, ty, tx, mode, unnest([a, r, g, b]) AS sym, unnest([0, 1, 2, 3]) AS k FROM every) GROUP BY ALL"
+    costs = f"SELECT image_id, ty, tx, mode, k, 2 * (sum(c) * log2(sum(c)) - sum(c * log2(c))) - {predict.SHARE}::DOUBLE * sum(c * {small}) AS bits FROM counts GROUP BY ALL"
+    return f"WITH near AS ({_NEAR}), every AS ({every}), counts AS ({counts}), costs AS (SELECT image_id, ty, tx, mode, round(sum(bits), 6) AS bits FROM ({costs}) GROUP BY ALL) SELECT image_id, ty, tx, mode AS modes, bits FROM costs QUALIFY row_number() OVER (PARTITION BY image_id, ty, tx ORDER BY bits, mode) = 1"
+
+
+query("o10_16_best_mode_alone", lambda s, d: _tile_rows(predict.best_modes_alone(images(s, d), TILE), "modes", "bits"), _best_sql(), "img", "image_id ty tx modes", doubles="bits")
+query("o10_16_best_mode", lambda s, d: _tile_rows(predict.best_modes(images(s, d), TILE), "modes"), "", "", "image_id ty tx modes")
+query("o10_17_predicted_image", lambda s, d: grid.exploded(predict.predicted_image(images(s, d), TILE)), "", "", PX)

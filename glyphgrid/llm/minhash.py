@@ -22,6 +22,8 @@ from glyphgrid.llm.common import maybe_in, written
 WORDS, BINS, BITS = 5, 128, 8
 #: Rows of a run on average, put in order in one task; runs of a stretch.
 RUN, STRETCH = 1024, 4096
+#: Rows of a run that is cut again, how many are at once, and how often.
+MOST, SPLITS, ROUNDS = 8 * RUN, 10_000, 8
 
 
 def let(value: Column, body) -> Column:
@@ -75,28 +77,56 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (same / F.lit(float(bins)) - chance) / (1 - chance)))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """rows (id, order, body), with the next row's body as ``follow``; by ascending id and order, the first after the last.
+def in_runs(rows: DataFrame) -> DataFrame:
+    """rows (id, order, ...) with ``run``, an array that names a stretch of neighbours by id and order: some RUN rows, few of them far more.
 
-    The ids' range is cut into runs of so many rows on average, put in order in parallel. Only the last row of a run
-    needs another run's first row; which run that is, is found among the runs of one stretch, and among
-    the first runs of all stretches.
+    The ids' range is cut evenly. Where ids lie unevenly, the runs of more than MOST rows, the largest SPLITS of them, are cut again, each
+    over its own range, until none is left; a run of one id (or of null) is cut by the order, a hash. What is looked at are
+    counts of ids, and what is sent to the tasks are SPLITS rows of a few numbers at most.
     """
+    spark = rows.sparkSession
     bounds = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
     low, high = (0, 0) if bounds.low is None else (bounds.low, bounds.high)
     width = max(1.0, (high - low + 1) * RUN / max(bounds.n, 1))
-    rows = rows.withColumn("run", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(-1)))
-    firsts = rows.groupBy("run").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "order")).alias("f")).select("run", "f.id", "f.order")
-    firsts, _ = written(firsts, "firsts")
+    rows = rows.withColumn("run", F.array(F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(-1))))
+    by_order: set = set()
+    for _ in range(ROUNDS):
+        large = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("n") > MOST).orderBy(F.desc("n"), "run").limit(SPLITS).collect()
+        cuts = []
+        for r in large:
+            if tuple(r.run[:-1]) in by_order:
+                continue
+            hashed = r.low is None or r.low == r.high
+            cuts.append((r.run, hashed, -(2.0**63) if hashed else float(r.low), max(1.0, (2.0**64 if hashed else float(r.high - r.low + 1)) * RUN / r.n)))
+            if hashed:
+                by_order.add(tuple(r.run))
+        if not cuts:
+            break
+        table = spark.createDataFrame(cuts, "run array<bigint>, hashed boolean, _low double, _width double")
+        part = F.floor((F.when(F.col("hashed"), F.col("order")).otherwise(F.col("id")).cast("double") - F.col("_low")) / F.col("_width"))
+        rows = rows.join(F.broadcast(table), "run", "left").withColumn("run", F.when(F.col("hashed").isNull(), F.col("run")).otherwise(F.concat("run", F.array(part)))).drop("hashed", "_low", "_width")
+    return rows
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """rows (id, order, body), with the next row's body as ``follow``; by ascending id and order, the first after the last.
+
+    Runs are put in order in parallel. Only the last row of a run needs another run's first row; which run that is, is found
+    among the runs of one stretch, and among the first runs of all stretches.
+    """
+    rows = in_runs(rows)
+    firsts = rows.groupBy("run").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "order")).alias("f")).select("run", "f.*")
+    # Numbers that go up with the runs: parts of the range, and places in them.
+    firsts, _ = written(firsts.repartitionByRange("known", "id", "order").sortWithinPartitions("known", "id", "order").select("run", "id", "order", F.monotonically_increasing_id().alias("no")), "firsts")
     both = [F.col("id"), F.col("order")]
-    heads = maybe_in(rows.select("id", "order", "body"), both, firsts, both).alias("r").join(firsts.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.order") == F.col("f.order"))).groupBy("run").agg(F.first("body").alias("head"))
+    heads = maybe_in(rows.select("id", "order", "body"), both, firsts, both).alias("r").join(firsts.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.order") == F.col("f.order"))).groupBy("no", "run").agg(F.first("body").alias("head"))
     heads, _ = written(heads, "heads")
-    runs = heads.select("run", F.floor(F.col("run") / STRETCH).alias("stretch"))
-    ends = runs.groupBy("stretch").agg(F.min("run").alias("run"))
+    runs = heads.select("run", "no", F.floor(F.col("no") / STRETCH).alias("stretch"))
+    ends = runs.groupBy("stretch").agg(F.min("no").alias("no"))
     # A row for each STRETCH runs of some RUN rows: all that meets in one task.
-    ends = ends.select("stretch", F.lead("run").over(Window.orderBy("stretch")).alias("after"), F.first("run").over(Window.orderBy("stretch")).alias("least"))
-    runs = runs.withColumn("to", F.lead("run").over(Window.partitionBy("stretch").orderBy("run"))).join(ends, "stretch")
-    heads = runs.select("run", F.coalesce("to", "after", "least").alias("to")).join(heads.withColumnRenamed("run", "to"), "to").select("run", "head")
+    ends = ends.select("stretch", F.lead("no").over(Window.orderBy("stretch")).alias("after"), F.first("no").over(Window.orderBy("stretch")).alias("least"))
+    runs = runs.withColumn("to", F.lead("no").over(Window.partitionBy("stretch").orderBy("no"))).join(ends, "stretch")
+    heads = runs.select("run", F.coalesce("to", "after", "least").alias("to")).join(heads.select(F.col("no").alias("to"), "head"), "to").select("run", "head")
     side = rows.withColumn("follow", F.lead("body").over(Window.partitionBy("run").orderBy("id", "order")))
     return side.join(heads, "run").select("id", "order", "body", F.when(F.col("follow").isNull(), F.col("head")).otherwise(F.col("follow")).alias("follow"))
 

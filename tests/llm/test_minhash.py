@@ -70,3 +70,19 @@ def test_ties_and_sparse_keys(spark):
     for part in (docs, docs.repartition(4)):
         got = {(r.doc_id, r.edited_sha256, r.fingerprint, r.near_next == 1) for r in minhash.edited_pairs(part).collect()}
         assert got == expected
+
+
+def test_far_and_equal_keys_dont_fill_a_run(spark):
+    """One far outlier, a key that many rows share, and null keys: no run is large, and neighbours stay neighbours."""
+    from pyspark.sql import functions as F
+
+    ids = F.when(F.col("id") < 9000, F.col("id")).when(F.col("id") < 18000, 77).when(F.col("id") < 18500, F.lit(None)).when(F.col("id") == 19999, 2**62).otherwise(F.col("id") * 1_000_003)
+    rows = spark.range(20000).select(ids.cast("long").alias("id"), F.xxhash64("id").alias("order"), F.col("id").cast("string").alias("body"))
+    runs = minhash.in_runs(rows).groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "order")).alias("low"), F.max(F.struct("id", "order")).alias("high")).collect()
+    assert max(r.n for r in runs) <= minhash.MOST and sum(r.n for r in runs) == 20000
+    key = lambda s: (s.id is not None, s.id or 0, s.order)
+    runs.sort(key=lambda r: key(r.low))
+    assert all(key(p.high) < key(q.low) for p, q in zip(runs, runs[1:]))
+    got = {r.body: r.follow for r in minhash.with_next(rows).collect()}
+    order = [r.body for r in sorted(rows.collect(), key=lambda r: (r.id is not None, r.id or 0, r.order))]
+    assert got == dict(zip(order, order[1:] + order[:1]))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphgrid.functions.fixed import idiv
-from glyphgrid.operators import deblock, grid, metrics, predict, stencils
+from glyphgrid.operators import deblock, directional, grid, metrics, predict, stencils
 from glyphgrid.plans.fixtures import images, pairs
 from glyphgrid.plans.images import QUERIES as IMAGES
 from glyphgrid.plans.query import Query
@@ -97,3 +97,66 @@ def _tiled(f):
 query("o10_35_near_lossless_tiles", _tiled(lambda t: predict.near_lossless_tiles(t, 97, TILE)), IMAGES["o10_35_near_lossless"].body, "img", PX)
 query("o14_14_blurred_tiles", _tiled(lambda t: predict.blurred_tiles(t, 1, 12, TILE)), IMAGES["o14_14_blurred"].body, "img", PX)
 query("o7_12_lsim_tiles", _tiled_psnr("lsim"), "SELECT image_id, count(*) AS n, " + ", ".join(f"sum(m_{c}) AS t_{c}" for c in grid.CHANNELS) + " FROM (SELECT p.image_id, p.y, p.x, " + ", ".join(f"min((q.{c} - p.{c}2) ** 2)::BIGINT AS m_{c}" for c in grid.CHANNELS) + " FROM pair p JOIN pair q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY p.image_id, p.y, p.x) GROUP BY image_id", "pair", "image_id n t_a t_r t_g t_b")
+
+# Directions of blocks, and smoothing along them
+
+SIZE = 4
+
+
+def directed(s, d):
+    """Red values, with strengths by block: along 0, 1, 2 or 4, beside 0, 1 or 2."""
+    at = lambda x, y: F.col("image_id") + idiv(y, SIZE) + 3 * idiv(x, SIZE)
+    pick = lambda of, n: F.get(F.array(*[F.lit(v).cast("long") for v in of]), (n % len(of)).cast("int"))
+    of = {"v": lambda x, y: grid.value("r", x, y).cast("long"), "along": lambda x, y: pick((0, 1, 2, 4), at(x, y)), "beside": lambda x, y: pick((0, 1, 2), at(x, y))}
+    return grid.held(images(s, d), **{c: grid.pixels(F.col("w"), F.col("h"), f) for c, f in of.items()}).select("image_id", "w", "h", *of)
+
+
+def _directions(size: int):
+    def build(s, d):
+        rows = directional.block_directions(directed(s, d), size).filter("across > 0")
+        cells = rows.select("image_id", "across", F.posexplode(F.arrays_zip("direction", "certainty")).alias("i", "p"))
+        return cells.select("image_id", idiv(F.col("i"), F.col("across")).alias("by"), (F.col("i") % F.col("across")).alias("bx"), "p.*")
+
+    return build
+
+
+def _lines_of(size: int) -> str:
+    y, x = f"y % {size}", f"x % {size}"
+    return f"[{y} + {x}, {y} + {x} // 2, {y}, {y} - {x} // 2 + {size}, {y} - {x} + {size}, {x} - {y} // 2 + {size}, {x}, {x} + {y} // 2]".replace(f"{x} // 2", f"({x}) // 2").replace(f"{y} // 2", f"({y}) // 2")
+
+
+def _direction_sql(size: int) -> str:
+    px = f"SELECT image_id, y // {size} AS by, x // {size} AS bx, r, unnest(range(0, 8)) AS d, unnest({_lines_of(size)}) AS line FROM img WHERE y // {size} * {size} + {size} <= h AND x // {size} * {size} + {size} <= w"
+    if size == 8:
+        scores = f"SELECT image_id, by, bx, d, sum(s * s * (840 // n)) AS score FROM (SELECT image_id, by, bx, d, line, sum(r) AS s, count(*) AS n FROM ({px}) GROUP BY ALL) GROUP BY ALL"
+        order, gap = "score DESC, d", "a.score - o.score"
+    else:
+        scores = f"SELECT image_id, by, bx, d, sum((4 * r - m) ** 2)::BIGINT AS score FROM (SELECT *, (sum(4 * r) OVER l + count(*) OVER l // 2) // count(*) OVER l AS m FROM ({px}) WINDOW l AS (PARTITION BY image_id, by, bx, d, line)) GROUP BY ALL"
+        order, gap = "score, d", "o.score - a.score"
+    scores, order = scores.replace("by,", '"by",').replace("AS by", 'AS "by"'), order
+    return f"sc AS ({scores}), best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY image_id, \"by\", bx ORDER BY {order}) = 1), directed AS (SELECT a.image_id, a.\"by\", a.bx, a.d AS direction, floor(({gap}) / 1024.0)::BIGINT AS certainty FROM best a JOIN sc o ON o.image_id = a.image_id AND o.\"by\" = a.\"by\" AND o.bx = a.bx AND o.d = (a.d + 4) % 8)".replace("px AS (", "px AS (")
+
+
+query("o14_5_directions_of_4", _directions(4), f"WITH {_direction_sql(4)} SELECT * FROM directed", "img", "image_id by bx direction certainty")
+query("o14_5_directions_of_8", _directions(8), f"WITH {_direction_sql(8)} SELECT * FROM directed", "img", "image_id by bx direction certainty")
+
+
+def _enhanced_sql() -> str:
+    taps = []
+    for d in range(8):
+        for turn, kind in ((0, "along"), (-2, "beside"), (2, "beside")):
+            for k in range(2):
+                for sign in (-1, 1):
+                    dy, dx = (sign * s for s in directional.STEPS[(d + turn) % 8][k])
+                    taps.append(f"({d}, '{kind}', {dy}, {dx}, {directional.ALONG[0][k] if kind == 'along' else directional.BESIDE[k]}, {directional.ALONG[1][k] if kind == 'along' else directional.BESIDE[k]})")
+    at = f"(image_id + y // {SIZE} + 3 * (x // {SIZE}))"
+    px = f"SELECT image_id, y, x, r AS v, [0, 1, 2, 4][{at} % 4 + 1] AS along, [0, 1, 2][{at} % 3 + 1] AS beside FROM img"
+    seen = f"SELECT p.*, q.v AS u, CASE WHEN t.kind = 'along' THEN p.along ELSE p.beside END AS strength, CASE WHEN p.along % 2 = 0 THEN t.even ELSE t.odd END AS weight FROM px p JOIN directed b ON b.image_id = p.image_id AND b.\"by\" = p.y // {SIZE} AND b.bx = p.x // {SIZE} JOIN taps t ON t.d = b.direction JOIN px q ON q.image_id = p.image_id AND q.y = p.y + t.dy AND q.x = p.x + t.dx"
+    counted = "SELECT *, sign(u - v) * greatest(0, least(abs(u - v), strength - abs(u - v) // [1, 32, 16, 0, 8][strength + 1])) * weight AS part FROM seen WHERE strength > 0"
+    sums = "SELECT image_id, y, x, any_value(v) AS v, any_value(along) AS along, any_value(beside) AS beside, sum(part) AS total, list_min([min(u), any_value(v)]) AS low, list_max([max(u), any_value(v)]) AS high FROM counted GROUP BY image_id, y, x"
+    moved = "v + floor((8 + total - CASE WHEN total < 0 THEN 1 ELSE 0 END) / 16.0)::BIGINT"
+    return f"WITH {_direction_sql(SIZE)}, taps AS (SELECT * FROM (VALUES {', '.join(taps)}) t(d, kind, dy, dx, even, odd)), px AS ({px}), seen AS ({seen}), counted AS ({counted}), sums AS ({sums}) SELECT p.image_id, p.y, p.x, CASE WHEN s.v IS NULL THEN p.v WHEN s.along > 0 AND s.beside > 0 THEN greatest(s.low, least(s.high, s.{moved[:1]}{moved[1:].replace('total', 's.total')})) ELSE s.{moved[:1]}{moved[1:].replace('total', 's.total')} END AS v FROM px p LEFT JOIN sums s USING (image_id, y, x)"
+
+
+query("o14_6_enhanced", lambda s, d: grid.exploded(directional.enhance(directed(s, d), SIZE), "v"), _enhanced_sql(), "img", "image_id y x v")
+query("o14_7_enhanced_tiles", lambda s, d: stencils.pixels_of(directional.enhance_tiles(stencils.cut(directed(s, d), directional.PLANES, TILE), SIZE, side=TILE), "v"), _enhanced_sql(), "img", "image_id y x v")

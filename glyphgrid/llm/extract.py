@@ -29,8 +29,8 @@ REST = re.compile(r"""((?>[^>"'=]+|=\s*+(?>"[^"]*"|'[^']*')?|["'])*+)>""")
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr ruby rt rp picture img wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr ruby rt rp picture img wbr math mi mn mo mrow msup msub mfrac msqrt mtext".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
@@ -45,6 +45,8 @@ CUT_WORDS = frozenset(
     related recommended recommendations trending toolbar search searchbox skip legal copyright disclaimer paywall hidden""".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: With one of these behind it a word still names the part: ``share-buttons``, but not ``share-price``.
+PART_WORDS = frozenset("box block blocks container wrapper wrap area section list bar panel slot unit button buttons link links item items form posts stories left right top bottom inner outer row col column group holder zone region module".split())
 OTHER_WORDS = frozenset("no not non has have with without of hide overflow scroll clear main article content".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -70,12 +72,13 @@ def judged(tag: str, attrs: str) -> int:
     """2: not article; 1 (forms): not article unless it holds half of the text; 3 (named so): not article unless it
     holds an article or main element or four fifths of the text that isn't cut off by its tag; 0: may be.
 
-    A class or id names a part by one of its tokens. Tokens that deny, measure or describe (``has-sidebar``,
-    ``overflow-hidden``, ``notice-of-facts``) name none.
+    A class or id names a part by one of its tokens: by its last word, or by words that only say where or in what (``sidebar-left``).
+    Tokens that deny, measure or describe (``has-sidebar``, ``share-price``, ``notice-of-facts``) name none, and headings and
+    paragraphs are never cut by a name. A header is cut by its tag outside an article or main element only (4).
     """
     if tag in KEEP_TAGS:
         return 0
-    level = (1 if tag == "form" else 2) if tag in CUT_TAGS else 0
+    level = (1 if tag == "form" else 4 if tag == "header" else 2) if tag in CUT_TAGS else 0
     if level == 2 or not attrs or attrs.isspace():
         return level
     for m in ATTR.finditer(attrs):
@@ -84,10 +87,11 @@ def judged(tag: str, attrs: str) -> int:
             return 2
         if name == "role" and value.strip().lower() in CUT_ROLES:
             return 2
-        if name in ("class", "id"):
+        if name in ("class", "id") and level == 0 and tag not in HEADINGS and tag != "p":
             for token in value.split():
-                words = {w.lower() for w in WORDS.findall(token)}
-                if words & CUT_WORDS and not words & OTHER_WORDS:
+                words = [w.lower() for w in WORDS.findall(token) if not w.isdigit()]
+                named = [w in CUT_WORDS for w in words]
+                if any(named) and OTHER_WORDS.isdisjoint(words) and (named[-1] or all(k or w in PART_WORDS for k, w in zip(named, words))):
                     level = 3
     return level
 
@@ -192,8 +196,10 @@ def main_text(page: str | None) -> str:
     rest = whole
     for i in range(n - 1, 0, -1):
         holds[parent[i]] |= holds[i]
+    inside = [t in ("article", "main") for t in tag]
     for i in range(1, n):
-        gone[i] = gone[parent[i]] or tree.cut[i] == 2 or (tree.cut[i] == 1 and 2 * size[i] < whole)
+        inside[i] |= inside[parent[i]]
+        gone[i] = gone[parent[i]] or tree.cut[i] == 2 or (tree.cut[i] == 4 and not inside[i] and not holds[i]) or (tree.cut[i] == 1 and 2 * size[i] < whole)
         if gone[i] and not gone[parent[i]]:
             rest -= size[i]
     for i in range(1, n):
@@ -210,7 +216,7 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, 0, -1):
         plain[parent[i]] += plain[i]
         linked[parent[i]] += linked[i]
-    points = [0.0] * n
+    points, told = [0.0] * n, [False] * n  # told: a paragraph of its own lies right in it
     for block, parts in blocks.items():
         text = " ".join("".join(parts).split())
         if not text:
@@ -218,6 +224,7 @@ def main_text(page: str | None) -> str:
         worth = 1.0 + text.count(",") + min(len(text) // 100, 3)
         # Text that stands in a container itself counts for the container.
         up = block if tag[block] not in ("p", "pre", "td", "blockquote", "li") and tag[block] not in HEADINGS else parent[block]
+        told[up] |= tag[block] in ("p", "blockquote", "pre") and up >= 0
         share = 1.0
         while up >= 0 and share > 1e-6:  # what a deeper ancestor would get changes nothing
             points[up] += worth * share
@@ -246,7 +253,7 @@ def main_text(page: str | None) -> str:
             kept[i] = True
         elif above == parent[best] and above >= 0 and i != best and tag[i] not in INLINE:
             dense = linked[i] / max(plain[i], 1)
-            kept[i] = tag[i] in HEADINGS or (tag[i] == "p" and dense < 0.25) or (points[i] >= most / 5 and dense < 0.5)
+            kept[i] = tag[i] in HEADINGS or ((tag[i] == "p" or told[i]) and dense < 0.25) or (points[i] >= most / 5 and dense < 0.5)
     parts: list[str] = []
     last = -1
     for node, block, _, text in tree.texts:

@@ -29,6 +29,17 @@ def test_class_words_never_cut_the_article():
         assert extract.main_text(f'<body><div class="{cut}">{good}{good}</div><article>{good}</article></body>') == text
 
 
+def test_parts_of_the_article_stay():
+    good = "<p>One good paragraph, with commas, and a fair number of words in it, so that it counts.</p>" * 3
+    text = " ".join(["One good paragraph, with commas, and a fair number of words in it, so that it counts."] * 3)
+    for part in ('<h1 class="page-header">The Title</h1>', "<header><h1>The Title</h1></header>", '<p class="ad-free">The Title</p>', '<div class="share-price">The Title</div>', '<section id="legal-history">The Title</section>', '<section id="Social_history">The Title</section>', "<p><math><mi>The</mi> <mi>Title</mi></math></p>"):
+        assert extract.main_text(f"<body><article>{good}{part}{good}</article></body>") == f"{text} The Title {text}", part
+    assert extract.main_text(f"<body><div>{good}</div><div><p>short, text</p></div><footer>no</footer></body>") == f"{text} short, text"
+    for part in ("comments", "share-buttons", "related posts", "related-posts", "sidebar-left", "ad ad-slot", "nav-list", "newsletter_signup", "adUnit"):
+        assert extract.main_text(f'<body><article>{good}<div class="{part}"><p>Not this, please.</p></div></article></body>') == text, part
+    assert extract.main_text(f"<body><header><h1>Site</h1></header><article>{good}</article></body>") == text
+
+
 def test_broken_pages_take_linear_time():
     import time
 

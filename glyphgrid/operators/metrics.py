@@ -124,6 +124,61 @@ def tile_sums(tiles: DataFrame, kind: str, channels: tuple = grid.CHANNELS, size
     return parts.select("image_id", (F.col("w") * F.col("h")).alias("n"), *[grid.summed(F.col(c), "double" if kind == "ssim" else "bigint").alias(c) for c in channels]).groupBy("image_id").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"t_{c}") for c in channels])
 
 
+#: How visible the coefficients of a cosine transform are, rows first, in brightness and in one colour plane.
+VISIBLE = {
+    "y": (
+        0.707107, 1.000000, 0.910460, 0.647842, 0.437644, 0.296179, 0.203577, 0.142570, 1.000000, 0.848508, 0.894231, 0.736766, 0.537328, 0.379415, 0.267584, 0.190557,
+        0.910460, 0.894231, 0.586549, 0.476847, 0.382396, 0.292942, 0.219082, 0.162654, 0.647842, 0.736766, 0.476847, 0.337452, 0.264452, 0.210943, 0.166115, 0.129150,
+        0.437644, 0.537328, 0.382396, 0.264452, 0.196055, 0.154089, 0.123575, 0.099098, 0.296179, 0.379415, 0.292942, 0.210943, 0.154089, 0.118036, 0.093888, 0.076012,
+        0.203577, 0.267584, 0.219082, 0.166115, 0.123575, 0.093888, 0.073737, 0.059452, 0.142570, 0.190557, 0.162654, 0.129150, 0.099098, 0.076012, 0.059452, 0.047632,
+    ),
+    "u": (
+        0.776648, 1.000000, 0.480685, 0.467268, 0.426770, 0.364938, 0.303670, 0.249968, 1.000000, 0.644234, 0.493198, 0.561579, 0.540895, 0.477208, 0.404920, 0.337658,
+        0.480685, 0.493198, 0.397731, 0.417047, 0.419163, 0.390151, 0.345352, 0.297155, 0.467268, 0.561579, 0.417047, 0.350023, 0.325845, 0.305370, 0.278533, 0.247362,
+        0.426770, 0.540895, 0.419163, 0.325845, 0.274940, 0.246065, 0.223518, 0.201486, 0.364938, 0.477208, 0.390151, 0.305370, 0.246065, 0.209154, 0.184641, 0.165418,
+        0.303670, 0.404920, 0.345352, 0.278533, 0.223518, 0.184641, 0.158178, 0.139126, 0.249968, 0.337658, 0.297155, 0.247362, 0.201486, 0.165418, 0.139126, 0.120098,
+    ),
+}
+HVS_STEP = 7
+
+
+def hvs_windows(v: np.ndarray) -> tuple:
+    """(coefficients times 256, contrast mask) of each 8x8 window, one every HVS_STEP pixels; those that don't fit are left out."""
+    if min(v.shape) < 8:
+        return np.empty((0, 8, 8)), np.empty(0)
+    blocks = np.lib.stride_tricks.sliding_window_view(v, (8, 8))[::HVS_STEP, ::HVS_STEP].reshape(-1, 8, 8).astype(np.float64)
+    whole = blocks.var((1, 2)) * 64
+    parts = blocks.reshape(-1, 2, 4, 2, 4).swapaxes(2, 3).reshape(-1, 4, 16).var(-1).sum(-1) * 16
+    cosines = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(8) + 1) / 16)
+    found = np.rint(256 * np.einsum("vj,nji,ui->nvu", cosines, blocks, cosines))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return found, np.where(whole > 0, parts * 0.25 / whole, 0.0)
+
+
+def hvs(p: np.ndarray, q: np.ndarray, visible: str = "y") -> float:
+    """The mean squared difference of coefficients as it is seen: by their visibility, less what the window's own contrast masks.
+
+    Energies are summed in whole numbers. Planes without a window differ by 0.
+    """
+    weight = np.array(VISIBLE[visible]).reshape(8, 8)
+    (a, ra), (b, rb) = hvs_windows(p), hvs_windows(q)
+    if not len(a):
+        return 0.0
+    inner = np.ones((8, 8))
+    inner[0, 0] = 0
+    masks = [np.sqrt(np.floor(c * c * weight * inner).sum((1, 2)) * r) / 8192 for c, r in ((a, ra), (b, rb))]
+    far = np.abs(a - b)
+    seen = np.maximum(far * weight - np.maximum(*masks)[:, None, None], 0)
+    seen[:, 0, 0] = far[:, 0, 0]
+    return float((seen * seen).mean())
+
+
+def hvs_distortion(pairs: DataFrame, planes: dict, keep: tuple = ("image_id", "w", "h")) -> DataFrame:
+    """The kept columns, and for each plane its difference as it is seen, and that in dB. planes: names to the table of visibility."""
+    rows = stencils.on_rasters(pairs, _both(planes), {f"t_{c}": "double" for c in planes}, lambda p: {f"t_{c}": hvs(p[c], p[f"{c}2"], table) for c, table in planes.items()}, keep)
+    return rows.select("*", *[psnr(F.col(f"t_{c}"), F.col("w") * F.col("h")).alias(f"{c}_db") for c in planes])
+
+
 def at_pixel(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
     """image_id, psnr, ssim and lsim of one pixel over its four channels, from the window around it.
 

@@ -160,3 +160,25 @@ def _enhanced_sql() -> str:
 
 query("o14_6_enhanced", lambda s, d: grid.exploded(directional.enhance(directed(s, d), SIZE), "v"), _enhanced_sql(), "img", "image_id y x v")
 query("o14_7_enhanced_tiles", lambda s, d: stencils.pixels_of(directional.enhance_tiles(stencils.cut(directed(s, d), directional.PLANES, TILE), SIZE, side=TILE), "v"), _enhanced_sql(), "img", "image_id y x v")
+
+
+# Differences as they are seen
+
+
+def _hvs_sql() -> str:
+    def of(c: str, table: str) -> str:
+        px = f"SELECT p.image_id, 7 * a.a AS wy, 7 * b.b AS wx, y - 7 * a.a AS j, x - 7 * b.b AS i, {c} AS p, {c}2 AS q FROM pair p, range(0, 9) a(a), range(0, 9) b(b) WHERE y - 7 * a.a BETWEEN 0 AND 7 AND x - 7 * b.b BETWEEN 0 AND 7 AND 7 * a.a + 8 <= h AND 7 * b.b + 8 <= w"
+        ratio = lambda v: f"CASE WHEN var_pop({v}) > 0 THEN (var_pop({v}) FILTER (j < 4 AND i < 4) + var_pop({v}) FILTER (j < 4 AND i > 3) + var_pop({v}) FILTER (j > 3 AND i < 4) + var_pop({v}) FILTER (j > 3 AND i > 3)) * 4 / (64 * var_pop({v})) ELSE 0 END"
+        coefficient = lambda v: f"round(256 * sum({v} * cos(pi() * (2 * i + 1) * u.u / 16) * cos(pi() * (2 * j + 1) * v.v / 16)))"
+        return (
+            f"{c}0 AS ({px}), {c}1 AS (SELECT image_id, wy, wx, {ratio('p')} AS rp, {ratio('q')} AS rq FROM {c}0 GROUP BY ALL), "
+            f"{c}2 AS (SELECT image_id, wy, wx, v.v AS v, u.u AS u, {list(metrics.VISIBLE[table])}[8 * v.v + u.u + 1]::DOUBLE AS m, {coefficient('p')} AS a, {coefficient('q')} AS b FROM {c}0, range(0, 8) u(u), range(0, 8) v(v) GROUP BY ALL), "
+            f"{c}3 AS (SELECT image_id, wy, wx, greatest(sqrt(sum(floor(a * a * m)) FILTER (u + v > 0) * any_value(rp)), sqrt(sum(floor(b * b * m)) FILTER (u + v > 0) * any_value(rq))) / 8192 AS mask FROM {c}2 JOIN {c}1 USING (image_id, wy, wx) GROUP BY ALL), "
+            f"{c}4 AS (SELECT image_id, avg((CASE WHEN u + v = 0 THEN abs(a - b) ELSE greatest(abs(a - b) * m - mask, 0) END) ** 2) AS t FROM {c}2 JOIN {c}3 USING (image_id, wy, wx) GROUP BY image_id)"
+        )
+
+    db = lambda t: f"CASE WHEN {t} = 0 THEN 99 ELSE least(98.9::DOUBLE, -4.3429448::DOUBLE * ln({t} / (n * 65025.0::DOUBLE))) END"
+    return f"WITH {of('r', 'y')}, {of('g', 'u')}, n AS (SELECT image_id, count(*) AS n FROM pair GROUP BY image_id) SELECT n.image_id, {db('coalesce(r4.t, 0)')} AS r_db, {db('coalesce(g4.t, 0)')} AS g_db FROM n LEFT JOIN r4 ON r4.image_id = n.image_id LEFT JOIN g4 ON g4.image_id = n.image_id"
+
+
+query("o7_13_hvs", lambda s, d: metrics.hvs_distortion(pairs(s, d), {"r": "y", "g": "u"}), _hvs_sql(), "pair", "image_id", doubles="r_db g_db")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphgrid.functions.fixed import idiv
-from glyphgrid.operators import deblock, directional, grid, metrics, predict, stencils
+from glyphgrid.operators import deblock, directional, grid, metrics, predict, segments, stencils
 from glyphgrid.plans.fixtures import images, pairs
 from glyphgrid.plans.images import QUERIES as IMAGES
 from glyphgrid.plans.query import Query
@@ -182,3 +182,24 @@ def _hvs_sql() -> str:
 
 
 query("o7_13_hvs", lambda s, d: metrics.hvs_distortion(pairs(s, d), {"r": "y", "g": "u"}), _hvs_sql(), "pair", "image_id", doubles="r_db g_db")
+
+# Segments by risk, and labels with filled holes
+
+LEVELS, SEGMENTS = 16, 4
+_DEVIATION = f"SELECT image_id, y // {segments.SIDE} AS by, x // {segments.SIDE} AS bx, sqrt((count(*) * sum(g * g) - sum(g) * sum(g))::DOUBLE) / count(*) AS sd FROM img GROUP BY image_id, y // {segments.SIDE}, x // {segments.SIDE}"
+_AWAY = "7 - least(greatest(CASE WHEN sd > 0 THEN ln(sd) ELSE 0 END, 0), 7)"
+query("o9_12_risks", lambda s, d: segments.block_risks(images(s, d), "g", LEVELS), f'WITH b AS ({_DEVIATION.replace("AS by", "AS \"by\"")}), a AS (SELECT image_id, "by", bx, {_AWAY} AS away FROM b) SELECT image_id, "by", bx, floor(CASE WHEN away > 5 THEN 5 * (1 - (away - 5) / 2.0::DOUBLE) ELSE away END / 5 * {LEVELS - 1} + 0.5) AS score FROM a', "img", "image_id by bx score")
+query("o9_12_segments", lambda s, d: segments.segments(segments.block_risks(images(s, d), "g", LEVELS), LEVELS, SEGMENTS), "", "", "image_id by bx score segment")
+
+
+def block_labels(s, d):
+    """For each block of 2 pixels whether it is far from the partner's, and whether it has one colour."""
+    side = 2
+    far = metrics.block_sse(pairs(s, d), side, ("r", "g", "b"))
+    rows = grid.exploded(images(s, d), "r").groupBy("image_id", idiv(F.col("y"), side).alias("by"), idiv(F.col("x"), side).alias("bx")).agg((F.max("r") - F.min("r") < 20).cast("long").alias("flat"))
+    cells = far.join(rows, ["image_id", "by", "bx"]).withColumn("label", (F.col("sse") < 40_000).cast("long"))
+    whole = cells.groupBy("image_id").agg((F.max("bx") + 1).cast("int").alias("w"), (F.max("by") + 1).cast("int").alias("h"), F.sort_array(F.collect_list(F.struct("by", "bx", "label", "flat"))).alias("c"))
+    return whole.select("image_id", "w", "h", F.transform("c", lambda c: c["label"]).alias("label"), F.transform("c", lambda c: c["flat"]).alias("flat"))
+
+
+query("o10_36_filled_holes", lambda s, d: grid.exploded(segments.with_filled_holes(block_labels(s, d)), "label"), "", "", "image_id y x label")

@@ -12,7 +12,7 @@ TABLE = 1 << 14
 
 
 def counts_of(values: Column, size: int) -> Column:
-    """How often each of 0 .. size - 1 occurs in an array."""
+    """How often each of 0 .. size - 1 occurs in an array. Values outside aren't counted: bring them into the range before."""
     empty = F.array_repeat(F.lit(0).cast("long"), size)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")) if size <= 64 else F.aggregate(
         values, empty, lambda t, v: F.transform(t, lambda n, i: n + (i == v).cast("long"))

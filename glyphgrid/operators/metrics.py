@@ -222,12 +222,15 @@ def plane_report(pairs: DataFrame, channels: tuple) -> DataFrame:
 
 
 def report(pairs: DataFrame, metric: str = "psnr", sizes: Column | None = None, gray: bool = False, halved: bool = False, window: tuple | None = None) -> DataFrame:
-    """One row an image: size in bytes, overall and channel distortion, bits for each pixel; cropped, halved or made grey before."""
+    """One row an image: size in bytes, overall and channel distortion, bits for each pixel; cropped, halved or made grey before.
+
+    window: x, y, w and h, numbers or columns of the image's own width and height.
+    """
     from glyphgrid.operators import geometry
 
     def ready(images):
         if window is not None:
-            images = geometry.crop(images, *map(F.lit, window))
+            images = geometry.crop(images, *[v if isinstance(v, Column) else F.lit(v) for v in window])
         if halved:
             images = geometry.half(images)
         return geometry.luma(images) if gray else images

@@ -135,6 +135,11 @@ def _report(s, d):
 _GREY = "SELECT image_id, a, a2, " + ", ".join(f"floor(0.2126::DOUBLE * r{k} + 0.7152::DOUBLE * g{k} + 0.0722::DOUBLE * b{k} + 0.5::DOUBLE) AS {c}{k}" for k in ("", "2") for c in "rgb") + " FROM pair"
 query("o18_1_report", _report, f"SELECT r.*, n_bytes, 8 * n_bytes::DOUBLE / n AS bpp FROM ({_report_sql(_SSE.format(f'({_GREY}) g'), _ln, True, True)}) r JOIN (SELECT image_id, count(*) AS n, 3 * count(*) + 9 + length(w::VARCHAR) + length(h::VARCHAR) AS n_bytes FROM pair GROUP BY image_id, w, h) s USING (image_id)", "pair", "image_id n_bytes", doubles=_DB + " bpp")
 
+_EIGHT = (*CH, *[f"{c}2" for c in CH])
+_HALVED = "(WITH t AS (SELECT *, y // 2 AS v, x // 2 AS u, h % 2 = 1 AND y = h - 1 AS lone, w % 2 = 1 AND x = w - 1 AS side FROM pair) SELECT image_id, " + _list("CASE WHEN bool_or(side) THEN min(CASE WHEN y % 2 = 0 THEN @ END) ELSE (sum(CASE WHEN lone THEN 2 * @ ELSE @ END) + 2) // 4 END AS @", _EIGHT) + " FROM t GROUP BY image_id, v, u) p"
+query("o18_1_report_halved", lambda s, d: metrics.report(pairs(s, d), "psnr", halved=True), _report_sql(_SSE.format(_HALVED), _ln, True, True), "pair", "image_id", doubles=_DB)
+query("o18_1_report_cropped", lambda s, d: metrics.report(pairs(s, d), "psnr", window=(0, 0, idiv(F.col("w") + 1, 2).cast("int"), idiv(F.col("h") + 1, 2).cast("int"))), _report_sql(_SSE.format("(SELECT * FROM pair WHERE x < (w + 1) // 2 AND y < (h + 1) // 2) p"), _ln, True, True), "pair", "image_id", doubles=_DB)
+
 # Histograms
 
 

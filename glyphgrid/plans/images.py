@@ -6,7 +6,7 @@ The Spark side works on arrays, the SQL on a row for each pixel with joins, so t
 from pyspark.sql import functions as F
 
 from glyphgrid.functions.fixed import idiv
-from glyphgrid.operators import color, composite, geometry, grid, predict
+from glyphgrid.operators import color, composite, geometry, grid, multipliers, predict
 from glyphgrid.plans.fixtures import images, over_255, pairs, raw_images, rect_pairs
 from glyphgrid.plans.query import Query
 
@@ -374,3 +374,7 @@ def _best_sql() -> str:
 query("o10_16_best_mode_alone", lambda s, d: _tile_rows(predict.best_modes_alone(images(s, d), TILE), "modes", "bits"), _best_sql(), "img", "image_id ty tx modes", doubles="bits")
 query("o10_16_best_mode", lambda s, d: _tile_rows(predict.best_modes(images(s, d), TILE), "modes"), "", "", "image_id ty tx modes")
 query("o10_17_predicted_image", lambda s, d: grid.exploded(predict.predicted_image(images(s, d), TILE)), "", "", PX)
+_MULTIPLIERS = ("green_to_red", "green_to_blue", "red_to_blue")
+query("o10_18_best_green_to_red", lambda s, d: _tile_rows(multipliers.best_multipliers(images(s, d), TILE), *_MULTIPLIERS).select("image_id", "ty", "tx", "green_to_red"), "", "", "image_id ty tx green_to_red")
+query("o10_19_best_to_blue", lambda s, d: _tile_rows(multipliers.best_multipliers(images(s, d), TILE), *_MULTIPLIERS).select("image_id", "ty", "tx", "green_to_blue", "red_to_blue"), "", "", "image_id ty tx green_to_blue red_to_blue")
+query("o10_20_cross_colour_image", lambda s, d: grid.exploded(multipliers.transformed(images(s, d), TILE)), "", "", PX)

@@ -6,8 +6,8 @@ The Spark side works on arrays, the SQL on a row for each pixel with joins, so t
 from pyspark.sql import functions as F
 
 from glyphgrid.functions.fixed import idiv
-from glyphgrid.operators import color, composite, geometry, grid, multipliers, predict
-from glyphgrid.plans.fixtures import images, over_255, pairs, raw_images, rect_pairs
+from glyphgrid.operators import color, composite, fit, geometry, grid, multipliers, predict
+from glyphgrid.plans.fixtures import images, over_255, pairs, raw_images, rect_pairs, table
 from glyphgrid.plans.query import Query
 
 CH = grid.CHANNELS
@@ -184,25 +184,26 @@ for _n, _kind in ((3, "YCoCg"), (4, "YCbCr"), (5, "YIQ")):
     query(f"o5_{_n}_{_kind.lower()}", lambda s, d, k=_kind: grid.exploded(color.planes(images(s, d), k), *YUV), f"WITH t AS ({_to_yuv(_kind)}) SELECT image_id, y, x, yy, uu, vv FROM t", "img", "image_id y x yy uu vv")
 
 
-def _matrix_rows(s, kinds):
-    return s.createDataFrame([(k, i, *map(int, (color.transform(k)[0][i], color.transform(k)[1][i]))) for k in kinds for i in range(9)], "kind string, i long, im long, m long")
+def _custom(s, d):
+    """A matrix in fixed point from the first nine values of each vector, and its inverse where it has one in range."""
+    entry = lambda k: (F.floor(F.col("embedding")[k].cast("double") * 1500) + (2000 if k % 4 == 0 else 0)).cast("long")
+    rows = grid.held(table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.array(*[entry(k) for k in range(9)]).alias("im")), im=F.col("im"))
+    back = [v * float(1 << 2 * color.SHIFT) for v in fit.inverse([F.col("im")[k].cast("double") for k in range(9)])]
+    rows = grid.held(rows, back=F.array(*[(F.signum(v) * F.floor(F.abs(v) + 0.5)).cast("long") for v in back]))
+    return rows.withColumn("fits", F.coalesce(F.forall("back", lambda v: F.abs(v) <= color.MOST), F.lit(False)))
 
 
-def _matrices(s, d):
-    return _matrix_rows(s, color.TO_RGB)
-
-
-def _cofactor_sql() -> str:
+def _inverse_sql() -> str:
     """The inverse in SQL: adjugate over determinant, rounded half away from zero."""
-    rows = ", ".join(f"('{k}', [{', '.join(map(str, m))}])" for k, m in color.TO_RGB.items())
+    m = ", ".join(f"floor(embedding[{k + 1}]::DOUBLE * 1500)::BIGINT{' + 2000' if k % 4 == 0 else ''}" for k in range(9))
     at = lambda i, j: f"m[{3 * (i % 3) + j % 3 + 1}]::DOUBLE"
     minor = lambda i, j: f"({at(i + 1, j + 1)} * {at(i + 2, j + 2)} - {at(i + 1, j + 2)} * {at(i + 2, j + 1)})"
     det = f"({at(0, 0)} * {minor(0, 0)} + {at(0, 1)} * {minor(0, 1)} + {at(0, 2)} * {minor(0, 2)})"
-    parts = " UNION ALL ".join(f"SELECT kind, {3 * j + i} AS i, m[{3 * j + i + 1}] AS im, round({minor(i, j)} / {det} * 16777216)::BIGINT AS m FROM t" for i in range(3) for j in range(3))
-    return f"WITH t AS (SELECT * FROM (VALUES {rows}) v(kind, m)) {parts}"
+    back = ", ".join(f"round({minor(i, j)} / {det} * 16777216)" for j in range(3) for i in range(3))
+    return f"t AS (SELECT vec_id AS image_id, [{m}] AS m FROM embeddings), b AS (SELECT image_id, m, CASE WHEN {det} <> 0 THEN [{back}] END AS back FROM t), f AS (SELECT *, coalesce(list_max(back) <= {color.MOST} AND list_min(back) >= -{color.MOST}, false) AS fits FROM b)"
 
 
-query("o5_1_transform", _matrices, _cofactor_sql(), "", "i im m", strings="kind")
+query("o5_1_transform", lambda s, d: _custom(s, d).select("image_id", F.posexplode(F.arrays_zip("im", "back")).alias("i", "p"), "fits").select("image_id", "i", "p.im", F.when(F.col("fits"), F.col("p.back")).alias("m")), f"WITH {_inverse_sql()} SELECT image_id, i, m[i + 1] AS im, CASE WHEN fits THEN back[i + 1] END AS m FROM (SELECT *, unnest(range(0, 9)) AS i FROM f)", "", "image_id i im m")
 query("o5_6_rgb_to_yuv", lambda s, d: grid.exploded(images(s, d)).select("image_id", "y", "x", *[v.alias(n) for v, n in zip(color.rgb_to_yuv(F.col("r"), F.col("g"), F.col("b"), "YIQ"), YUV)]), f"WITH t AS ({_to_yuv('YIQ')}) SELECT image_id, y, x, yy, uu, vv FROM t", "img", "image_id y x yy uu vv")
 query("o5_7_yuv_to_rgb", lambda s, d: grid.exploded(color.from_planes(color.planes(images(s, d), "YCbCr"), "YCbCr")), f"WITH t AS ({_to_yuv('YCbCr')}) SELECT image_id, y, x, 255 AS a, {_to_rgb('YCbCr')} FROM t", "img")
 query("o5_11_round_trip", lambda s, d: grid.exploded(color.round_trip_error(images(s, d)), "error"), "SELECT image_id, y, x, 0 AS error FROM img", "img", "image_id y x error")
@@ -320,18 +321,8 @@ query("o9_15_spread", lambda s, d: grid.exploded(predict.spread(images(s, d)), "
 query("o12_4_changed_pixels", lambda s, d: predict.changed(pairs(s, d), 0.0), "SELECT image_id, y, x FROM pair WHERE (a - a2) ** 2 + (r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2 > 225", "pair", "image_id y x")
 
 
-def _chosen(s, d):
-    """A custom matrix that has an inverse in range, one that has none, and one whose inverse is out of range."""
-    rows = []
-    for name, m in CUSTOM.items():
-        picked = color.transform(custom=m)[0]
-        rows += [(name, i, int(v)) for i, v in enumerate(picked)]
-    return s.createDataFrame(rows, "kind string, i long, im long")
-
-
-CUSTOM = {"fine": (2000, 100, -300, 50, 1900, 20, -10, 30, 2100), "singular": (1, 2, 3, 2, 4, 6, 1, 1, 1), "steep": (1, 0, 0, 0, 2000, 0, 0, 0, 2000)}
-_YCOCG = ", ".join(map(str, color.TO_RGB["YCoCg"]))
-query("o5_2_chosen_transform", _chosen, "SELECT kind, i.i, m[i.i + 1] AS im FROM (VALUES ('fine', [2000, 100, -300, 50, 1900, 20, -10, 30, 2100]), ('singular', [" + _YCOCG + "]), ('steep', [" + _YCOCG + "])) v(kind, m), range(0, 9) i(i)", "", "i im", strings="kind")
+_YCOCG = color.TO_RGB["YCoCg"]
+query("o5_2_chosen_transform", lambda s, d: _custom(s, d).select("image_id", F.posexplode(F.when(F.col("fits"), F.col("im")).otherwise(F.array(*[F.lit(v).cast("long") for v in _YCOCG]))).alias("i", "im")), f"WITH {_inverse_sql()} SELECT image_id, i, CASE WHEN fits THEN m[i + 1] ELSE [1024, 1024, -1024, 1024, 0, 1024, 1024, -1024, -1024][i + 1] END AS im FROM (SELECT *, unnest(range(0, 9)) AS i FROM f)", "", "image_id i im")
 
 
 def _labels(s, d):

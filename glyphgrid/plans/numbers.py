@@ -334,7 +334,7 @@ _ints("o13_49_prefix_code", lambda n, v: [c.alias(k) for c, k in zip(fixed.prefi
 _vp = _high.replace("@", "(event_id % 5000)")
 _ints("o13_47_golomb", lambda n, v: [c.alias(k) for c, k in zip(kernels.golomb(n % 5000, 2), ("code", "extra", "rest"))], f"CASE WHEN event_id % 5000 < 4 THEN event_id % 5000 ELSE 2 * {_vp} + (event_id % 5000) // (2 ** ({_vp} - 1))::BIGINT % 2 END AS code, CASE WHEN event_id % 5000 < 4 THEN 0 ELSE {_vp} - 1 END AS extra, CASE WHEN event_id % 5000 < 4 THEN 0 ELSE (event_id % 5000) % (2 ** ({_vp} - 1))::BIGINT END AS rest", "id code extra rest")
 _ints("o13_48_ungolomb", lambda n, v: [kernels.ungolomb(p, r, k).alias(name) for name, k in (("one", 1), ("two", 2)) for p, _, r in [kernels.golomb(n % 5000, k)]], "event_id % 5000 AS one, event_id % 5000 AS two", "id one two")
-query("o13_54_status_text", lambda s, d: s.range(20).select(F.col("id").alias("code"), fixed.status_text(F.col("id").cast("int")).alias("text")), "SELECT range AS code, ['OK. no error.', 'mismatch between user and system library version', 'memory error allocating objects', 'a parameter value is invalid', 'a pointer parameter is NULL', 'picture has invalid width/height', 'abort request by user', 'unsupported feature', 'bitstream has syntactic error', 'premature end-of-file during decoding', 'error while reading bytes', 'neural decode failure', 'memory error while flushing bits', 'encoding configuration is invalid', 'error while flushing bytes', 'file is bigger than 4G', 'encoder called with improper colorspace', 'neural encode failure', 'last', 'undefined status'][range + 1] AS text FROM range(0, 20)", "", "code", strings="text")
+query("o13_54_status_text", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 20).alias("code"), fixed.status_text((F.col("event_id") % 20).cast("int")).alias("text")), "SELECT event_id, event_id % 20 AS code, ['OK. no error.', 'mismatch between user and system library version', 'memory error allocating objects', 'a parameter value is invalid', 'a pointer parameter is NULL', 'picture has invalid width/height', 'abort request by user', 'unsupported feature', 'bitstream has syntactic error', 'premature end-of-file during decoding', 'error while reading bytes', 'neural decode failure', 'memory error while flushing bits', 'encoding configuration is invalid', 'error while flushing bytes', 'file is bigger than 4G', 'encoder called with improper colorspace', 'neural encode failure', 'last', 'undefined status'][event_id % 20 + 1] AS text FROM events", "", "event_id code", strings="text")
 
 # Frames
 

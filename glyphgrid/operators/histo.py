@@ -14,7 +14,7 @@ TABLE = 1 << 14
 def counts_of(values: Column, size: int) -> Column:
     """How often each of 0 .. size - 1 occurs in an array. Values outside aren't counted: bring them into the range before."""
     empty = F.array_repeat(F.lit(0).cast("long"), size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")) if size <= 64 else F.aggregate(
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(v, lambda n: n == k)).cast("long"))) if size <= 64 else F.aggregate(
         values, empty, lambda t, v: F.transform(t, lambda n, i: n + (i == v).cast("long"))
     )
 
@@ -61,7 +61,7 @@ def cross_cost(counts: Column, shares: Column) -> Column:
 
 def l1_distance(p: Column, q: Column, table: int = TABLE) -> Column:
     """Between two distributions of the same table size: the mean absolute difference as a share of the table."""
-    return grid.summed(F.zip_with(p, q, lambda a, b: F.abs(a - b))) / (F.size(q) * F.lit(float(table)))
+    return let(q, lambda q: grid.summed(F.zip_with(p, q, lambda a, b: F.abs(a - b))) / (F.size(q) * F.lit(float(table))))
 
 
 def l2_from_uniform(p: Column, table: int = TABLE) -> Column:
@@ -69,18 +69,17 @@ def l2_from_uniform(p: Column, table: int = TABLE) -> Column:
 
     Sums are in single precision, and lose their fraction with each symbol.
     """
-    mean = F.lit(float(table)).cast("float") / F.size(p).cast("float")
-    mean = mean.cast("float")
-    square = lambda v: ((v.cast("float") - mean).cast("float") * (v.cast("float") - mean).cast("float")).cast("float")
-    return F.aggregate(p, F.lit(0).cast("long"), lambda s, v: F.floor((s.cast("float") + square(v)).cast("float")).cast("long")) / F.lit(float(table) * table)
+    mean = lambda p: (F.lit(float(table)).cast("float") / F.size(p).cast("float")).cast("float")
+    square = lambda v, mean: ((v.cast("float") - mean).cast("float") * (v.cast("float") - mean).cast("float")).cast("float")
+    add = lambda mean: lambda s, v: F.floor((s.cast("float") + square(v, mean)).cast("float")).cast("long")
+    return let(p, lambda p: let(mean(p), lambda m: F.aggregate(p, F.lit(0).cast("long"), add(m)))) / F.lit(float(table) * table)
 
 
 def cumulated(counts: Column, table: int = TABLE) -> Column:
     """A distribution over a table: the share of each symbol between its rounded-down cumulated counts, so that all add up."""
-    whole = total(counts)
     upto = F.aggregate(counts, F.array(F.lit(0).cast("long")), lambda s, c: F.concat(s, F.array(F.element_at(s, -1) + c)))
-    bounds = F.transform(upto, lambda c: F.call_function("div", c * table, whole))
-    return F.transform(counts, lambda c, i: F.get(bounds, i + 1) - F.get(bounds, i))
+    bounds = let(upto, lambda u: let(F.element_at(u, -1), lambda whole: F.transform(u, lambda c: F.call_function("div", c * table, whole))))
+    return let(bounds, lambda b: F.transform(counts, lambda c, i: F.get(b, i + 1) - F.get(b, i)))
 
 
 def _by_numpy(histograms: DataFrame, column: str, out: dict, body) -> DataFrame:

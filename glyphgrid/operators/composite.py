@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glyphgrid.functions.fixed import div_by_255
+from glyphgrid.functions.fixed import div_by_255, let
 from glyphgrid.operators import grid
 from glyphgrid.operators.geometry import holds_point
 
@@ -97,10 +97,15 @@ def sorted_by_deltas(palette: Column, weight: int = 256) -> Column:
 
     def step(state, i):
         left, last = state["left"], state["last"]
-        best = F.array_min(F.transform(left, lambda q, k: F.struct(far(q, last).alias("d"), k.alias("k"))))["k"]
-        taken = F.get(left, best)
-        rest = F.transform(F.slice(left, F.lit(2), F.greatest(F.size(left) - 1, F.lit(0))), lambda q, k: F.when(k + 1 == best, F.get(left, F.lit(0))).otherwise(q))
-        return F.struct(rest.alias("left"), taken.alias("last"), F.concat(state["out"], F.array(taken)).alias("out"))
+        nearest = F.array_min(F.transform(left, lambda q, k: F.struct(far(q, last).alias("d"), k.alias("k"))))["k"]
+
+        def take(best):
+            taken = F.get(left, best)
+            rest = F.transform(F.slice(left, F.lit(2), F.greatest(F.size(left) - 1, F.lit(0))), lambda q, k: F.when(k + 1 == best, F.get(left, F.lit(0))).otherwise(q))
+            return F.struct(rest.alias("left"), taken.alias("last"), F.concat(state["out"], F.array(taken)).alias("out"))
+
+        # Searched once for a step, not again for each colour that is left.
+        return let(nearest, take)
 
     start = F.struct(palette.alias("left"), zero.alias("last"), F.slice(palette, 1, 0).alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.size(palette)), start, step, lambda s: s["out"])

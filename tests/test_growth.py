@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from glyphgrid.operators import histo
+from glyphgrid.operators import composite, histo
 
 
 def within(seconds: float, build):
@@ -32,3 +32,23 @@ def test_cumulated_histograms_of_many_symbols(spark):
     for r in got:
         p, q = plain_cumulated(r.c), plain_cumulated(r.d)
         assert r.p == p and abs(r.l1 - sum(abs(a - b) for a, b in zip(p, q)) / (192 * histo.TABLE)) < 1e-12
+
+
+def plain_by_deltas(left: list, weight: int) -> list:
+    left, last, out = list(left), (0, 0, 0, 0), []
+    while left:
+        far = [sum(abs(p - q) for p, q in zip(c[1:], last[1:])) * weight + abs(c[0] - last[0]) * (256 - weight) for c in left]
+        k = far.index(min(far))
+        last, left[k] = left[k], left[0]
+        left = left[1:]
+        out.append(last)
+    return out
+
+
+def test_large_palettes_by_deltas(spark):
+    rng = random.Random(1)
+    rows = [(sorted({tuple(rng.randrange(256) for _ in range(4)) for _ in range(200)}),) for _ in range(8)]
+    df = spark.createDataFrame(rows, "p array<struct<a:long,r:long,g:long,b:long>>").coalesce(1)
+    got = within(8, lambda: df.select("p", composite.sorted_by_deltas(F.col("p"), 192).alias("out")))
+    for r in got:
+        assert [tuple(c) for c in r.out] == plain_by_deltas([tuple(c) for c in r.p], 192)

@@ -22,8 +22,9 @@ def query(name: str, build, sql: str, needs: str, ints: str = "", **kinds) -> No
 def painted(s, d):
     """Streams of the frames with opaque pixels."""
     v = lambda i: (F.col("frame_idx") * 31 + (i % F.col("w")) * 7 + idiv(i, F.col("w")) * 13) % 256
-    two = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
-    pixel = lambda i: F.concat(F.lit("FF"), two(v(i)), two(v(i) * 3 % 256), two(v(i) * 5 % 256))
+    # A fixed table of the 256 pixels: it is a literal, and no pixel's text is built for each frame.
+    texts = F.array(*[F.lit(f"FF{k:02X}{3 * k % 256:02X}{5 * k % 256:02X}") for k in range(256)])
+    pixel = lambda i: F.get(texts, v(i).cast("int"))
     rows = frames(s, d).withColumn("pixels", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), (F.col("w") * F.col("h") - 1).cast("int")), pixel), "")))
     return canvas.painted_streams(rows.withColumn("blends", F.lit(False)), WIDTH, HEIGHT)
 

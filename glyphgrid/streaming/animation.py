@@ -10,9 +10,11 @@ arrived, so the result doesn't depend on how the bytes are cut.
 """
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MAGIC, HEAD, FRAME = b"FRS1", struct.Struct("<4sII"), struct.Struct("<B6I")
@@ -26,10 +28,11 @@ class Source:
     """Bytes that grow. Reads are kept apart until they are committed, or taken back."""
 
     def __init__(self, held: bytes = b""):
-        self._held, self._read = bytes(held), 0
+        self._held, self._from, self._read = bytes(held), 0, 0
 
     def append(self, data: bytes) -> None:
-        self._held += bytes(data)
+        ahead = self._read - self._from
+        self._held, self._from, self._read = self._held[self._from :] + bytes(data), 0, ahead
 
     def try_read(self, n: int) -> bytes | None:
         """The next n bytes, or None as long as there are fewer."""
@@ -40,14 +43,15 @@ class Source:
         return out
 
     def commit(self) -> None:
-        self._held, self._read = self._held[self._read :], 0
+        """What is read goes with the next bytes that come, so that a long rest isn't copied for each step."""
+        self._from = self._read
 
     def take_back(self) -> None:
-        self._read = 0
+        self._read = self._from
 
     @property
     def held(self) -> bytes:
-        return self._held
+        return self._held[self._from :]
 
 
 class Reader:
@@ -125,18 +129,69 @@ def chunks(contents: DataFrame, size: int) -> DataFrame:
     return rows.select("anim_id", F.col("seq").cast("long").alias("seq"), F.substring("content", F.col("seq") * size + 1, F.lit(size)).alias("bytes"))
 
 
+#: Chunks are put together up to about so many bytes before they are shuffled.
+JOINED = 1 << 16
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """(anim_id, seq, bytes): chunks that follow each other in a batch as one, with the first one's number.
+
+    For readers whose result doesn't depend on how the bytes are cut: single bytes are no rows of a shuffle any more.
+    """
+
+    def run(batches):
+        for batch in batches:
+            anim, seq = (batch.column(k).fill_null(-1 << 63).to_numpy() for k in (0, 1))
+            data = batch.column(2).cast(pa.binary())
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int32)
+            starts = np.ones(len(seq), bool)
+            starts[1:] = (anim[1:] != anim[:-1]) | (seq[1:] != seq[:-1] + 1) | (ends[1:-1] // JOINED != ends[:-2] // JOINED)
+            first = np.flatnonzero(starts)
+            cuts = pa.py_buffer(np.append(ends[:-1][first], ends[-1]).astype(np.int32))
+            runs = pa.Array.from_buffers(pa.binary(), len(first), [None, cuts, data.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(first)) for k in (0, 1)), runs], names=["anim_id", "seq", "bytes"])
+
+    return pieces.select(F.col("anim_id").cast("long").alias("anim_id"), F.col("seq").cast("long").alias("seq"), "bytes").mapInArrow(run, "anim_id long, seq long, bytes binary")
+
+
+def in_turn(pieces: DataFrame, begin: Callable, read: Callable, schema: str) -> DataFrame:
+    """The rows that read(stream, anim_id, seq, bytes) yields for each chunk, in turn, with stream from begin() for each key.
+
+    The chunks of a key come in order to one task, which holds a batch of them and one stream's state, not a whole stream.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches):
+        known, stream, rows, held = None, None, [], 0
+        for batch in batches:
+            for anim_id, seq, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if stream is None or anim_id != known:
+                    known, stream = anim_id, begin()
+                for row in read(stream, anim_id, seq, data):
+                    rows.append(row)
+                    held += len(row[-1]) if isinstance(row[-1], bytes) else 8
+                    if held >= JOINED << 6:
+                        yield _batch(rows, names, schema)
+                        rows, held = [], 0
+        yield _batch(rows, names, schema)
+
+    ordered = pieces.select("anim_id", F.col("seq").cast("long").alias("seq"), "bytes").repartition("anim_id").sortWithinPartitions("anim_id", "seq")
+    return ordered.mapInArrow(run, schema)
+
+
+def _batch(rows: list, names: list, schema: str) -> pa.RecordBatch:
+    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
+
+
 def read_frames(pieces: DataFrame) -> DataFrame:
     """The frames of chunks that are all there."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        reader, out = Reader(), []
-        for data in f.sort_values("seq")["bytes"]:
-            out.extend(reader.feed(data))
-        got = pd.DataFrame(out, columns=COLUMNS)
-        got.insert(0, "anim_id", f["anim_id"].iloc[0])
-        return got
+    def read(reader, anim_id, seq, data):
+        for frame in reader.feed(data):
+            yield anim_id, *frame
 
-    return pieces.groupBy("anim_id").applyInPandas(run, OUTPUT)
+    return in_turn(joined(pieces), Reader, read, OUTPUT)
 
 
 def read_frames_as_they_come(pieces: DataFrame) -> DataFrame:

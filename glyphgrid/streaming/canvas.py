@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from glyphgrid.streaming.animation import FRAME, HEAD, MAGIC, Source
+from glyphgrid.streaming.animation import FRAME, HEAD, MAGIC, Source, in_turn, joined
 
 HEADER, FRAME_HEADER, ROWS, DONE, FAILED = range(5)
 STRIP = 2
@@ -128,29 +129,20 @@ def _named(rows: list, schema: str) -> pd.DataFrame:
 
 
 def canvases(pieces: DataFrame) -> DataFrame:
-    """The canvas at each frame with a duration, of chunks (anim_id, seq, bytes) that are all there. A stream's chunks meet in one task."""
+    """The canvas at each frame with a duration, of chunks (anim_id, seq, bytes) that are all there. A stream's chunks meet in one task, in their order."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        canvas, out = Canvas(), []
-        for data in f.sort_values("seq")["bytes"]:
-            out.extend(_frame_rows(f["anim_id"].iloc[0], canvas, data))
-        return _named(out, FRAMES)
-
-    return pieces.groupBy("anim_id").applyInPandas(run, FRAMES)
+    return in_turn(joined(pieces), Canvas, lambda canvas, anim_id, seq, data: _frame_rows(anim_id, canvas, data), FRAMES)
 
 
 def areas(pieces: DataFrame) -> DataFrame:
     """The decoded area after each chunk."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        canvas, out = Canvas(), []
-        for seq, data in f.sort_values("seq")[["seq", "bytes"]].itertuples(index=False):
-            for _ in canvas.feed(data):
-                pass
-            out.append((f["anim_id"].iloc[0], seq, *canvas.area))
-        return _named(out, AREAS)
+    def read(canvas, anim_id, seq, data):
+        for _ in canvas.feed(data):
+            pass
+        yield anim_id, seq, *canvas.area
 
-    return pieces.groupBy("anim_id").applyInPandas(run, AREAS)
+    return in_turn(pieces, Canvas, read, AREAS)
 
 
 class CanvasProcessor(StatefulProcessor):
@@ -234,21 +226,43 @@ def canvases_as_they_come(pieces: DataFrame, idle_ms: int | None = 3_600_000, mo
     return pieces.groupBy("anim_id").transformWithStateInPandas(CanvasProcessor(idle_ms, most_waiting), outputStructType=FRAMES, outputMode="append", timeMode="ProcessingTime" if idle_ms else "None")
 
 
-def stream(frames: pd.DataFrame, width: int, height: int) -> bytes:
-    out, last = [HEAD.pack(MAGIC, width, height)], len(frames) - 1
-    for k, r in enumerate(frames.itertuples(index=False)):
-        flags = int(r.disposes) + 2 * (k == last) + 4 * int(r.blends)
-        out += [FRAME.pack(flags, max(int(r.duration_ms), int(k == last)), r.x, r.y, r.w, r.h, len(r.pixels)), bytes(r.pixels)]
-    return b"".join(out)
+def _head_bytes(width: int, height: int) -> bytes:
+    return HEAD.pack(MAGIC, width, height)
 
 
-def painted_streams(frames: DataFrame, width: int, height: int) -> DataFrame:
-    """frames (anim_id, frame_idx, duration_ms, disposes, blends, x, y, w, h, pixels) to (anim_id, content). pixels: (a, r, g, b) bytes, row by row."""
+def _frame_bytes(row: tuple, last: bool) -> tuple:
+    _, disposes, blends, duration, x, y, w, h, pixels = row
+    return FRAME.pack(disposes + 2 * last + 4 * blends, max(duration, int(last)), x, y, w, h, len(pixels)), pixels
 
-    def write(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"anim_id": f["anim_id"].iloc[:1], "content": [stream(f.sort_values("frame_idx"), width, height)]})
 
-    return frames.groupBy("anim_id").applyInPandas(write, "anim_id long, content binary")
+def painted_streams(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """frames (anim_id, frame_idx, duration_ms, disposes, blends, x, y, w, h, pixels) to (anim_id, content). pixels: (a, r, g, b) bytes, row by row.
+
+    The last frame lasts 1 ms at least. A stream's frames come in order to one task, which holds one content at a time.
+    """
+    names = ("anim_id", "disposes", "blends", "duration_ms", "x", "y", "w", "h", "pixels")
+
+    def write(batches):
+        parts, before = [], None
+
+        def ended():
+            parts.extend(_frame_bytes(before, True))
+            return pa.RecordBatch.from_arrays([pa.array([before[0]], pa.int64()), pa.array([b"".join(parts)], pa.binary())], names=["anim_id", "content"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
+                if before is not None and row[0] == before[0]:
+                    parts += _frame_bytes(before, False)
+                else:
+                    if before is not None:
+                        yield ended()
+                    parts = [_head_bytes(width, height)]
+                before = row
+        if before is not None:
+            yield ended()
+
+    ordered = frames.repartition("anim_id").sortWithinPartitions("anim_id", "frame_idx")
+    return ordered.select(*names).mapInArrow(write, "anim_id long, content binary")
 
 
 #: Bytes of a frame's header.

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from glyphgrid.operators import composite, histo
+from glyphgrid.streaming import animation
 
 
 def within(seconds: float, build):
@@ -52,3 +53,21 @@ def test_large_palettes_by_deltas(spark):
     got = within(8, lambda: df.select("p", composite.sorted_by_deltas(F.col("p"), 192).alias("out")))
     for r in got:
         assert [tuple(c) for c in r.out] == plain_by_deltas([tuple(c) for c in r.p], 192)
+
+
+def test_single_bytes_are_joined_before_they_are_shuffled(spark):
+    content = bytes(random.Random(3).randrange(256) for _ in range(5000))
+    single = spark.createDataFrame([(k, content) for k in (5, 6)], "anim_id long, content binary").coalesce(1)
+    got = animation.joined(animation.chunks(single, 1)).orderBy("anim_id", "seq").collect()
+    assert len(got) <= 4
+    assert [b"".join(bytes(r.bytes) for r in got if r.anim_id == k) for k in (5, 6)] == [content] * 2
+    gaps = spark.createDataFrame([(1, k, b"x") for k in (4, 5, 7, 6, 0)], "anim_id long, seq long, bytes binary").coalesce(1)
+    assert [(r.seq, bytes(r.bytes)) for r in animation.joined(gaps).collect()] == [(4, b"xx"), (7, b"x"), (6, b"x"), (0, b"x")]
+
+
+def test_a_long_rest_is_not_copied_for_each_step():
+    source, begun = animation.Source(bytes(1 << 24)), time.monotonic()
+    for _ in range(4000):
+        assert source.try_read(16)
+        source.commit()
+    assert time.monotonic() - begun < 2 and len(source.held) == (1 << 24) - 64000

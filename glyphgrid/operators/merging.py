@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glyphgrid.functions.fixed import let
+
 WAYS = 3
 
 
@@ -28,12 +30,19 @@ def _bits(n: Column) -> Column:
 
 def population_cost(counts: Column, size: int, n_tiles: Column) -> Column:
     """Bits of one population; see above."""
-    used = F.filter(counts, lambda c: c > 0)
-    total, most, n = (F.aggregate(counts, F.lit(0).cast("long"), f) for f in (lambda s, c: s + c, lambda s, c: F.greatest(s, c), lambda s, c: s + F.when(c > 0, 1).otherwise(0).cast("long")))
-    own = F.aggregate(used, F.lit(0.0), lambda s, c: s + c * (F.log2(total.cast("double")) - F.log2(c.cast("double"))))
-    stored = F.least(n * (_bits(most) + F.log2(F.lit(float(size)))), size * _bits(most))
-    many = F.log2(F.greatest(F.least(n_tiles, F.lit(size)) - 1, F.lit(1)).cast("double")) + stored + own
-    return F.log2(F.lit(float(WAYS))) + F.when(n == 0, 0.0).when(n == 1, F.log2(F.lit(float(size)))).otherwise(many)
+    used = lambda counts: F.filter(counts, lambda c: c > 0)
+    total = lambda used: F.aggregate(used, F.lit(0).cast("long"), lambda s, c: s + c)
+    named = lambda used: F.struct(used.alias("used"), F.size(used).cast("long").alias("n"), _bits(F.array_max(used)).alias("bits"), F.log2(total(used).cast("double")).alias("log"))
+
+    def of(held):
+        n, bits = held["n"], held["bits"]
+        own = F.aggregate(held["used"], F.lit(0.0), lambda s, c: s + c * (held["log"] - F.log2(c.cast("double"))))
+        stored = F.least(n * (bits + F.log2(F.lit(float(size)))), size * bits)
+        many = F.log2(F.greatest(F.least(n_tiles, F.lit(size)) - 1, F.lit(1)).cast("double")) + stored + own
+        return F.log2(F.lit(float(WAYS))) + F.when(n == 0, 0.0).when(n == 1, F.log2(F.lit(float(size)))).otherwise(many)
+
+    # What is read more than once is computed once for a row, not for each symbol.
+    return let(let(used(counts), named), of)
 
 
 def populations(counts: Column, size: int, kinds: int) -> list:
@@ -42,27 +51,42 @@ def populations(counts: Column, size: int, kinds: int) -> list:
 
 def histogram_cost(counts: Column, size: int, kinds: int, n_tiles: Column) -> Column:
     """Bits of all populations; nothing for an empty histogram."""
-    empty = F.forall(counts, lambda c: c == 0)
-    return F.when(empty, 0.0).otherwise(sum((population_cost(p, size, n_tiles) for p in populations(counts, size, kinds)), F.lit(0.0)))
+    of = lambda c: F.when(F.forall(c, lambda n: n == 0), 0.0).otherwise(sum((population_cost(p, size, n_tiles) for p in populations(c, size, kinds)), F.lit(0.0)))
+    return let(counts, of)
 
 
 def merged(first: Column, second: Column) -> Column:
     return F.zip_with(first, second, lambda p, q: p + q)
 
 
-def costs(counts: np.ndarray, n_tiles: int) -> np.ndarray:
-    """The same of many histograms at once: counts is (..., kinds, size)."""
+def costs(counts: np.ndarray, n_tiles) -> np.ndarray:
+    """The same of many histograms at once: counts is (..., kinds, size), n_tiles one number or (...)."""
     size, c = counts.shape[-1], counts.astype(np.float64)
     n, total, most = (c > 0).sum(-1), c.sum(-1), c.max(-1)
     with np.errstate(divide="ignore", invalid="ignore"):
         own = np.where(c > 0, c * (np.log2(total)[..., None] - np.log2(c)), 0.0).sum(-1)
         bits = np.floor(np.log2(most)) + 1
     stored = np.minimum(n * (bits + np.log2(size)), size * bits)
-    many = np.log2(max(min(n_tiles, size) - 1, 1)) + stored + own
+    many = np.log2(np.maximum(np.minimum(np.asarray(n_tiles)[..., None], size) - 1, 1)) + stored + own
     each = np.log2(WAYS) + np.where(n == 0, 0.0, np.where(n == 1, np.log2(size), many))
     return np.where((total == 0).all(-1), 0.0, each.sum(-1))
 
 
+def with_costs(rows: DataFrame, size: int, kinds: int, **histograms: Column) -> DataFrame:
+    """The rows (with n_tiles), without their arrays, and the cost of each of these histograms; by numpy, for a batch at once."""
+    kept = [f for f in rows.schema.fields if f.dataType.typeName() != "array"]
+    k, names = len(kept), [*(f.name for f in kept), *histograms]
+
+    def run(batches):
+        for batch in batches:
+            n_tiles = batch.column(k).to_numpy()
+            found = [costs(c.flatten().to_numpy().reshape(len(c), kinds, size), n_tiles) for c in batch.columns[k + 1 :]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *[pa.array(f, pa.float64()) for f in found]], names=names)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` double" for n in histograms])
+    return rows.select(*[f.name for f in kept], F.col("n_tiles").cast("long").alias("_n"), *[c.alias(f"_{n}") for n, c in histograms.items()]).mapInArrow(run, schema)
+
+
 def greedy(counts: np.ndarray, n_tiles: int) -> tuple:
     """(the cluster of each histogram, the merges): always the pair that saves most, the first of equal ones, as long as any saves.
 
@@ -145,9 +169,9 @@ def nearest(histograms: DataFrame, clusters: DataFrame, size: int, kinds: int, k
 
     clusters: key, cluster, counts, a bounded number for each key.
     """
-    added = histogram_cost(merged(F.col("counts"), F.col("own")), size, kinds, F.col("n_tiles")) - histogram_cost(F.col("own"), size, kinds, F.col("n_tiles"))
     both = histograms.join(clusters.select(key, "cluster", F.col("counts").alias("own")), key)
-    best = F.min(F.struct(F.round(added, 9).alias("bits"), "cluster"))
+    both = with_costs(both, size, kinds, both_cost=merged(F.col("counts"), F.col("own")), own_cost=F.col("own"))
+    best = F.min(F.struct(F.round(F.col("both_cost") - F.col("own_cost"), 9).alias("bits"), "cluster"))
     return both.groupBy(key, "tile").agg(best.alias("b")).select(key, "tile", F.col("b.cluster").alias("cluster"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glyphgrid.functions.fixed import idiv
+from glyphgrid.functions.fixed import idiv, let
 from glyphgrid.operators import grid, merging
 from glyphgrid.plans.fixtures import images
 from glyphgrid.plans.query import Query
@@ -23,9 +23,11 @@ def tile_histograms(s, d):
     tile = idiv(F.col("y"), SIDE) * F.col("tiles_across") + idiv(F.col("x"), SIDE)
     place = F.explode(F.array(*[k * SIZE + F.shiftright(c, 4) for k, c in enumerate(grid.CHANNELS)]))
     rows = rows.select("image_id", tile.cast("long").alias("tile"), "tiles_across", (F.col("tiles_across") * F.col("tiles_down")).cast("long").alias("n_tiles"), place.alias("place"))
+    # The map is made once for a tile, not again for each place.
+    in_full = lambda m: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SIZE * KINDS - 1).cast("long")), lambda i: F.coalesce(F.element_at(m, i), F.lit(0)))
     counted = rows.groupBy("image_id", "tile", "tiles_across", "n_tiles", "place").count()
     found = counted.groupBy("image_id", "tile", "tiles_across", "n_tiles").agg(F.map_from_entries(F.collect_list(F.struct("place", "count"))).alias("m"))
-    return found.select("image_id", "tile", "tiles_across", "n_tiles", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SIZE * KINDS - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("counts"))
+    return found.select("image_id", "tile", "tiles_across", "n_tiles", let(F.col("m"), in_full).alias("counts"))
 
 
 #: Of each tile, channel and symbol that occurs, the count c.
@@ -65,7 +67,8 @@ query("o8_25_merged_cost", lambda s, d: _pairs(s, d).select("image_id", "tile",
 
 
 def _gain(s, d):
-    rows = _pairs(s, d).withColumn("gain", merging.histogram_cost(merging.merged(F.col("counts"), F.col("counts2")), SIZE, KINDS, F.col("n_tiles")) - _cost("counts") - _cost("counts2"))
+    costs = {"both": merging.merged(F.col("counts"), F.col("counts2")), "first": F.col("counts"), "second": F.col("counts2")}
+    rows = merging.with_costs(_pairs(s, d), SIZE, KINDS, **costs).withColumn("gain", F.col("both") - F.col("first") - F.col("second"))
     return rows.filter("round(gain, 9) < 0").select("image_id", "tile", "tile2", "gain")
 
 

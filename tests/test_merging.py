@@ -88,3 +88,14 @@ def test_greedy_queries_equal_the_plain_search(spark):
         own = [r for r in rows if r.image_id == image]
         into = plain_greedy(np.array([np.reshape(r.counts, (4, 16)) for r in own]), own[0].n_tiles)
         assert [got[image, r.tile] for r in own] == [own[k].tile for k in into]
+
+
+def test_costs_of_a_batch_equal_those_of_columns(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(1, 40)), [int(v) for v in rng.integers(0, 5, 32) * rng.integers(0, 2, 32) * (i % 9 > 0)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, n_tiles long, counts array<long>")
+    got = merging.with_costs(df, 8, 4, twice=merging.merged(F.col("counts"), F.col("counts")), once=F.col("counts")).collect()
+    by = {r.i: (r.twice, r.once) for r in got}
+    cost = lambda c: merging.histogram_cost(c, 8, 4, F.col("n_tiles"))
+    for r in df.select("i", cost(merging.merged(F.col("counts"), F.col("counts"))).alias("twice"), cost(F.col("counts")).alias("once")).collect():
+        assert np.allclose(by[r.i], (r.twice, r.once), atol=1e-9)

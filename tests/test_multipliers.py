@@ -63,3 +63,11 @@ def test_transform_is_undone_and_steps_are_no_worse(spark):
         cost = lambda k: multipliers.bits(multipliers.red_less(was["r"][first], was["g"][first], k), known) - multipliers._likeness(k, 0, 0, 0)  # noqa: E731, B023
         taken = r.green_to_red[0]
         assert cost(taken) <= min(cost(max(-128, min(128, taken + d))) for d in (-1, 1)) + 1e-6 and none == (0, 0, 0)
+
+
+def test_many_tries_at_once_cost_the_same():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 64):
+        tries, known = rng.integers(-300, 300, (9, n)) // (1 + n % 7), rng.integers(0, 9, multipliers.SIZE) * rng.integers(0, 2, multipliers.SIZE)
+        got = multipliers.many_bits(tries, known, float(multipliers._logs(known).sum()))
+        assert np.allclose(got, [multipliers.bits(t, known) for t in tries], atol=1e-7)

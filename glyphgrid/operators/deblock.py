@@ -73,10 +73,12 @@ def over_upright_edges(v: np.ndarray, bits: np.ndarray, density: np.ndarray, at:
 
 
 def deblocked(planes: dict, place: tuple, block: int, quality: int, n_bits: int = 9, least: int = 0, most: int = 255) -> dict:
-    """planes: v, bits and density, the last two alike in all pixels of a block."""
+    """planes, or stacks of them: v, bits and density, the last two alike in all pixels of a block."""
     y, x, h, w = place
-    v = over_upright_edges(planes["v"], planes["bits"], planes["density"], x, w, block, quality, n_bits, least, most)
-    return {"v": over_upright_edges(v.T, planes["bits"].T, planes["density"].T, y, h, block, quality, n_bits, least, most).T}
+    # A line over an edge knows no other, so the lines of a stack are rows of one array.
+    across = lambda planes, at, width: over_upright_edges(*[v.reshape(-1, v.shape[-1]) for v in planes], at, width, block, quality, n_bits, least, most).reshape(planes[0].shape)
+    v = across((planes["v"], planes["bits"], planes["density"]), x, w)
+    return {"v": across([u.swapaxes(-1, -2) for u in (v, planes["bits"], planes["density"])], y, h).swapaxes(-1, -2)}
 
 
 PLANES = ("v", "bits", "density")

@@ -177,12 +177,15 @@ def restored(images: DataFrame, mode: int, bits: int = 8) -> DataFrame:
 
 
 def _smoothed(planes: dict, quality: int, place: tuple | None = None) -> dict:
-    far_apart = lambda p, dy, dx: np.maximum.reduce([np.abs(v - stencils.clamped(v, dy, dx)) for v in p.values()])
     for bits in range(min(4, max(1, 100 - quality)), 0, -1):
         limit, mask = max(1, ((1 << bits) - 1) // 2), (1 << bits) - 1
-        far = np.maximum.reduce([far_apart(planes, *d) for d in ((0, -1), (0, 1), (-1, 0), (1, 0))]) >= limit
-        x = np.arange(far.shape[1]) + (place[1] if place else 0)
-        far &= (x > 0) & (x < (place[3] if place else far.shape[1]) - 1)
+        across, down = (np.maximum.reduce([np.abs(np.diff(v, axis=k)) for v in planes.values()]) >= limit for k in (-1, -2))
+        far = np.zeros(next(iter(planes.values())).shape, bool)
+        for both, step in (((far[..., 1:], far[..., :-1]), across), ((far[..., 1:, :], far[..., :-1, :]), down)):
+            for side in both:
+                side |= step
+        x = np.arange(far.shape[-1]) + (place[1] if place else 0)
+        far &= (x > 0) & (x < (place[3] if place else far.shape[-1]) - 1)
         biased = {c: v + (mask >> 1) + (v >> bits) % 2 for c, v in planes.items()}
         planes = {c: np.where(far, np.where(biased[c] > 255, 255, biased[c] - biased[c] % (mask + 1)), v) for c, v in planes.items()}
     return planes
@@ -193,7 +196,7 @@ def near_lossless(images: DataFrame, quality: int) -> DataFrame:
 
     The first and last columns stay; the first and last rows are their own outer neighbours.
     """
-    return stencils.on_rasters(images, grid.CHANNELS, dict.fromkeys(grid.CHANNELS, "array<long>"), lambda p: _smoothed(p, quality))
+    return stencils.on_stacks(images, grid.CHANNELS, dict.fromkeys(grid.CHANNELS, "array<long>"), lambda p: _smoothed(p, quality))
 
 
 def near_lossless_tiles(tiles: DataFrame, quality: int, size: int = stencils.TILE) -> DataFrame:

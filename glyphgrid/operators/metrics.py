@@ -88,8 +88,13 @@ def index_of(m: dict, bits: int = 8, luminance: bool = True) -> np.ndarray:
 
 def least_error(p: np.ndarray, q: np.ndarray, radius: int = 2) -> np.ndarray:
     """The least squared difference of the partner's pixel to a pixel of the image within the radius."""
-    around = range(-radius, radius + 1)
-    return np.minimum.reduce([np.square(stencils.clamped(p, dy, dx) - q) for dy in around for dx in around])
+    h, w = p.shape[-2:]
+    wide, least = stencils.widened(p, radius), None
+    for dy in range(2 * radius + 1):
+        for dx in range(2 * radius + 1):
+            far = np.square(wide[..., dy : dy + h, dx : dx + w] - q)
+            least = far if least is None else np.minimum(least, far, out=least)
+    return least
 
 
 def _of(kind: str, luminance: bool = True):
@@ -120,8 +125,8 @@ def sums(pairs: DataFrame, kind: str, channels: tuple = grid.CHANNELS, keep: tup
 def tile_sums(tiles: DataFrame, kind: str, channels: tuple = grid.CHANNELS, size: int = stencils.TILE) -> DataFrame:
     """image_id, n and t_c of images in tiles, planes and partners' planes side by side: sums of the tiles, then of the image."""
     f = _of(kind)
-    parts = stencils.on_tiles(tiles, _both(channels), {c: "array<double>" if kind == "ssim" else "array<long>" for c in channels}, lambda p, _: {c: f(p[c], p[f"{c}2"]) for c in channels}, 3, size)
-    return parts.select("image_id", (F.col("w") * F.col("h")).alias("n"), *[grid.summed(F.col(c), "double" if kind == "ssim" else "bigint").alias(c) for c in channels]).groupBy("image_id").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"t_{c}") for c in channels])
+    parts = stencils.on_tiles(tiles, _both(channels), {f"t_{c}": "double" if kind == "ssim" else "long" for c in channels}, lambda p, _: {f"t_{c}": f(p[c], p[f"{c}2"]) for c in channels}, 3, size)
+    return parts.groupBy("image_id").agg(F.sum(F.col("w") * F.col("h")).alias("n"), *[F.sum(f"t_{c}").alias(f"t_{c}") for c in channels])
 
 
 #: How visible the coefficients of a cosine transform are, rows first, in brightness and in one colour plane.

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glyphgrid.operators import deblock, directional, stencils
+from glyphgrid.operators import deblock, directional, metrics, stencils
 
 
 @pytest.fixture
@@ -75,3 +75,18 @@ def test_deblocked_tiles_are_those_of_the_image(spark, small_batches):
     got = assembled(deblock.deblock_tiles(stencils.cut(df, deblock.PLANES, 8), 8, 6, 8), arrays, "v")
     for k, p in arrays.items():
         assert (got[k]["v"] == deblock.deblocked(p, (0, 0, *p["v"].shape), 8, 6)["v"]).all()
+
+
+@pytest.mark.parametrize("kind", ["lsim", "ssim"])
+def test_sums_of_tiles_come_from_python_as_numbers(spark, small_batches, kind):
+    arrays, df = rasters(spark, {"r": 256, "r2": 256})
+    sums = metrics.tile_sums(stencils.cut(df, ("r", "r2"), 8), kind, ("r",), 8)
+    assert "aggregate(" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.image_id: (r.n, r.t_r) for r in sums.collect()}
+    for k, p in arrays.items():
+        h, w = p["r"].shape
+        if kind == "lsim":
+            expected = sum(min((int(p["r"][j, i]) - int(p["r2"][y, x])) ** 2 for j in range(max(0, y - 2), min(h, y + 3)) for i in range(max(0, x - 2), min(w, x + 3))) for y in range(h) for x in range(w))
+        else:
+            expected = metrics.index_of(metrics.moments_of(p["r"], p["r2"])).sum()
+        assert got[k] == (h * w, pytest.approx(expected))

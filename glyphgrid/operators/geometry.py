@@ -1,9 +1,12 @@
 """Rectangles, orientations, windows, resampling, and layouts of samples."""
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphgrid.functions.fixed import clamp, div_by_255, idiv, right_shift_round, unmultiply
-from glyphgrid.operators import grid
+from glyphgrid.operators import grid, stencils
 
 #: Where alpha, red, green and blue stand in a pixel of each layout (-1: no alpha), and
 #: whether colours are premultiplied. A layout with an X has an alpha byte that isn't read.
@@ -127,22 +130,34 @@ def sample(channel: Column, w, h, x, y, across: dict, down: dict) -> Column:
     return right_shift_round(sum(rows, F.lit(0)), 8)
 
 
+def _taken(v: np.ndarray, places: np.ndarray, taps: tuple) -> np.ndarray:
+    """Sums of taps around places of the last axis, borders repeated; the places take turns with the taps. NaN stays NaN."""
+    of, total = np.arange(len(places)) % len(taps), 0
+    for pairs in zip(*[t.items() for t in taps]):
+        by, weights = (np.array(k)[of] for k in zip(*pairs))
+        total = total + v[..., np.clip(places + by, 0, max(0, v.shape[-1] - 1))] * weights
+    return total
+
+
+def _resampled(images: DataFrame, w2: Column, h2: Column, step: Callable, taps: tuple, channels: tuple) -> DataFrame:
+    """Taps in both directions on stacks of planes, shifted by 8 bits with rounding; step: from places to those in the image."""
+
+    def body(p, w2, h2):
+        x, y = step(np.arange(w2)), step(np.arange(h2))
+        return {c: (_taken(_taken(v, x, taps).swapaxes(-1, -2), y, taps).swapaxes(-1, -2) + 128) // 256 for c, v in p.items()}
+
+    rows = images.select("image_id", "w", "h", w2.cast("int").alias("w2"), h2.cast("int").alias("h2"), *channels)
+    made = stencils.on_stacks(rows, channels, dict.fromkeys(channels, "array<long>"), body, ("image_id", "w2", "h2"), ("w2", "h2"))
+    return made.select("image_id", F.col("w2").alias("w"), F.col("h2").alias("h"), *channels)
+
+
 def plane_half(images: DataFrame, channels: tuple = ("r",), taps: dict = DOWN_SHARP) -> DataFrame:
-    w, h = F.col("w"), F.col("h")
-    return grid.regridded(images, idiv(w + 1, 2), idiv(h + 1, 2), lambda c, x, y: sample(F.col(c), w, h, 2 * x, 2 * y, taps, taps), channels)
+    return _resampled(images, idiv(F.col("w") + 1, 2), idiv(F.col("h") + 1, 2), lambda at: 2 * at, (taps,), channels)
 
 
 def plane_double(images: DataFrame, w2: Column, h2: Column, channels: tuple = ("r",)) -> DataFrame:
     """Even places lean back with the first taps, odd ones forward with the second, in each direction."""
-    w, h = F.col("w"), F.col("h")
-
-    def of(c, x, y):
-        u, v = idiv(x, 2), idiv(y, 2)
-        pick = lambda across, down: sample(F.col(c), w, h, u, v, across, down)
-        odd_x, odd_y = x % 2 == 1, y % 2 == 1
-        return F.when(odd_x & odd_y, pick(UP_HALF, UP_HALF)).when(odd_x, pick(UP_HALF, UP_FULL)).when(odd_y, pick(UP_FULL, UP_HALF)).otherwise(pick(UP_FULL, UP_FULL))
-
-    return grid.regridded(images, w2, h2, of, channels)
+    return _resampled(images, w2, h2, lambda at: at // 2, (UP_FULL, UP_HALF), channels)
 
 
 def padded(images: DataFrame, multiple: int, channels: tuple = grid.CHANNELS) -> DataFrame:

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from glyphgrid.operators import deblock, directional, metrics, predict, stencils
+from pyspark.sql import functions as F
+
+from glyphgrid.operators import deblock, directional, geometry, metrics, predict, stencils
 
 
 @pytest.fixture
@@ -118,3 +120,37 @@ def test_near_lossless_of_stacks(spark, small_batches):
     for k, p in arrays.items():
         expected = plain_near_lossless(p, 96)
         assert all((tiled[k][c] == expected[c]).all() and whole[k][c] == expected[c].ravel().tolist() for c in "argb")
+
+
+def plain_doubled(v: list, w: int, h: int, w2: int, h2: int) -> list:
+    """Pixel after pixel; None where a value that it needs is None."""
+    taps = (geometry.UP_FULL, geometry.UP_HALF)
+    out = []
+    for y in range(h2):
+        for x in range(w2):
+            near = [(v[min(max(y // 2 + j, 0), h - 1) * w + min(max(x // 2 + i, 0), w - 1)], t * s) for j, s in taps[y % 2].items() for i, t in taps[x % 2].items()]
+            out.append(None if any(n is None for n, _ in near) else (sum(n * t for n, t in near) + 128) >> 8)
+    return out
+
+
+def test_doubled_planes_of_stacks(spark, small_batches):
+    arrays, df = rasters(spark, {"r": 256, "g": 5})
+    rows = [(r.image_id, r.w, r.h, r.r if r.image_id != 3 else [None, *r.r[1:]], r.g) for r in df.collect()] + [(99, None, 2, [1, 2], [3, 4]), (98, 1, 2, None, [3, 4])]
+    df = spark.createDataFrame(rows, df.schema).coalesce(1)
+    made = geometry.plane_double(df, 2 * F.col("w") - 1, 2 * F.col("h"), ("r", "g"))
+    assert "transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.image_id: r for r in made.collect()}
+    assert len(got) == len(rows) and got[99].r is None and got[98].r is None
+    for k, w, h, *planes in rows[:-2]:
+        for c, v in zip("rg", planes):
+            assert (got[k].w, got[k].h) == (2 * w - 1, 2 * h) and got[k][c] == plain_doubled(v, w, h, 2 * w - 1, 2 * h)
+
+
+def test_halved_planes_of_stacks(spark, small_batches):
+    arrays, df = rasters(spark, {"r": 256})
+    got = {r.image_id: r for r in geometry.plane_half(df).collect()}
+    for k, p in arrays.items():
+        h, w = p["r"].shape
+        at = lambda y, x: int(p["r"][min(max(y, 0), h - 1), min(max(x, 0), w - 1)])
+        expected = [(sum(at(2 * y + j, 2 * x + i) * s * t for j, s in geometry.DOWN_SHARP.items() for i, t in geometry.DOWN_SHARP.items()) + 128) >> 8 for y in range((h + 1) // 2) for x in range((w + 1) // 2)]
+        assert got[k].r == expected

@@ -22,20 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours that aren't premultiplied."""
+    """Colours that aren't premultiplied.
+
+    A vector is short, and making its image takes far longer than reading it: the vectors are dealt out first, as a
+    file of one row group is read by one task, however long it is.
+    """
     side = lambda of: F.get(F.array(*[F.lit(n) for n in of]), (F.col("vec_id") % len(of)).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), side(WIDTHS).alias("w"), side(HEIGHTS).alias("h"), "embedding")
-    level = lambda x, y: F.floor((F.get("embedding", (y * F.col("w") + x) % 64).cast("double") + 1) * 128)
-    rows = grid.held(rows, v=grid.pixels(F.col("w"), F.col("h"), level))
-    v = lambda x, y: grid.value("v", x, y)
-    alpha = lambda x, y: F.when(F.col("image_id") % 2 == 0, 255).otherwise(3 * v(x, y) % 256)
-    of = {"a": alpha, "r": v, "g": lambda x, y: (7 * v(x, y) + 13 * x) % 256, "b": lambda x, y: (11 * v(x, y) + 29 * y) % 256}
-    return grid.held(rows, **{c: grid.pixels(F.col("w"), F.col("h"), lambda x, y, f=f: f(x, y).cast("long")) for c, f in of.items()}).select("image_id", "w", "h", *grid.CHANNELS)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
+    rows = vectors.select(F.col("vec_id").alias("image_id"), side(WIDTHS).alias("w"), side(HEIGHTS).alias("h"), "embedding")
+    w = F.col("w")
+    rows = grid.held(rows, v=grid.each(w * F.col("h"), lambda i: F.floor((F.get("embedding", i % 64).cast("double") + 1) * 128)))
+    alpha = lambda v: F.when(F.col("image_id") % 2 == 0, 255).otherwise(3 * v % 256).cast("long")
+    of = {"a": alpha, "r": lambda v: v, "g": lambda v, i: (7 * v + 13 * (i % w)) % 256, "b": lambda v, i: (11 * v + 29 * idiv(i, w)) % 256}
+    return grid.held(rows, **{c: F.transform("v", f) for c, f in of.items()}).select("image_id", "w", "h", *grid.CHANNELS)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Premultiplied."""
-    return grid.mapped(raw_images(spark, sf_dir), lambda c, x, y: grid.value(c, x, y) if c == "a" else F.when(grid.value("a", x, y) < 255, div_by_255(grid.value(c, x, y) * grid.value("a", x, y))).otherwise(grid.value(c, x, y)))
+    of = lambda c: F.zip_with(c, "a", lambda v, a: F.when(a < 255, div_by_255(v * a)).otherwise(v))
+    return grid.held(raw_images(spark, sf_dir), **{c: F.col(c) if c == "a" else of(c) for c in grid.CHANNELS}).select("image_id", "w", "h", *grid.CHANNELS)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

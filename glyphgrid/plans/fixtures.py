@@ -13,6 +13,8 @@ from glyphgrid.operators import grid
 
 #: How far an image's partner, of the same size, is away.
 PARTNER = 64
+#: Tasks for each core that make images; a given number isn't merged into fewer by the bytes, which say little of the work.
+TASKS = 3
 #: Widths and heights, by an image's id.
 WIDTHS, HEIGHTS = [8, 64, 1, 5, 13, 3, 2, 22], [8, 1, 64, 13, 5, 22, 32, 3]
 
@@ -28,7 +30,7 @@ def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     file of one row group is read by one task, however long it is.
     """
     side = lambda of: F.get(F.array(*[F.lit(n) for n in of]), (F.col("vec_id") % len(of)).cast("int"))
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition("vec_id")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(TASKS * spark.sparkContext.defaultParallelism, "vec_id")
     rows = vectors.select(F.col("vec_id").alias("image_id"), side(WIDTHS).alias("w"), side(HEIGHTS).alias("h"), "embedding")
     w = F.col("w")
     rows = grid.held(rows, v=grid.each(w * F.col("h"), lambda i: F.floor((F.get("embedding", i % 64).cast("double") + 1) * 128)))
